@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, url_rules
+from . import decontaminate, html_text, lm_score, mixing, near_dup, quality, secrets, suffix_dedup, toxicity, url_rules
 
 QUERIES = {
+    "op1_near_dup": near_dup.op1_near_dup,
     "op2_url_rules": url_rules.op2_url_rules,
+    "op3_quality": quality.op3_quality,
+    "op4_lm_score": lm_score.op4_lm_score,
+    "op5_html_text": html_text.op5_html_text,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_secrets": secrets.op8_secrets,
+    "op9_toxicity": toxicity.op9_toxicity,
+    "op10_leaks": decontaminate.op10_leaks,
 }
 ORACLE_SQL = {"op2_url_rules": url_rules.ORACLE_SQL}
