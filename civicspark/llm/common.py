@@ -51,7 +51,7 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `limit` bytes each (one row at least), so that work arrays stay small."""
     n, lo = len(offsets) - 1, 0
     while lo < n:

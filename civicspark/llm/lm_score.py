@@ -164,7 +164,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), training.alias("training"))
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(2 * blocks, "block")
     asked = dealt.groupBy("block").applyInArrow(questioner(parts), "part int, block int, texts bigint, k1 binary, c1 binary, k2 binary, c2 binary")
-    answers = asked.groupBy("part").applyInArrow(answer, "block int, part int, types bigint, total bigint, texts bigint, c1 binary, c2 binary")
+    answers = asked.repartition(2 * parts, "part").groupBy("part").applyInArrow(answer, "block int, part int, types bigint, total bigint, texts bigint, c1 binary, c2 binary")
     schema = pa.schema([("id", to_arrow_type(slim.schema["id"].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(traverser(mu, schema), f"id {dict(docs.dtypes)[id_col]}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

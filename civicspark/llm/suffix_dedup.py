@@ -10,8 +10,8 @@ least-hashed `gram` bytes in it; equal strings have equal anchors. Windows in a
 2. For the last kind the blocks send the segments' bytes. A part has two shards of them, builds the Burrows-Wheeler
    transform of each, and merges the two by interleave refinement: in round h every suffix goes, in the order found
    so far, to the place that the character before it asks for; the interleave is then right for the first h + 1
-   characters, and suffixes that share these form a block. After `length` rounds blocks are the intervals with a
-   common prefix of that length; an interval with two or more occurrences repeats. No suffix is sorted anew.
+   characters, and suffixes that share these form a block. (Eight bytes are one character here, so that fewer rounds
+   do.) After `length` bytes blocks are the intervals with a common prefix of that length; an interval with two or more occurrences repeats. No suffix is sorted anew.
    An anchor with more than `hot` segments in one block, or `crowd` in all, can't be gathered in one task: its
    windows are sent as 64-bit fingerprints and counted, exactly and without a group.
 3. Blocks mark what repeats and remove it.
@@ -39,7 +39,8 @@ from .lm_score import pack, unpack
 _RNG = np.random.default_rng(77)
 _MULT = _RNG.integers(0, 2**63, 512, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 UNIQUE, WHOLE, MIXED, HOT = 0, 1, 2, 3
-STEP = 1 << 21
+#: Windows taken at once (work arrays stay in the cache), and bytes that one step of a transform takes.
+STEP, WIDE = 1 << 17, 8
 
 
 def sliding(data: np.ndarray) -> np.ndarray:
@@ -57,6 +58,20 @@ def fingerprints(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarra
     return mix64(out)
 
 
+def hashed_grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the `gram` bytes from each place: eight at first, then twice as many again and again."""
+    x = sliding(data)
+    out = (x ^ (x >> np.uint64(31))) * _MULT[0]
+    have = 8
+    while have < gram:
+        step = min(have, gram - have)
+        n = len(out) - step
+        out = (out[:n] ^ (out[:n] >> np.uint64(29))) * _MULT[have % 512] + out[step:]
+        have += step
+    out = (out ^ (out >> np.uint64(32))) * _MULT[100]
+    return out ^ (out >> np.uint64(29))
+
+
 def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     """First window, number of windows, anchor and hash of each segment of a block of texts, in order."""
     w = length - gram + 1
@@ -64,14 +79,9 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     for s in range(0, max(0, len(data) - length + 1), STEP):
         sub = data[s : s + STEP + length - 1]
         n = len(sub) - length + 1
-        words = sliding(sub)
         m = len(sub) - gram + 1
         with np.errstate(over="ignore"):
-            g = np.zeros(m, np.uint64)
-            for j, at in enumerate([*range(0, gram - 8, 8), gram - 8]):
-                g += (words[at : at + m] ^ (words[at : at + m] >> np.uint64(31))) * _MULT[j]
-            g = (g ^ (g >> np.uint64(29))) * _MULT[100]
-            g ^= g >> np.uint64(32)
+            g = hashed_grams(sub, gram)
         # the least hash, then the first place, in each w places: running minima from both ends of blocks of w
         packed = (g & ~np.uint64((1 << 23) - 1)) | np.arange(m, dtype=np.uint64)
         full = np.full(-(-m // w) * w, np.iinfo(np.uint64).max, np.uint64)
@@ -217,49 +227,68 @@ def ask_second(parts: int, length: int, gram: int, hot: int):
     return ask
 
 
-def transform_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Burrows-Wheeler transform of some strings, each with an end of its own (0 there), and the places of the suffixes."""
-    lengths = np.array([len(t) for t in texts], np.int64)
-    ends = np.cumsum(lengths + 1) - 1
-    n = int(ends[-1]) + 1 if len(texts) else 0
-    chars = np.zeros(n, np.int64)  # bytes as 1..256, ends as 0
-    body = np.ones(n, bool)
-    body[ends] = False
-    chars[body] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    rank = chars + len(texts)
-    rank[ends] = np.arange(len(texts))
-    h = 1
-    longest = int(lengths.max()) + 1 if len(texts) else 0
-    while True:
-        nxt = np.minimum(np.arange(n) + h, n - 1)
-        key = rank * (n + 257 + len(texts)) + rank[nxt]
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate(([0], s[1:] != s[:-1])))
-        h *= 2
-        if h >= longest or rank[order[-1]] == n - 1:
-            break
-    before = np.concatenate(([0], chars[:-1]))
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    before[starts] = 0
-    return before[order].astype(np.int16), order
+def order_of(symbols: np.ndarray) -> np.ndarray:
+    """Stable order of small numbers, by one or two passes over 16 bits."""
+    low = np.argsort((symbols & 0xFFFF).astype(np.uint16), kind="stable")
+    if not len(symbols) or int(symbols.max()) < 1 << 16:
+        return low
+    return low[np.argsort((symbols[low] >> 16).astype(np.uint16), kind="stable")]
+
+
+class Shard:
+    """Burrows-Wheeler transform of some strings, WIDE bytes to a symbol.
+
+    A suffix is read in symbols of WIDE bytes; what has fewer bytes left is an end, and ends are all different and
+    come first. `before` has, in the order of the suffixes, the symbol before each (0 where the string begins less than
+    WIDE bytes before); `places` has where each suffix starts.
+    """
+
+    def __init__(self, texts: list[bytes], symbols: np.ndarray) -> None:
+        lengths = np.array([len(t) + 1 for t in texts], np.int64)  # the empty suffix is one, too
+        stops = np.cumsum(lengths)
+        n = int(stops[-1]) if len(texts) else 0
+        left = np.repeat(stops, lengths) - 1 - np.arange(n)
+        ends = left < WIDE
+        self.ends = int(ends.sum())
+        body = np.frombuffer(b"\0".join(texts) + bytes(WIDE + 1), np.uint8)
+        words = np.ndarray((n,), "<u8", body, 0, (1,))
+        symbol = np.searchsorted(symbols, words).astype(np.int64) + 1
+        rank = symbol + self.ends
+        rank[ends] = np.arange(self.ends)
+        order, h = np.argsort(rank, kind="stable"), WIDE
+        longest = int(lengths.max()) if len(texts) else 0
+        while h < longest:
+            key = rank * (n + len(symbols) + 2) + rank[np.minimum(np.arange(n) + h, n - 1)]
+            order = np.argsort(key, kind="stable")
+            s = key[order]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate(([0], s[1:] != s[:-1])))
+            h *= 2
+            if rank[order[-1]] == n - 1:
+                break
+        begins = np.arange(n) - np.repeat(stops - lengths, lengths)
+        before = np.concatenate((np.zeros(WIDE, np.int64), symbol[:-WIDE])) if n > WIDE else np.zeros(n, np.int64)
+        before[begins < WIDE] = 0
+        self.before, self.places = before[order].astype(np.uint32), order
 
 
 def merge_transforms(left: list[bytes], right: list[bytes], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave refinement of two shards' transforms; per suffix place (left's strings, then right's): its interval's number.
 
-    Suffixes share an interval if they share their first `rounds` characters.
+    Suffixes share an interval if they share their first `rounds` symbols.
     """
-    (bl, pl), (br, pr) = transform_of(left), transform_of(right)
-    n, m, nl = len(bl) + len(br), len(left) + len(right), len(bl)
-    both = np.concatenate((bl, br))
+    body = b"\0".join((*left, *right)) + bytes(WIDE + 1)
+    symbols = np.unique(np.ndarray((len(body) - WIDE + 1,), "<u8", np.frombuffer(body, np.uint8), 0, (1,)))
+    a, b = Shard(left, symbols), Shard(right, symbols)
+    n, m, nl = len(a.before) + len(b.before), a.ends + b.ends, len(a.before)
+    both = np.concatenate((a.before, b.before))
     # ends come first; to begin with, nothing is told apart
     side = np.zeros(n, bool)
-    side[len(left) : m] = True
-    side[m + nl - len(left) :] = True
+    side[a.ends : m] = True
+    side[m + nl - a.ends :] = True
     block = np.zeros(n, np.int32)
     spot = np.empty(n, np.int64)
+    edge = np.ones(n - m, bool)
 
     def place() -> None:
         spot[~side] = np.arange(nl)
@@ -267,17 +296,16 @@ def merge_transforms(left: list[bytes], right: list[bytes], rounds: int) -> tupl
 
     for _ in range(rounds):
         place()
-        char = both[spot]
-        moved = np.flatnonzero(char > 0)
-        order = moved[np.argsort((char[moved] - 1).astype(np.uint8), kind="stable")]
-        c, b = char[order], block[order]
+        symbol = both[spot]
+        moved = np.flatnonzero(symbol)
+        order = moved[order_of(symbol[moved])]
+        c, k = symbol[order], block[order]
         side[m:] = side[order]
-        edge = np.ones(len(order), bool)
-        edge[1:] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
+        edge[1:] = (c[1:] != c[:-1]) | (k[1:] != k[:-1])
         block[:m] = np.arange(m)
-        block[m:] = m + np.cumsum(edge) - 1
+        block[m:] = m - 1 + np.cumsum(edge, dtype=np.int32)
     place()
-    where = np.concatenate((pl, pr + nl))
+    where = np.concatenate((a.places, b.places + nl))
     out = np.empty(n, np.int64)
     out[where[spot]] = block
     return out, np.concatenate(([0], np.cumsum([len(t) + 1 for t in (*left, *right)])))
@@ -288,15 +316,18 @@ def repeated_windows(texts: list[bytes], times: np.ndarray, length: int) -> list
     if len(texts) < 2:
         return [np.full(len(t) - length + 1, n > 1) for t, n in zip(texts, times, strict=True)]
     half = len(texts) // 2
-    interval, starts = merge_transforms(texts[:half], texts[half:], length)
+    interval, starts = merge_transforms(texts[:half], texts[half:], length // WIDE)
     sizes = np.array([len(t) - length + 1 for t in texts])
     owner = np.repeat(np.arange(len(texts)), sizes)
     places = np.repeat(starts[:-1], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    held = np.bincount(interval[places], weights=times[owner])
-    return np.split(held[interval[places]] > 1, np.cumsum(sizes)[:-1])
+    at = interval[places]
+    if length % WIDE:  # the symbols stop short of the length: those of the last bytes tell the rest apart
+        _, at = np.unique(at * len(interval) + interval[places + length % WIDE], return_inverse=True)
+    held = np.bincount(at, weights=times[owner])
+    return np.split(held[at] > 1, np.cumsum(sizes)[:-1])
 
 
-def answer_second(length: int, batch_bytes: int = 1 << 21):
+def answer_second(length: int, batch_bytes: int = 1 << 18):
     def answer(part: pa.Table) -> pa.Table:
         read = lambda c, t: [unpack(x.as_buffer(), t) for x in part.column(c)]
         anchors, sizes, times, prints, shown = read("anchors", np.uint64), read("sizes", np.uint32), read("times", np.uint32), read("prints", np.uint64), read("shown", np.uint32)
@@ -383,7 +414,7 @@ def remover(parts: int, length: int, gram: int, hot: int, schema: pa.Schema):
     return remove
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, hot: int = 16, crowd: int = 4096, block_bytes: int = 16 << 20, part_bytes: int = 48 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, gram: int = 64, hot: int = 16, crowd: int = 4096, block_bytes: int = 16 << 20, part_bytes: int = 16 << 20) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 (of the bytes that stay)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -395,9 +426,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(2 * blocks, "block")
     reply = "block int, part int, kind int, codes binary, marks binary"
     asked = dealt.groupBy("block").applyInArrow(ask_first(parts, length, gram, hot), "part int, block int, anchors binary, owns binary, counts binary, hots binary")
+    asked = asked.repartition(2 * parts, "part")  # a number given is kept: parts stay apart
     one = asked.groupBy("part").applyInArrow(answer_first(crowd), reply)
     again = dealt.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(ask_second(parts, length, gram, hot), "part int, block int, anchors binary, sizes binary, times binary, body binary, prints binary, shown binary")
-    two = again.groupBy("part").applyInArrow(answer_second(length), reply)
+    two = again.repartition(2 * parts, "part").groupBy("part").applyInArrow(answer_second(length), reply)
     schema = pa.schema([("id", to_arrow_type(slim.schema["id"].dataType)), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
     out = dealt.groupBy("block").cogroup(one.unionByName(two).groupBy("block")).applyInArrow(remover(parts, length, gram, hot, schema), f"id {dict(docs.dtypes)[id_col]}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
