@@ -141,9 +141,14 @@ def by_part(keys: np.ndarray, parts: int):
     return list(zip(bounds[:-1], bounds[1:], strict=True))
 
 
+def in_order(block: pa.Table) -> pa.Table:
+    """Rows by their hash: a shuffle may bring them in another order each time, and segments are cut by place."""
+    return block.sort_by("h")
+
+
 def ask_first(parts: int, length: int, gram: int, hot: int):
     def ask(block: pa.Table) -> pa.Table:
-        data, offsets = text_arrays(block.column("text"))
+        data, offsets = text_arrays(in_order(block).column("text"))
         _, _, anchor, own = segments(data, offsets, length, gram)
         cols = distinct_pairs(anchor, own, hot)
         ranges = by_part(cols[0], parts)
@@ -208,7 +213,7 @@ def wanted(data, first, count, anchor, own, code, length):
 
 def ask_second(parts: int, length: int, gram: int, hot: int):
     def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("part")
+        answers, block = answers.sort_by("part"), in_order(block)
         data, _, first, count, anchor, own, code = coded(block, answers, length, gram, hot)
         chosen, order, which, prints, at, _ = wanted(data, first, count, anchor, own, code, length)
         times = np.bincount(which, minlength=len(chosen)).astype(np.uint32)
@@ -376,7 +381,7 @@ def remover(parts: int, length: int, gram: int, hot: int, schema: pa.Schema):
     import pyarrow.compute as pc
 
     def remove(block: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by([("kind", "ascending"), ("part", "ascending")])
+        answers, block = answers.sort_by([("kind", "ascending"), ("part", "ascending")]), in_order(block)
         one, two = (answers.filter(pc.equal(answers.column("kind"), k)) for k in (1, 2))
         data, offsets, first, count, anchor, own, code = coded(block, one, length, gram, hot)
         chosen, order, which, prints, at, windows = wanted(data, first, count, anchor, own, code, length)
@@ -423,7 +428,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")) + 8)).first()[0] or 0
     blocks, parts = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / part_bytes))
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(2 * blocks, "block")
+    dealt = slim.withColumn("h", F.xxhash64("id", "text")).withColumn("block", F.pmod("h", F.lit(blocks)).cast("int")).repartition(2 * blocks, "block")
     reply = "block int, part int, kind int, codes binary, marks binary"
     asked = dealt.groupBy("block").applyInArrow(ask_first(parts, length, gram, hot), "part int, block int, anchors binary, owns binary, counts binary, hots binary")
     asked = asked.repartition(2 * parts, "part")  # a number given is kept: parts stay apart
