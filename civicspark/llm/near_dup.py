@@ -10,8 +10,10 @@ depth with probability of at least 1 - x, where x = (1 - s + s x)^2; for 0.8 tha
 
 Large groups of near copies never get small. They are met by leaders: in short paths, all classes of a node are held
 against its smallest, once; what the links join is one component. A node whose classes all belong to one component
-has nothing more to tell and is dropped; others branch on. A node still large at the last level is compared in
-chunks against chunks, so no pair is left out and no node is gathered. Only counts and smallest keys are taken per node.
+has nothing more to tell and is dropped. In a large node whose classes are of one component but for a few (`small` at
+most), the few are held against all of it; other large nodes branch on. At the last level the classes outside the
+largest component are held against all of their node in chunks of about `small`, so no pair of components is left out
+and no node is gathered. Only counts and smallest keys are taken per node.
 
 Components come from rounds of smallest-neighbour messages with pointer jumps. All steps are tables in the
 shared folder; tasks hold a batch or a chunk, never a group.
@@ -128,11 +130,11 @@ def comparer(percent: int, slack: float):
         tail = None
         for batch in _with_end(batches):
             if batch is not None:
-                own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "part", "k", "label", "n")}
+                own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "k", "label", "n")}
                 own["sig"] = batch.column("sig").flatten().to_numpy().reshape(-1, COORDS)
                 rows = own if tail is None else {c: np.concatenate([tail[c], own[c]]) for c in own}
                 # the last node may go on in the next batch
-                last = (rows["node"] == rows["node"][-1]) & (rows["part"] == rows["part"][-1])
+                last = rows["node"] == rows["node"][-1]
                 cut = len(last) - int(np.argmin(last[::-1])) if not last.all() else 0
                 rows, tail = {c: v[:cut] for c, v in rows.items()}, {c: v[cut:] for c, v in rows.items()}
             else:
@@ -141,7 +143,7 @@ def comparer(percent: int, slack: float):
                 continue
             d = 1
             while d < len(rows["node"]):
-                same = np.flatnonzero((rows["node"][d:] == rows["node"][:-d]) & (rows["part"][d:] == rows["part"][:-d]))
+                same = np.flatnonzero(rows["node"][d:] == rows["node"][:-d])
                 if not len(same):
                     break
                 a, b = same, same + d
@@ -164,6 +166,29 @@ def _with_end(batches):
     yield None
 
 
+def meeter(percent: int, slack: float):
+    """Pairs of a row and the others that it meets, which are of a bounded number."""
+
+    def meet(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
+                others = b.column("others")
+                row = np.repeat(np.arange(b.num_rows), others.value_lengths().to_numpy(zero_copy_only=False))
+                flat = others.flatten()
+                k, label, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                sig = flat.field(3).flatten().to_numpy().reshape(-1, COORDS)
+                own = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("k", "label", "n")}
+                mine = b.column("sig").flatten().to_numpy().reshape(-1, COORDS)
+                apart = np.flatnonzero(own["label"][row] != label)
+                row = row[apart]
+                good = may_link(own["n"][row], n[apart], mine[row], sig[apart], percent, slack)
+                x, y = own["k"][row][good], k[apart][good]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return meet
+
+
 def leader_filter(percent: int, slack: float):
     def filtered(batches):
         for b in batches:
@@ -258,18 +283,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = None
     for d in range(1, depth + 1):
         level = level.withColumn("node", F.explode(children(F.col("node"))))
-        sizes = level.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("size > 1 AND lo < hi").select("node", "size")
-        level = tables.put(level.join(sizes, "node"))
-        done = level if d == depth else level.where(F.col("size") <= small)
-        # chunks of a large last node meet two by two
-        chunks = F.ceil(F.col("size") / small)
-        mine = F.pmod(F.xxhash64("k", F.lit(seed)), chunks)
-        meet = done.withColumn("chunk", mine).withColumn("other", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int")))).withColumn("part", F.xxhash64(F.least("chunk", F.col("other").cast("long")), F.greatest("chunk", F.col("other").cast("long"))))
-        more = meet.select("node", "part", "k", "label", "n", "sig").repartition(scan_tasks(spark), "node", "part").sortWithinPartitions("node", "part").mapInArrow(comparer(percent, slack), "a bigint, b bigint")
-        more = tables.put(more.distinct())
+        held = level.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
+        held = held.where(F.col("size") > F.col("top.c")).select("node", "size", F.col("top.label").alias("major"), (F.col("size") - F.col("top.c")).alias("rest"))
+        level = tables.put(level.join(held, "node"))
+        few = level.where(F.col("size") <= small).select("node", "k", "label", "n", "sig")
+        more = few.repartition(scan_tasks(spark), "node").sortWithinPartitions("node").mapInArrow(comparer(percent, slack), "a bigint, b bigint")
+        # large nodes of one component and few others: the others against all; at the last level however many they are
+        crowd = level.where((F.col("size") > small) & ((F.col("rest") <= small) | F.lit(d == depth)))
+        chunk = F.pmod(F.xxhash64("k", F.lit(seed)), F.ceil(F.col("rest") / small))
+        others = crowd.where("label <> major").groupBy("node", chunk.alias("chunk")).agg(F.collect_list(F.struct("k", "label", "n", "sig")).alias("others")).select("node", "others")
+        met = crowd.select("node", "k", "label", "n", "sig").join(others, "node").select("k", "label", "n", "sig", "others").mapInArrow(meeter(percent, slack), "a bigint, b bigint")
+        more = tables.put(more.union(met).distinct())
         found = more if found is None else found.union(more)
         if d < depth:
-            grown = level.where(F.col("size") > small).drop("size")
+            grown = level.where((F.col("size") > small) & (F.col("rest") > small)).drop("size", "major", "rest")
             if not grown.limit(1).count():
                 break
             level = grown
