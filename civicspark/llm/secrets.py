@@ -115,10 +115,10 @@ def span_list(column: str) -> str:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """The rows with each span replaced by a mark; rows without spans stay as they are. Same columns, same rows."""
-    own = docs.columns
-    found = find_secrets(docs, id_col, text_col, keep=tuple(c for c in own if c != id_col))
-    fixed = f"""transform(array(aggregate(spans, struct(0 AS at, '' AS got), (a, x) -> IF(x.e <= a.at, a, struct(x.e AS at, concat(a.got, substr({text_col}, a.at + 1, greatest(x.s - a.at, 0)), IF(x.s < a.at, '', '{mark}')) AS got)))), a -> concat(a.got, substr({text_col}, a.at + 1)))[0]"""
-    return found.withColumn(text_col, F.expr(f"IF(size(spans) = 0, {text_col}, {fixed})")).select(*own)
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("_body"))
+    found = find_secrets(rows, "_id", "_body", keep=("_row", "_body"))
+    fixed = f"""transform(array(aggregate(spans, struct(0 AS at, '' AS got), (a, x) -> IF(x.e <= a.at, a, struct(x.e AS at, concat(a.got, substr(_body, a.at + 1, greatest(x.s - a.at, 0)), IF(x.s < a.at, '', '{mark}')) AS got)))), a -> concat(a.got, substr(_body, a.at + 1)))[0]"""
+    return found.select(F.col("_row").withField(text_col, F.expr(f"IF(size(spans) = 0, _body, {fixed})")).alias("_row")).select("_row.*")
 
 
 def op8_secrets(spark, sf_dir):

@@ -100,28 +100,30 @@ def cover(hits: dict[int, np.ndarray], precision: dict[int, float], n_rows: int,
     return chosen
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Posterior of class 1 by EM; votes: rows x voters, 0 or 1; labels: one more voter that errs at a rate of its own."""
-    spoken = np.concatenate([votes, labels[:, None]], 1).astype(float)
-    post = np.clip(0.05 + 0.9 * np.maximum(labels, votes.max(1) if votes.shape[1] else 0), 0.05, 0.95).astype(float)
+def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Posterior of class 1 by EM; votes: rows x voters, 1 for toxic, 0 for no opinion.
+
+    The labels are one more voter that may err, and so is "nobody speaks". The share of class 1 is the labels'.
+    """
+    silent = 1 - np.maximum(labels, votes.max(1, initial=0))
+    spoken = np.concatenate([votes, labels[:, None], silent[:, None]], 1).astype(float)
+    post = np.where(labels > 0, 0.95, np.where(silent > 0, 0.02, 0.2))
+    prior = np.clip(labels.mean(), 0.001, 0.5)
     for _ in range(rounds):
-        prior = np.clip(post.mean(), 0.001, 0.5)
         on1 = (post @ spoken + 0.5) / (post.sum() + 1)
-        on0 = ((1 - post) @ spoken + 0.05) / ((1 - post).sum() + 1)
-        # correlation that the class does not explain
+        on0 = ((1 - post) @ spoken + 0.5) / ((1 - post).sum() + 1)
+        # agreement that the class does not explain: such voters share their weight
         rest = spoken - (post[:, None] * on1 + (1 - post)[:, None] * on0)
         scale = np.sqrt((rest**2).mean(0)) + 1e-6
-        corr = np.abs((rest / scale).T @ (rest / scale)) / len(spoken)
+        corr = (rest / scale).T @ (rest / scale) / len(spoken)
         np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1))
-        on1, on0 = np.clip(on1, 1e-4, 1 - 1e-4), np.clip(on0, 1e-4, 1 - 1e-4)
-        speak, silent = np.log(on1 / on0) * weight, np.log((1 - on1) / (1 - on0)) * weight
-        score = np.log(prior / (1 - prior)) + spoken @ speak + (1 - spoken) @ silent
+        weight = 1 / (1 + np.where(corr > 0.5, corr, 0).sum(1))
+        score = np.log(prior / (1 - prior)) + spoken @ (np.log(on1 / on0) * weight)
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
-        if np.abs(new - post).max() < 1e-4:
-            post = new
-            break
+        done = np.abs(new - post).max() < 1e-4
         post = new
+        if done:
+            break
     return post
 
 
@@ -170,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     chosen: list[int] = []
     if pos and neg:
         keys = sample.mapInArrow(seen_keys, "no bigint, toxic int, key bigint")
-        stats = keys.groupBy("key").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).where((F.col("p") >= 3) & ((F.col("p") + 0.5) / (F.col("n") + 0.5) >= 8.0 * pos / neg))
+        stats = keys.groupBy("key").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).where((F.col("p") >= 3) & ((F.col("p") + 0.5) / (F.col("n") + 0.5) >= 40.0 * pos / neg))
         best = stats.orderBy(F.desc("p"), "key").limit(candidates).collect()
         precision = {r["key"]: r["p"] / (r["p"] + r["n"] + 1.0) for r in best}
         if best:
@@ -199,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         w = np.zeros(width + 1)
         w[len(vocabulary)], w[-1] = 4.0, -3.0
         return vocabulary, w
-    post = label_model(x[:, : width - len(FORM)], np.array(y))
+    post = label_model(x[:, : len(vocabulary)], np.array(y))
     return vocabulary, fit_linear(x.astype(float), post)
 
 
