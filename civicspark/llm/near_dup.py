@@ -10,9 +10,9 @@ depth with probability of at least 1 - x, where x = (1 - s + s x)^2; for 0.8 tha
 
 Large groups of near copies never get small. They are met by leaders: in short paths, all classes of a node are held
 against its smallest, once; what the links join is one component. A node whose classes all belong to one component
-has nothing more to tell and is dropped. In a large node whose classes are of one component but for a few (`small` at
-most), the few are held against all of it; other large nodes branch on. At the last level the classes outside the
-largest component are held against all of their node in chunks of about `small`, so no pair of components is left out
+has nothing more to tell and is dropped. In a large node half of whose classes, or all but `small`, are of one component,
+the others are held against all of it, in chunks of about `small`, and pairs pass a finer filter of 512 values first;
+other large nodes branch on, and at the last level each is dealt with in this way, so no pair of components is left out
 and no node is gathered. Only counts and smallest keys are taken per node.
 
 Components come from rounds of smallest-neighbour messages with pointer jumps. All steps are tables in the
@@ -36,9 +36,12 @@ from pyspark.sql import functions as F
 from .common import TO_LOWER, Tables, mix64, pieces, scan_tasks, span_hashes, table, text_arrays, window_hashes, word_spans
 
 _RNG = np.random.default_rng(11)
-COORDS = 32
+#: Minwise values of 16 bits that paths are chosen from, and of 8 bits that tell near misses from links.
+COORDS, FINE = 32, 512
 _XOR = _RNG.integers(0, 2**32, COORDS, dtype=np.uint32)
 _MULT = _RNG.integers(0, 2**31, COORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FINE_XOR = _RNG.integers(0, 2**32, FINE, dtype=np.uint32)
+_FINE_MULT = _RNG.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +88,18 @@ def minwise(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
+def fine_values(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """8 bits of the least value of each row under FINE permutations."""
+    out = np.zeros((len(edges) - 1, FINE), np.uint8)
+    rows = np.flatnonzero(np.diff(edges))
+    if len(rows):
+        x = (keys >> np.uint64(32)).astype(np.uint32)
+        with np.errstate(over="ignore"):
+            for i in range(FINE):
+                out[rows, i] = np.minimum.reduceat((x ^ _FINE_XOR[i]) * _FINE_MULT[i], edges[rows]).astype(np.uint8)
+    return out
+
+
 def sketcher(k: int):
     def sketch(batches):
         for batch in batches:
@@ -96,7 +111,8 @@ def sketcher(k: int):
                     total = np.concatenate(([np.uint64(0)], np.cumsum(mix64(keys), dtype=np.uint64)))
                     key = mix64(total[edges[1:]] - total[edges[:-1]] + n.astype(np.uint64)).view(np.int64)
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * COORDS, pa.int32()), pa.array(minwise(keys, edges).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key), sig], ["id", "n", "k", "sig"])
+                fine = pa.array([v.tobytes() for v in fine_values(keys, edges)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key), sig, fine], ["id", "n", "k", "sig", "fine"])
 
     return sketch
 
@@ -166,13 +182,18 @@ def _with_end(batches):
     yield None
 
 
+def fine_slack(percent: int) -> float:
+    s = percent / 100
+    return max(0.0, s - 4.5 * math.sqrt(s * (1 - s) / FINE))
+
+
 def meeter(percent: int, slack: float):
     """Pairs of a row and the others that it meets, which are of a bounded number."""
 
     def meet(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                b = whole.slice(at, 2000)
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
                 others = b.column("others")
                 row = np.repeat(np.arange(b.num_rows), others.value_lengths().to_numpy(zero_copy_only=False))
                 flat = others.flatten()
@@ -183,7 +204,13 @@ def meeter(percent: int, slack: float):
                 apart = np.flatnonzero(own["label"][row] != label)
                 row = row[apart]
                 good = may_link(own["n"][row], n[apart], mine[row], sig[apart], percent, slack)
-                x, y = own["k"][row][good], k[apart][good]
+                row, apart = row[good], apart[good]
+                if len(row):
+                    f1 = np.frombuffer(b"".join(b.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+                    f2 = np.frombuffer(b"".join(flat.field(4).to_pylist()), np.uint8).reshape(-1, FINE)
+                    good = np.concatenate([(f1[row[i : i + 20_000]] == f2[apart[i : i + 20_000]]).sum(1) for i in range(0, len(row), 20_000)]) >= fine_slack(percent) * FINE
+                    row, apart = row[good], apart[good]
+                x, y = own["k"][row], k[apart]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     return meet
@@ -256,10 +283,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trees = max(1, math.ceil(math.log(1 - recall) / math.log(lost))) if lost < 1 else 16
     kind = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = tables.put(slim.mapInArrow(sketcher(words), f"id {kind}, n bigint, k bigint, sig array<smallint>"))
+    sketch = tables.put(slim.mapInArrow(sketcher(words), f"id {kind}, n bigint, k bigint, sig array<smallint>, fine binary"))
     # One row for each set; the values are the same for all its copies.
-    classes = sketch.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min(F.struct(*(F.col("sig")[i].alias(f"s{i}") for i in range(COORDS)))).alias("s"))
-    classes = tables.put(classes.select("k", "rep", "n", F.array(*(F.col(f"s.s{i}") for i in range(COORDS))).alias("sig")))
+    classes = sketch.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("fine").alias("fine"))
+    classes = tables.put(classes)
     linkable = classes.where("rep IS NOT NULL").select("k", F.col("k").alias("label"), "n", "sig")
     named = slim.where("id IS NOT NULL AND text IS NOT NULL")
 
@@ -289,14 +316,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         few = level.where(F.col("size") <= small).select("node", "k", "label", "n", "sig")
         more = few.repartition(scan_tasks(spark), "node").sortWithinPartitions("node").mapInArrow(comparer(percent, slack), "a bigint, b bigint")
         # large nodes of one component and few others: the others against all; at the last level however many they are
-        crowd = level.where((F.col("size") > small) & ((F.col("rest") <= small) | F.lit(d == depth)))
+        settled = (F.col("rest") <= small) | (F.col("rest") * 2 <= F.col("size"))
+        crowd = level.where((F.col("size") > small) & (settled | F.lit(d == depth))).join(classes.select("k", "fine"), "k")
         chunk = F.pmod(F.xxhash64("k", F.lit(seed)), F.ceil(F.col("rest") / small))
-        others = crowd.where("label <> major").groupBy("node", chunk.alias("chunk")).agg(F.collect_list(F.struct("k", "label", "n", "sig")).alias("others")).select("node", "others")
-        met = crowd.select("node", "k", "label", "n", "sig").join(others, "node").select("k", "label", "n", "sig", "others").mapInArrow(meeter(percent, slack), "a bigint, b bigint")
+        others = crowd.where("label <> major").groupBy("node", chunk.alias("chunk")).agg(F.collect_list(F.struct("k", "label", "n", "sig", "fine")).alias("others")).select("node", "others")
+        met = crowd.select("node", "k", "label", "n", "sig", "fine").join(others, "node").select("k", "label", "n", "sig", "fine", "others").mapInArrow(meeter(percent, slack), "a bigint, b bigint")
         more = tables.put(more.union(met).distinct())
         found = more if found is None else found.union(more)
         if d < depth:
-            grown = level.where((F.col("size") > small) & (F.col("rest") > small)).drop("size", "major", "rest")
+            grown = level.where((F.col("size") > small) & ~settled).drop("size", "major", "rest")
             if not grown.limit(1).count():
                 break
             level = grown
