@@ -9,9 +9,10 @@ child with probability 1 - (1 - s)^2, more than half a child each on average, so
 depth with probability of at least 1 - x, where x = (1 - s + s x)^2; for 0.8 that is 15/16, and `recall` sets the trees.
 
 Large groups of near copies never get small. They are met by leaders: in short paths, all classes of a node are held
-against its smallest, once; what the links join is one component. A node whose classes all belong to one component
+against the one with most company, once; what the links join is one component. A node whose classes all belong to one component
 has nothing more to tell and is dropped. In a large node half of whose classes, or all but `small`, are of one component,
-the others are held against all of it, in chunks of about `small`, and pairs pass a finer filter of 512 values first;
+the others are held against all of it, in chunks of about `small`, by their
+1,024 least shingle keys (all keys of most texts; a class that is surely linked with a component names one pair of them);
 other large nodes branch on, and at the last level each is dealt with in this way, so no pair of components is left out
 and no node is gathered. Only counts and smallest keys are taken per node.
 
@@ -27,6 +28,7 @@ null, and it is kept only in the latter case. Only the id and text columns are r
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +38,10 @@ from pyspark.sql import functions as F
 from .common import TO_LOWER, Tables, mix64, pieces, scan_tasks, span_hashes, table, text_arrays, window_hashes, word_spans
 
 _RNG = np.random.default_rng(11)
-#: Minwise values of 16 bits that paths are chosen from, and of 8 bits that tell near misses from links.
-COORDS, FINE = 32, 512
+#: Minwise values of 16 bits that paths are chosen from, and least shingle keys that tell near misses from links.
+COORDS, LEAST = 32, 1024
 _XOR = _RNG.integers(0, 2**32, COORDS, dtype=np.uint32)
 _MULT = _RNG.integers(0, 2**31, COORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FINE_XOR = _RNG.integers(0, 2**32, FINE, dtype=np.uint32)
-_FINE_MULT = _RNG.integers(0, 2**31, FINE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,18 +88,6 @@ def minwise(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def fine_values(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """8 bits of the least value of each row under FINE permutations."""
-    out = np.zeros((len(edges) - 1, FINE), np.uint8)
-    rows = np.flatnonzero(np.diff(edges))
-    if len(rows):
-        x = (keys >> np.uint64(32)).astype(np.uint32)
-        with np.errstate(over="ignore"):
-            for i in range(FINE):
-                out[rows, i] = np.minimum.reduceat((x ^ _FINE_XOR[i]) * _FINE_MULT[i], edges[rows]).astype(np.uint8)
-    return out
-
-
 def sketcher(k: int):
     def sketch(batches):
         for batch in batches:
@@ -111,8 +99,7 @@ def sketcher(k: int):
                     total = np.concatenate(([np.uint64(0)], np.cumsum(mix64(keys), dtype=np.uint64)))
                     key = mix64(total[edges[1:]] - total[edges[:-1]] + n.astype(np.uint64)).view(np.int64)
                 sig = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * COORDS, pa.int32()), pa.array(minwise(keys, edges).ravel()))
-                fine = pa.array([v.tobytes() for v in fine_values(keys, edges)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key), sig, fine], ["id", "n", "k", "sig", "fine"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key), sig], ["id", "n", "k", "sig"])
 
     return sketch
 
@@ -129,6 +116,21 @@ def set_maker(k: int):
     return sets
 
 
+def least_maker(k: int):
+    """The LEAST smallest keys of each row, 32 bits of each: the whole set where it has no more."""
+
+    def least(batches):
+        for batch in batches:
+            data, offsets = text_arrays(batch.column("text"))
+            for lo, hi in pieces(offsets):
+                keys, edges = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
+                top = (keys >> np.uint64(32)).astype(np.uint32)
+                values = [top[a : min(b, a + LEAST)].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), pa.array(values, pa.binary())], ["k", "least"])
+
+    return least
+
+
 def may_link(n1, n2, s1, s2, percent: int, slack: float):
     """Whether pairs may reach the threshold: by their sizes for certain, by their minwise values but for a tail."""
     sizes = np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent
@@ -182,36 +184,78 @@ def _with_end(batches):
     yield None
 
 
-def fine_slack(percent: int) -> float:
+def overlap(one: np.ndarray, whole: bool, rows: list[np.ndarray], wholes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """The similarity of a set with others by their least keys, all of which are known up to the lower end: exact for
+    two whole sets but for equal halves of keys. `slots`: 65,536 zeros to work in, left as they were."""
+    top = np.iinfo(np.uint32).max
+    sizes = np.array([len(r) for r in rows])
+    at = np.cumsum(sizes) - sizes
+    ends = np.array([top if w else r[-1] for r, w in zip(rows, wholes, strict=True)], np.uint32)
+    ends = np.minimum(ends, np.uint32(top) if whole else one[-1])
+    x = np.concatenate(rows)
+    known = x <= np.repeat(ends, sizes)
+    # a place for each key by its low half; those whose place another has taken are looked up one by one
+    place = (one & np.uint32(0xFFFF)).astype(np.int64)
+    slots[place] = np.arange(len(one))
+    both = one[slots[x & np.uint32(0xFFFF)]] == x
+    for v in one[slots[place] != np.arange(len(one))]:
+        both |= x == v
+    slots[place] = 0
+    both &= known
+    shared = np.add.reduceat(both.astype(np.int64), at)
+    return shared / (np.add.reduceat(known.astype(np.int64), at) + np.searchsorted(one, ends, "right") - shared)
+
+
+def margin(percent: int, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """How far `overlap` may be off: some equal halves of keys, or the tail of a sample."""
     s = percent / 100
-    return max(0.0, s - 4.5 * math.sqrt(s * (1 - s) / FINE))
+    return np.where(np.maximum(n1, n2) <= LEAST, 0.005, 4.5 * math.sqrt(s * (1 - s) / LEAST))
+
+
+def telling(one: np.ndarray, label: np.ndarray, alike: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """Which pairs to look at: where a class is surely linked with a component, the best pair of the two tells all."""
+    order = np.lexsort((-alike, label, one))
+    first = np.ones(len(order), bool)
+    first[1:] = (one[order][1:] != one[order][:-1]) | (label[order][1:] != label[order][:-1])
+    settled = sure[order][first]
+    out = np.zeros(len(order), bool)
+    out[order] = first | ~settled[np.cumsum(first) - 1]
+    return out
 
 
 def meeter(percent: int, slack: float):
-    """Pairs of a row and the others that it meets, which are of a bounded number."""
+    """Pairs of some members of a node and some others that they meet, both of a bounded number."""
+
+    def fields(cell):
+        flat = cell.values
+        k, label, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        least = [np.frombuffer(v.as_py(), np.uint32) for v in flat.field(4)]
+        return k, label, n, flat.field(3).flatten().to_numpy().reshape(-1, COORDS), least
 
     def meet(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                others = b.column("others")
-                row = np.repeat(np.arange(b.num_rows), others.value_lengths().to_numpy(zero_copy_only=False))
-                flat = others.flatten()
-                k, label, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                sig = flat.field(3).flatten().to_numpy().reshape(-1, COORDS)
-                own = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("k", "label", "n")}
-                mine = b.column("sig").flatten().to_numpy().reshape(-1, COORDS)
-                apart = np.flatnonzero(own["label"][row] != label)
-                row = row[apart]
-                good = may_link(own["n"][row], n[apart], mine[row], sig[apart], percent, slack)
-                row, apart = row[good], apart[good]
-                if len(row):
-                    f1 = np.frombuffer(b"".join(b.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
-                    f2 = np.frombuffer(b"".join(flat.field(4).to_pylist()), np.uint8).reshape(-1, FINE)
-                    good = np.concatenate([(f1[row[i : i + 20_000]] == f2[apart[i : i + 20_000]]).sum(1) for i in range(0, len(row), 20_000)]) >= fine_slack(percent) * FINE
-                    row, apart = row[good], apart[good]
-                x, y = own["k"][row], k[apart]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        slots = np.zeros(1 << 16, np.int16)
+        for batch in batches:
+            a, b = [], []
+            for members, others in zip(batch.column("members"), batch.column("others"), strict=True):
+                k, label, n, sig, least = fields(members)
+                one, two, alike, off = [], [], [], []
+                for ok, olabel, on, osig, oleast in zip(*fields(others), strict=True):
+                    at = np.flatnonzero(label != olabel)
+                    at = at[may_link(n[at], np.full(len(at), on), sig[at], osig[None, :].repeat(len(at), 0), percent, slack)]
+                    if len(at):
+                        one.append(np.full(len(at), ok))
+                        two.append(at)
+                        alike.append(overlap(oleast, on <= LEAST, [least[i] for i in at], n[at] <= LEAST, slots))
+                        off.append(margin(percent, n[at], on))
+                if one:
+                    one, two, alike, off = (np.concatenate(v) for v in (one, two, alike, off))
+                    good = alike >= percent / 100 - off
+                    one, two, alike, off = one[good], two[good], alike[good], off[good]
+                    good = telling(one, label[two], alike, alike >= percent / 100 + off)
+                    a.append(np.minimum(one[good], k[two[good]]))
+                    b.append(np.maximum(one[good], k[two[good]]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return meet
 
@@ -283,9 +327,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trees = max(1, math.ceil(math.log(1 - recall) / math.log(lost))) if lost < 1 else 16
     kind = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = tables.put(slim.mapInArrow(sketcher(words), f"id {kind}, n bigint, k bigint, sig array<smallint>, fine binary"))
+    sketch = tables.put(slim.mapInArrow(sketcher(words), f"id {kind}, n bigint, k bigint, sig array<smallint>"))
     # One row for each set; the values are the same for all its copies.
-    classes = sketch.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig"), F.first("fine").alias("fine"))
+    classes = sketch.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig"))
     classes = tables.put(classes)
     linkable = classes.where("rep IS NOT NULL").select("k", F.col("k").alias("label"), "n", "sig")
     named = slim.where("id IS NOT NULL AND text IS NOT NULL")
@@ -296,7 +340,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return F.xxhash64(F.lit(b), *(F.col("sig")[i] for i in at))
 
     banded = linkable.select("k", "n", "sig", F.explode(F.array(*(band(b) for b in range(leader_bands)))).alias("node"))
-    leads = banded.groupBy("node").agg(F.min("k").alias("lead"), F.count("*").alias("size")).where("size > 1").select("node", "lead")
+    # A leader is the class of its node with the most company in all its nodes: the middle of a group of near copies.
+    company = banded.select("node", "k").join(banded.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node")
+    company = tables.put(company.groupBy("k").agg(F.sum("size").alias("weight")))
+    leads = banded.select("node", "k").join(company, "k").groupBy("node").agg(F.max_by("k", F.struct("weight", "k")).alias("lead"))
     # k and lead only; the values are joined to distinct pairs
     pairs = banded.select("node", "k").join(leads, "node").where("k <> lead").select("k", "lead").distinct()
     pairs = pairs.join(linkable.select("k", "n", "sig"), "k").join(linkable.select(F.col("k").alias("lead"), F.col("n").alias("lead_n"), F.col("sig").alias("lead_sig")), "lead")
@@ -307,7 +354,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = tables.put(relabel(linkable, comps))
     children = lambda node: F.array(*(_child(node, j, seed) for j in range(2)))
     level = rows.select("k", "label", "n", "sig", F.explode(F.array(*(F.xxhash64(F.lit(seed), F.lit(t)) for t in range(trees)))).alias("node"))
-    found = None
+    found, crowds = None, []
     for d in range(1, depth + 1):
         level = level.withColumn("node", F.explode(children(F.col("node"))))
         held = level.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
@@ -317,17 +364,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = few.repartition(scan_tasks(spark), "node").sortWithinPartitions("node").mapInArrow(comparer(percent, slack), "a bigint, b bigint")
         # large nodes of one component and few others: the others against all; at the last level however many they are
         settled = (F.col("rest") <= small) | (F.col("rest") * 2 <= F.col("size"))
-        crowd = level.where((F.col("size") > small) & (settled | F.lit(d == depth))).join(classes.select("k", "fine"), "k")
-        chunk = F.pmod(F.xxhash64("k", F.lit(seed)), F.ceil(F.col("rest") / small))
-        others = crowd.where("label <> major").groupBy("node", chunk.alias("chunk")).agg(F.collect_list(F.struct("k", "label", "n", "sig", "fine")).alias("others")).select("node", "others")
-        met = crowd.select("node", "k", "label", "n", "sig", "fine").join(others, "node").select("k", "label", "n", "sig", "fine", "others").mapInArrow(meeter(percent, slack), "a bigint, b bigint")
-        more = tables.put(more.union(met).distinct())
+        crowds.append(level.where((F.col("size") > small) & (settled | F.lit(d == depth))))
+        more = tables.put(more.distinct())
         found = more if found is None else found.union(more)
         if d < depth:
             grown = level.where((F.col("size") > small) & ~settled).drop("size", "major", "rest")
             if not grown.limit(1).count():
                 break
             level = grown
+    crowd = reduce(DataFrame.union, crowds).select("node", "k", "label", "n", "sig", "major", "rest", "size")
+    if crowd.limit(1).count():
+        needed = classes.select("k", "rep").join(crowd.select("k").distinct(), "k", "left_semi")
+        least = named.join(needed, named["id"] == needed["rep"]).select("k", "text").mapInArrow(least_maker(words), "k bigint, least binary")
+        crowd = crowd.join(tables.put(least.dropDuplicates(["k"])), "k")
+        # both sides in chunks: a chunk of members goes to Python with a chunk of others, not each member with them
+        chunk = lambda count, most: F.pmod(F.xxhash64("k", F.lit(seed)), F.ceil(count / most))
+        row = F.struct("k", "label", "n", "sig", "least")
+        others = crowd.where("label <> major").groupBy("node", chunk(F.col("rest"), small).alias("chunk")).agg(F.collect_list(row).alias("others")).select("node", "others")
+        members = crowd.groupBy("node", chunk(F.col("size"), 128).alias("chunk")).agg(F.collect_list(row).alias("members")).select("node", "members")
+        met = members.join(others, "node").select("members", "others")
+        found = found.union(tables.put(met.mapInArrow(meeter(percent, slack), "a bigint, b bigint").distinct()))
     links = confirm(found.distinct(), named, classes, tables, words, percent)
     # components of components
     label = rows.select("k", "label")
