@@ -104,7 +104,8 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         first = np.flatnonzero(new)
         firsts.append(valid[first] + s)
         counts.append(np.diff(np.append(first, len(valid))))
-        anchors.append(g[at[valid[first]]])
+        # least hashes crowd near zero: mixed, they spread over the parts, and different ones stay different
+        anchors.append(mix64(g[at[valid[first]]]))
     if not firsts:
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(0, np.uint64), np.zeros(0, np.uint64)

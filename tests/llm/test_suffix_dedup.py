@@ -58,6 +58,15 @@ def test_removal_matches_brute_force(spark, options):
     assert [got[i] for i in range(len(docs))] == want
 
 
+def test_parts_of_a_random_text_are_alike():
+    data = np.random.default_rng(4).integers(97, 123, 1 << 20).astype(np.uint8)
+    _, _, anchor, own = sd.segments(data, np.array([0, len(data)]), 200, 64)
+    keys = sd.distinct_pairs(anchor, own, 16)[0]
+    for parts in (7, 32):
+        sizes = [y - x for x, y in sd.by_part(keys, parts)]
+        assert sum(sizes) == len(keys) and max(sizes) < 1.5 * min(sizes)
+
+
 def test_empty_and_repeated_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert sd.remove_repeats(empty).count() == 0
