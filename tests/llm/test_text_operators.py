@@ -77,6 +77,19 @@ def test_bounds_and_cutoffs():
     assert np.mean(np.array(lost) > 0.02) <= 0.15
 
 
+def test_junk_is_rejected_with_some_hundred_labels(spark):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(60))
+    rows = [(i, text(), "en" if i % 2 else None) for i in range(1000)]
+    rows += [(i, text() + " " + "#$% " * 12, "en" if i % 2 else None) for i in range(1000, 1060)]
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _, _ in rows[:1040]], "doc_id long, quality int")
+    got = quality.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()
+    assert not any(r["base_failed"] for r in got)
+    assert not any(r["kept"] for r in got if r["doc_id"] >= 1000)
+    for lang in (0, 1):
+        assert sum(not r["kept"] for r in got if r["doc_id"] < 1000 and r["doc_id"] % 2 == lang) <= 5
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href=x>Menu, one, two</a></li></ul></nav>
 <header>Top</header><div class="ad">Buy, buy, buy this very long advert text, now, today.</div>
 <article><h1>Title &amp; more</h1><p><b>First paragraph, with commas, and enough words to count as text.<br><p>Second   one,
