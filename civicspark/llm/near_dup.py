@@ -1,34 +1,36 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 A document is the set of its distinct word shingles. Equal sets become one class first, however many copies there
-are. A class carries `coords` minwise values of 16 bits. In each of some independent trees a node is a set of
+are. A class carries `COORDS` minwise values of 16 bits. In each of some independent trees a node is a set of
 classes that share chosen values: a node chooses two of the coordinates by its own hash, and a class goes to the
 child that its value names. Nodes of at most `small` classes are compared exhaustively by their minwise values, and
-pairs that may reach the threshold are confirmed on the full sets. At similarity s two classes stay together in a
-child with probability 1 - (1 - s)^2, more than half a child each on average, so a pair survives in a tree to any
-depth with probability of at least 1 - x, where x = (1 - s + s x)^2; for 0.8 that is 15/16, and `recall` sets the trees.
-
-Large groups of near copies never get small. They are met by leaders: in short paths, all classes of a node are held
-against the one with most company, once; what the links join is one component. A node whose classes all belong to one component
-has nothing more to tell and is dropped. In a large node half of whose classes, or all but `small`, are of one component,
-the others are held against all of it, in chunks of about `small`, by their
-1,024 least shingle keys (all keys of most texts; a class that is surely linked with a component names one pair of them);
-other large nodes branch on, and at the last level each is dealt with in this way, so no pair of components is left out
-and no node is gathered. Only counts and smallest keys are taken per node.
+pairs that may reach the threshold are confirmed on the full sets. `missed` gives the chance that a pair at the
+threshold shares no node, over the binomial number of values that the pair has in common; `recall` sets the trees.
+
+What is linked already needs no second look: classes carry the label of their component, and a node with one label
+is dropped. Leaders make that true of large groups of near copies early: in short paths, all classes of a node
+are held against the one with most company.
+
+Nodes that are still large after `depth` levels hold crowds: many texts that are alike, but not linked. Their classes
+go on in narrow trees, on `WIDE` further values: a tree takes as many values at once as the largest node needs to become
+small, and there are as many trees as `recall` asks for at that length. Between rounds links are confirmed, the best
+pair of two labels first, and the labels of what they join become one. A large node where all but `small` classes have one label is
+settled by holding those few against the others, a bounded chunk at a time; any other goes on in the next round. Nodes that are still large
+after the last one (sets that agree in tens of values and aren't linked) are compared by pairs of chunks, so no pair is left out.
 
 Components come from rounds of smallest-neighbour messages with pointer jumps. All steps are tables in the
-shared folder; tasks hold a batch or a chunk, never a group.
+shared folder; tasks hold a batch or a chunk, never a group. Only counts and smallest keys are taken per node.
 
 Defined results: a null or empty text, or one without words, has the empty set and is linked with nothing. With
 fewer words than a shingle the whole sequence is one shingle. Repeated rows get a row each, with the same
-component. A null id can't be a representative: its component is the smallest id of its class or component, else
-null, and it is kept only in the latter case. Only the id and text columns are read.
+component; so do two texts under one id, whose sets are told apart. A null id can't be a representative: its component is the smallest id of
+its class or component, else null, and it is kept only in the latter case. Only the id and text columns are read, so others may have any name.
+Equal sets are told by a 64-bit sum of mixed shingle keys, and shingles by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,12 @@ from pyspark.sql import functions as F
 from .common import TO_LOWER, Tables, mix64, pieces, scan_tasks, span_hashes, table, text_arrays, window_hashes, word_spans
 
 _RNG = np.random.default_rng(11)
-#: Minwise values of 16 bits that paths are chosen from, and least shingle keys that tell near misses from links.
-COORDS, LEAST = 32, 1024
-_XOR = _RNG.integers(0, 2**32, COORDS, dtype=np.uint32)
-_MULT = _RNG.integers(0, 2**31, COORDS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Minwise values of 16 bits that paths are chosen from: of all classes, and of those in crowds.
+COORDS, WIDE = 32, 160
+_XOR = _RNG.integers(0, 2**32, WIDE, dtype=np.uint32)
+_MULT = _RNG.integers(0, 2**31, WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+#: Rounds of narrow trees, and classes of a crowd that meet in one cell.
+ROUNDS, CHUNK = 3, 128
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,72 +80,95 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return keys[new], np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=n))))
 
 
-def minwise(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """16 bits of the least value of each row under COORDS permutations."""
-    out = np.zeros((len(edges) - 1, COORDS), np.int16)
+def minwise(keys: np.ndarray, edges: np.ndarray, coords: int = COORDS) -> np.ndarray:
+    """16 bits of the least value of each row under the first `coords` permutations."""
+    out = np.zeros((len(edges) - 1, coords), np.int16)
     rows = np.flatnonzero(np.diff(edges))
     if len(rows):
         x = (keys >> np.uint64(32)).astype(np.uint32)
         with np.errstate(over="ignore"):
-            for i in range(COORDS):
+            for i in range(coords):
                 out[rows, i] = np.minimum.reduceat((x ^ _XOR[i]) * _MULT[i], edges[rows]).astype(np.uint16).view(np.int16)
     return out
 
 
+def class_keys(keys: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A key of each row's set, whatever the order of its shingles."""
+    with np.errstate(over="ignore"):
+        total = np.concatenate(([np.uint64(0)], np.cumsum(mix64(keys), dtype=np.uint64)))
+        return mix64(total[edges[1:]] - total[edges[:-1]] + np.diff(edges).astype(np.uint64)).view(np.int64)
+
+
+def lists(values: np.ndarray) -> pa.ListArray:
+    """A list for each row of a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+
+
 def sketcher(k: int):
     def sketch(batches):
         for batch in batches:
             data, offsets = text_arrays(batch.column("text"))
             for lo, hi in pieces(offsets):
                 keys, edges = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
-                n = np.diff(edges)
-                with np.errstate(over="ignore"):
-                    total = np.concatenate(([np.uint64(0)], np.cumsum(mix64(keys), dtype=np.uint64)))
-                    key = mix64(total[edges[1:]] - total[edges[:-1]] + n.astype(np.uint64)).view(np.int64)
-                sig = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * COORDS, pa.int32()), pa.array(minwise(keys, edges).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key), sig], ["id", "n", "k", "sig"])
+                rest = [batch.column(c).slice(lo, hi - lo) for c in ("id", "h")]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(edges), pa.int64()), pa.array(class_keys(keys, edges)), lists(minwise(keys, edges))], ["id", "h", "n", "k", "sig"])
 
     return sketch
 
 
 def set_maker(k: int):
+    """The sets of texts that were fetched for the classes k; a text of another class, under the same id, goes."""
+
     def sets(batches):
         for batch in batches:
             data, offsets = text_arrays(batch.column("text"))
             for lo, hi in pieces(offsets):
                 keys, edges = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
                 values = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), values], ["k", "shingles"])
+                own = pa.array(class_keys(keys, edges))
+                out = pa.RecordBatch.from_arrays([own, values], ["k", "shingles"])
+                yield out.filter(pa.compute.equal(own, batch.column("k").slice(lo, hi - lo)))
 
     return sets
 
 
-def least_maker(k: int):
-    """The LEAST smallest keys of each row, 32 bits of each: the whole set where it has no more."""
+def widener(batches):
+    """WIDE minwise values of sets: those after COORDS are independent of what chose the nodes."""
+    for batch in batches:
+        column = batch.column("shingles")
+        edges = column.offsets.to_numpy().astype(np.int64)
+        keys = column.values.to_numpy()[edges[0] : edges[-1]].view(np.uint64)
+        yield pa.RecordBatch.from_arrays([batch.column("k"), lists(minwise(keys, edges - edges[0], WIDE))], ["k", "sig"])
 
-    def least(batches):
-        for batch in batches:
-            data, offsets = text_arrays(batch.column("text"))
-            for lo, hi in pieces(offsets):
-                keys, edges = shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
-                top = (keys >> np.uint64(32)).astype(np.uint32)
-                values = [top[a : min(b, a + LEAST)].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("k").slice(lo, hi - lo), pa.array(values, pa.binary())], ["k", "least"])
 
-    return least
+def may_link(n1, n2, s1, s2, percent: int):
+    """Whether pairs may reach the threshold, and the share of equal values: by their sizes for certain, by their minwise values but for a tail of 4.5 deviations."""
+    alike = np.zeros(len(n1), np.float32)
+    good = np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent
+    at = np.flatnonzero(good)
+    if len(at):
+        s, coords = percent / 100, s1.shape[1]
+        alike[at] = (s1[at] == s2[at]).mean(1)
+        good[at] = alike[at] >= s - 4.5 * math.sqrt(s * (1 - s) / coords)
+    return good, alike
 
 
-def may_link(n1, n2, s1, s2, percent: int, slack: float):
-    """Whether pairs may reach the threshold: by their sizes for certain, by their minwise values but for a tail."""
-    sizes = np.minimum(n1, n2) * 100 >= np.maximum(n1, n2) * percent
-    out = np.zeros(len(n1), bool)
-    at = np.flatnonzero(sizes)
-    if len(at):
-        out[at] = (s1[at] == s2[at]).sum(1) >= slack * COORDS
-    return out
+def values(column) -> np.ndarray:
+    """The lists of a column as a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+PAIRS = "a bigint, b bigint, la bigint, lb bigint, alike float"
 
 
-def comparer(percent: int, slack: float):
+def pairs_of(a, b, la, lb, alike) -> pa.RecordBatch:
+    swap = a > b
+    cols = (np.where(swap, b, a), np.where(swap, a, b), np.where(swap, lb, la), np.where(swap, la, lb), alike)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "la", "lb", "alike"])
+
+
+def comparer(percent: int):
     """Pairs of different components among rows with the same node, sorted by node."""
 
     def compare(batches):
@@ -149,7 +176,7 @@ def comparer(percent: int, slack: float):
         for batch in _with_end(batches):
             if batch is not None:
                 own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "k", "label", "n")}
-                own["sig"] = batch.column("sig").flatten().to_numpy().reshape(-1, COORDS)
+                own["sig"] = values(batch.column("sig"))
                 rows = own if tail is None else {c: np.concatenate([tail[c], own[c]]) for c in own}
                 # the last node may go on in the next batch
                 last = rows["node"] == rows["node"][-1]
@@ -167,11 +194,10 @@ def comparer(percent: int, slack: float):
                 a, b = same, same + d
                 apart = rows["label"][a] != rows["label"][b]
                 a, b = a[apart], b[apart]
-                good = may_link(rows["n"][a], rows["n"][b], rows["sig"][a], rows["sig"][b], percent, slack)
+                good, alike = may_link(rows["n"][a], rows["n"][b], rows["sig"][a], rows["sig"][b], percent)
                 a, b = a[good], b[good]
                 if len(a):
-                    lo, hi = np.minimum(rows["k"][a], rows["k"][b]), np.maximum(rows["k"][a], rows["k"][b])
-                    yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
+                    yield pairs_of(rows["k"][a], rows["k"][b], rows["label"][a], rows["label"][b], alike[good])
                 d += 1
 
     return compare
@@ -184,114 +210,76 @@ def _with_end(batches):
     yield None
 
 
-def overlap(one: np.ndarray, whole: bool, rows: list[np.ndarray], wholes: np.ndarray, slots: np.ndarray) -> np.ndarray:
-    """The similarity of a set with others by their least keys, all of which are known up to the lower end: exact for
-    two whole sets but for equal halves of keys. `slots`: 65,536 zeros to work in, left as they were."""
-    top = np.iinfo(np.uint32).max
-    sizes = np.array([len(r) for r in rows])
-    at = np.cumsum(sizes) - sizes
-    ends = np.array([top if w else r[-1] for r, w in zip(rows, wholes, strict=True)], np.uint32)
-    ends = np.minimum(ends, np.uint32(top) if whole else one[-1])
-    x = np.concatenate(rows)
-    known = x <= np.repeat(ends, sizes)
-    # a place for each key by its low half; those whose place another has taken are looked up one by one
-    place = (one & np.uint32(0xFFFF)).astype(np.int64)
-    slots[place] = np.arange(len(one))
-    both = one[slots[x & np.uint32(0xFFFF)]] == x
-    for v in one[slots[place] != np.arange(len(one))]:
-        both |= x == v
-    slots[place] = 0
-    both &= known
-    shared = np.add.reduceat(both.astype(np.int64), at)
-    return shared / (np.add.reduceat(known.astype(np.int64), at) + np.searchsorted(one, ends, "right") - shared)
-
-
-def margin(percent: int, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
-    """How far `overlap` may be off: some equal halves of keys, or the tail of a sample."""
-    s = percent / 100
-    return np.where(np.maximum(n1, n2) <= LEAST, 0.005, 4.5 * math.sqrt(s * (1 - s) / LEAST))
-
-
-def telling(one: np.ndarray, label: np.ndarray, alike: np.ndarray, sure: np.ndarray) -> np.ndarray:
-    """Which pairs to look at: where a class is surely linked with a component, the best pair of the two tells all."""
-    order = np.lexsort((-alike, label, one))
-    first = np.ones(len(order), bool)
-    first[1:] = (one[order][1:] != one[order][:-1]) | (label[order][1:] != label[order][:-1])
-    settled = sure[order][first]
-    out = np.zeros(len(order), bool)
-    out[order] = first | ~settled[np.cumsum(first) - 1]
-    return out
-
-
-def meeter(percent: int, slack: float):
+def meeter(percent: int):
     """Pairs of some members of a node and some others that they meet, both of a bounded number."""
 
     def fields(cell):
         flat = cell.values
         k, label, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        least = [np.frombuffer(v.as_py(), np.uint32) for v in flat.field(4)]
-        return k, label, n, flat.field(3).flatten().to_numpy().reshape(-1, COORDS), least
+        return k, label, n, values(flat.field(3))
 
     def meet(batches):
-        slots = np.zeros(1 << 16, np.int16)
         for batch in batches:
-            a, b = [], []
             for members, others in zip(batch.column("members"), batch.column("others"), strict=True):
-                k, label, n, sig, least = fields(members)
-                one, two, alike, off = [], [], [], []
-                for ok, olabel, on, osig, oleast in zip(*fields(others), strict=True):
-                    at = np.flatnonzero(label != olabel)
-                    at = at[may_link(n[at], np.full(len(at), on), sig[at], osig[None, :].repeat(len(at), 0), percent, slack)]
-                    if len(at):
-                        one.append(np.full(len(at), ok))
-                        two.append(at)
-                        alike.append(overlap(oleast, on <= LEAST, [least[i] for i in at], n[at] <= LEAST, slots))
-                        off.append(margin(percent, n[at], on))
-                if one:
-                    one, two, alike, off = (np.concatenate(v) for v in (one, two, alike, off))
-                    good = alike >= percent / 100 - off
-                    one, two, alike, off = one[good], two[good], alike[good], off[good]
-                    good = telling(one, label[two], alike, alike >= percent / 100 + off)
-                    a.append(np.minimum(one[good], k[two[good]]))
-                    b.append(np.maximum(one[good], k[two[good]]))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                (k, label, n, sig), (ok, olabel, on, osig) = fields(members), fields(others)
+                a, b = np.nonzero((label[:, None] != olabel[None, :]) & (k[:, None] != ok[None, :]))
+                good, alike = may_link(n[a], on[b], sig[a], osig[b], percent)
+                a, b = a[good], b[good]
+                if len(a):
+                    yield pairs_of(k[a], ok[b], label[a], olabel[b], alike[good])
 
     return meet
 
 
-def leader_filter(percent: int, slack: float):
+def leader_filter(percent: int):
+    """Pairs of a node's members with its leader."""
+
     def filtered(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            s = [b.column(c).flatten().to_numpy().reshape(-1, COORDS) for c in ("sig", "lead_sig")]
-            good = may_link(b.column("n").to_numpy(), b.column("lead_n").to_numpy(), *s, percent, slack)
-            yield pa.RecordBatch.from_arrays([b.column("lead").filter(pa.array(good)), b.column("k").filter(pa.array(good))], ["a", "b"])
+            k, n, label, lead, lead_n, lead_label = (b.column(c).to_numpy(zero_copy_only=False) for c in ("k", "n", "label", "lead", "lead_n", "lead_label"))
+            good, alike = may_link(n, lead_n, values(b.column("sig")), values(b.column("lead_sig")), percent)
+            yield pairs_of(k[good], lead[good], label[good], lead_label[good], alike[good])
 
     return filtered
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, tables: Tables, words: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) that reach the threshold, on full sets made anew from the texts."""
-    needed = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
-    wanted = classes.select("k", "rep").join(needed, "k", "left_semi")
-    texts = docs.join(wanted, docs["id"] == wanted["rep"]).select("k", "text")
-    made = texts.mapInArrow(set_maker(words), "k bigint, shingles array<bigint>")
-    made = tables.put(made.dropDuplicates(["k"]))
-    left = made.select(F.col("k").alias("a"), F.col("shingles").alias("sa"))
-    right = made.select(F.col("k").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
-    out = tables.put(both.where(F.col("i") * 100 >= percent * (F.col("t") - F.col("i"))).select("a", "b"))
-    tables.drop(made)
-    return out
+def fetched(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """k and the set of each wanted class (k, rep, h), made anew from a text of it."""
+    same = docs["id"].eqNullSafe(wanted["rep"]) & (docs["h"] == wanted["h"])
+    made = docs.join(wanted, same).select("k", "text").mapInArrow(set_maker(words), "k bigint, shingles array<bigint>")
+    return made.dropDuplicates(["k"])
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs that reach the threshold on full sets."""
+    left, right = sets.select(F.col("k").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("k").alias("b"), F.col("shingles").alias("sb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "la", "lb", F.size(F.array_intersect("sa", "sb")).cast("long").alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
+    return both.where(F.col("i") * 100 >= percent * (F.col("t") - F.col("i"))).select("a", "b", "la", "lb")
+
+
+def settle(pairs: DataFrame, sets: DataFrame, tables: Tables, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """Links among the pairs, and labels joined by them: first the most alike pair of any two labels, then what still lies between two."""
+    pairs = tables.put(pairs.distinct())
+    best = pairs.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max_by(F.struct("a", "b", "la", "lb"), F.struct("alike", "a", "b")).alias("p")).select("p.*")
+    links = tables.put(confirmed(best, sets, percent))
+    comps = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), tables)
+    left = relabel(relabel(pairs, comps, "la"), comps, "lb").where("la <> lb").join(best.select("a", "b"), ["a", "b"], "left_anti")
+    more = tables.put(confirmed(left, sets, percent))
+    if not more.limit(1).count():
+        return [links], comps
+    joined = links.select(F.col("la").alias("a"), F.col("lb").alias("b")).union(more.select("la", "lb"))
+    # labels of `more` are those after the first links: the two kinds of edges hang together by comps
+    joined = joined.union(comps.select("k", "c"))
+    return [links, more], components(joined, tables)
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """k and the smallest key of its component, for each k that has an edge."""
     both = tables.put(edges.union(edges.select("b", "a")).where("a <> b").distinct().toDF("k", "v"))
     labels = tables.put(both.groupBy("k").agg(F.least(F.min("v"), F.col("k")).alias("c")))
-    while True:
+    while labels.limit(1).count():
         near = both.join(labels.select(F.col("k").alias("v"), F.col("c").alias("vc")), "v").groupBy("k").agg(F.min("vc").alias("vc"))
         step = tables.put(labels.join(near, "k").select("k", F.least("c", "vc").alias("c"), F.col("c").alias("old")))
         jump = step.select(F.col("k").alias("c"), F.col("c").alias("cc"))
@@ -302,100 +290,185 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
         labels = new.select("k", "c")
         labels._civicspark_path = new._civicspark_path
         if not changed:
-            tables.drop(both)
-            return labels
-
-
-def relabel(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """rows: k, label, ...; labels become their components'."""
-    return rows.join(comps.select(F.col("k").alias("label"), "c"), "label", "left").withColumn("label", F.coalesce("c", "label")).drop("c")
+            break
+    tables.drop(both)
+    return labels
+
+
+def relabel(rows: DataFrame, comps: DataFrame, label: str = "label") -> DataFrame:
+    """rows with a label; labels become their components'."""
+    return rows.join(comps.select(F.col("k").alias(label), "c"), label, "left").withColumn(label, F.coalesce("c", label)).drop("c")
+
+
+def missed(percent: int, depth: int, trees: int) -> float:
+    """The chance that two sets at the threshold share no node of `depth` levels in any of the trees, which choose from the same COORDS values."""
+    s, total = percent / 100, 0.0
+    for m in range(COORDS + 1):
+        lost, q = 0.0, m / COORDS
+        for _ in range(depth):
+            lost = (1 - q + q * lost) ** 2
+        total += math.comb(COORDS, m) * s**m * (1 - s) ** (COORDS - m) * lost**trees
+    return total
+
+
+def several(level: DataFrame) -> DataFrame:
+    """Nodes with two labels or more: size, the most frequent label, and how many classes have another."""
+    held = level.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
+    return held.where(F.col("size") > F.col("top.c")).select("node", "size", F.col("top.label").alias("major"), (F.col("size") - F.col("top.c")).alias("rest"))
+
+
+def led(level: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes with the leader of their node. level: node, k, label, weight; classes: k, n, sig."""
+    leads = level.groupBy("node").agg(F.max_by(F.struct("k", "label"), F.struct("weight", "k")).alias("l")).select("node", F.col("l.k").alias("lead"), F.col("l.label").alias("lead_label"))
+    pairs = level.select("node", "k", "label").join(leads, "node").where((F.col("k") != F.col("lead")) & (F.col("label") != F.col("lead_label"))).select("k", "label", "lead", "lead_label").distinct()
+    pairs = pairs.join(classes.select("k", "n", "sig"), "k").join(classes.select(F.col("k").alias("lead"), F.col("n").alias("lead_n"), F.col("sig").alias("lead_sig")), "lead")
+    return pairs.mapInArrow(leader_filter(percent), PAIRS)
+
+
+def compared(level: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs within nodes, exhaustively; nodes are small. level: node, k, label; classes: k, n, sig."""
+    rows = level.select("node", "k", "label").join(classes.select("k", "n", "sig"), "k").select("node", "k", "label", "n", "sig")
+    return rows.repartition(scan_tasks(level.sparkSession), "node").sortWithinPartitions("node").mapInArrow(comparer(percent), PAIRS)
+
+
+def met(level: DataFrame, classes: DataFrame, percent: int, small: int, seed: int) -> DataFrame:
+    """Pairs of the classes outside a node's main label with all others of the node, in chunks. level: node, k, label, size, major, rest."""
+    chunk = lambda count, most: F.pmod(F.xxhash64("k", F.lit(seed)), F.ceil(F.col(count) / most))
+    rows = level.join(classes.select("k", "n", "sig"), "k")
+    row = F.struct("k", "label", "n", "sig")
+    others = rows.where("label <> major").groupBy("node", chunk("rest", small).alias("chunk")).agg(F.collect_list(row).alias("others")).select("node", "others")
+    members = rows.groupBy("node", chunk("size", CHUNK).alias("chunk")).agg(F.collect_list(row).alias("members")).select("node", "members")
+    return members.join(others, "node").select("members", "others").mapInArrow(meeter(percent), PAIRS)
+
+
+def crowd_links(level: DataFrame, docs: DataFrame, classes: DataFrame, tables: Tables, words: int, percent: int, recall: float, small: int, seed: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Links among the classes of large nodes (node, k, label, size), and what became of their labels: k (class), label."""
+    s, links = percent / 100, []
+    wanted = classes.join(level.select("k").distinct(), "k", "left_semi").select("k", "rep", "h")
+    sets = tables.put(fetched(wanted, docs, words))
+    crowd = tables.put(sets.mapInArrow(widener, "k bigint, sig array<smallint>").join(classes.select("k", "n"), "k").select("k", "n", "sig"))
+    labels = tables.put(level.select("k", "label").distinct())
+
+    def learn(pairs: DataFrame) -> None:
+        nonlocal labels
+        found, comps = settle(pairs, sets, tables, percent)
+        links.extend(found)
+        new = tables.put(relabel(labels, comps))
+        tables.drop(labels)
+        labels = new
+
+    # leaders once more, now by many values
+    for turn in range(2):
+        weight = F.xxhash64("k", F.lit(seed + turn))
+        nodes = tables.put(level.select("node", "k").join(labels, "k").withColumn("weight", weight))
+        learn(led(nodes.join(several(nodes).select("node"), "node", "left_semi"), crowd, percent))
+    held = several(level.select("node", "k").join(labels, "k"))
+    level = tables.put(level.select("node", "k").join(held.where(F.col("size") > small).select("node", "size"), "node"))
+    largest = level.agg(F.max("size")).first()[0]
+    level = level.select(F.lit(0).cast("long").alias("node"), "k").distinct()
+    for turn in range(ROUNDS):
+        if not largest:
+            break
+        length = min(20, max(4, math.ceil(math.log(largest / small, 2))))
+        trees = math.ceil(math.log(1 - recall) / math.log(1 - s**length))
+        grown = level.join(crowd.select("k", "sig"), "k").mapInArrow(brancher(length, trees, seed + turn), "node bigint, k bigint")
+        grown = tables.put(grown.join(labels, "k"))
+        level = tables.put(grown.join(several(grown), "node"))
+        tables.drop(grown)
+        few, crowded = F.col("size") <= CHUNK, F.col("rest") <= small
+        last = F.lit(turn == ROUNDS - 1)
+        learn(compared(level.where(few), crowd, percent).union(met(level.where(~few & (crowded | last)), crowd, percent, small, seed)))
+        if turn == ROUNDS - 1:
+            break
+        level = level.where(~few & ~crowded).select("node", "k").join(labels, "k").withColumn("weight", F.xxhash64("k", F.lit(seed - turn)))
+        level = tables.put(level.join(several(level).select("node", "size"), "node"))
+        largest = level.agg(F.max("size")).first()[0]
+        if largest:
+            learn(led(level, crowd, percent))
+    return links, labels
+
+
+def brancher(length: int, trees: int, seed: int):
+    """The nodes of classes in some trees: each names `length` of the values after COORDS."""
+    chosen = np.stack([np.random.default_rng([seed, t]).choice(np.arange(COORDS, WIDE), length, replace=False) for t in range(trees)])
+
+    def branch(batches):
+        for batch in batches:
+            sig = values(batch.column("sig")).view(np.uint16).astype(np.uint64)
+            node, k = batch.column("node").to_numpy().view(np.uint64), batch.column("k").to_numpy()
+            with np.errstate(over="ignore"):
+                for t in range(trees):
+                    out = mix64(node + np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15))
+                    for c in chosen[t]:
+                        out = mix64(out + sig[:, c])
+                    yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(k)], ["node", "k"])
 
+    return branch
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, recall: float = 0.9999, small: int = 24, depth: int = 6, leader_bands: int = 8, seed: int = 5) -> DataFrame:
-    """Per row: id, n_shingles, component_id (smallest id reachable by links) and kept (id = component_id).
 
-    words: words in a shingle; percent: shared shingles of the pair's union, in hundredths, for a link.
-    recall: the chance that a pair at the threshold is compared. small, depth: see above. leader_bands: short paths of
-    three coordinates that leaders are taken from.
-    """
+def judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, recall: float, small: int, depth: int, leader_bands: int, seed: int) -> DataFrame:
+    """Per row: id, h (hash of the text), n (size of its set), k (its class, null without words), component and kept."""
     spark, tables = docs.sparkSession, Tables(docs.sparkSession, "near-dup")
-    s = percent / 100
-    slack = max(0.0, s - 4.5 * math.sqrt(s * (1 - s) / COORDS))
-    lost = (1 - s + s * 0) ** 2
-    for _ in range(200):  # the chance that a pair's path ends, at any depth
-        lost = (1 - s + s * lost) ** 2
-    trees = max(1, math.ceil(math.log(1 - recall) / math.log(lost))) if lost < 1 else 16
+    trees = next((t for t in range(1, 64) if missed(percent, depth, t) <= 1 - recall), 64)
     kind = dict(docs.dtypes)[id_col]
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketch = tables.put(slim.mapInArrow(sketcher(words), f"id {kind}, n bigint, k bigint, sig array<smallint>"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    sketch = tables.put(slim.mapInArrow(sketcher(words), f"id {kind}, h bigint, n bigint, k bigint, sig array<smallint>"))
     # One row for each set; the values are the same for all its copies.
-    classes = sketch.where("n > 0").groupBy("k").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.first("sig").alias("sig"))
-    classes = tables.put(classes)
-    linkable = classes.where("rep IS NOT NULL").select("k", F.col("k").alias("label"), "n", "sig")
-    named = slim.where("id IS NOT NULL AND text IS NOT NULL")
+    first = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "h")).alias("f")
+    classes = tables.put(sketch.where("n > 0").groupBy("k").agg(first, F.min("n").alias("n"), F.first("sig").alias("sig")).select("k", F.col("f.id").alias("rep"), F.col("f.h").alias("h"), "n", "sig"))
+    own = classes.select("k", F.col("k").alias("label"), "sig")
 
-    # Leaders: short paths; each class against the smallest of its node.
+    # Leaders: short paths; each class against the one with the most company in all its nodes, the middle of a group of near copies.
     def band(b):
         at = [int(x) for x in np.random.default_rng(seed * 1000 + b).choice(COORDS, 3, replace=False)]
         return F.xxhash64(F.lit(b), *(F.col("sig")[i] for i in at))
 
-    banded = linkable.select("k", "n", "sig", F.explode(F.array(*(band(b) for b in range(leader_bands)))).alias("node"))
-    # A leader is the class of its node with the most company in all its nodes: the middle of a group of near copies.
-    company = banded.select("node", "k").join(banded.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node")
+    banded = own.select("k", "label", F.explode(F.array(*(band(b) for b in range(leader_bands)))).alias("node"))
+    company = banded.join(banded.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "node")
     company = tables.put(company.groupBy("k").agg(F.sum("size").alias("weight")))
-    leads = banded.select("node", "k").join(company, "k").groupBy("node").agg(F.max_by("k", F.struct("weight", "k")).alias("lead"))
-    # k and lead only; the values are joined to distinct pairs
-    pairs = banded.select("node", "k").join(leads, "node").where("k <> lead").select("k", "lead").distinct()
-    pairs = pairs.join(linkable.select("k", "n", "sig"), "k").join(linkable.select(F.col("k").alias("lead"), F.col("n").alias("lead_n"), F.col("sig").alias("lead_sig")), "lead")
-    pairs = tables.put(pairs.select("k", "n", "sig", "lead", "lead_n", "lead_sig").mapInArrow(leader_filter(percent, slack), "a bigint, b bigint"))
-    comps = components(confirm(pairs, named, classes, tables, words, percent), tables)
-
-    # Trees: branch while nodes are large and hold more than one component.
-    rows = tables.put(relabel(linkable, comps))
-    children = lambda node: F.array(*(_child(node, j, seed) for j in range(2)))
-    level = rows.select("k", "label", "n", "sig", F.explode(F.array(*(F.xxhash64(F.lit(seed), F.lit(t)) for t in range(trees)))).alias("node"))
-    found, crowds = None, []
-    for d in range(1, depth + 1):
-        level = level.withColumn("node", F.explode(children(F.col("node"))))
-        held = level.groupBy("node", "label").agg(F.count("*").alias("c")).groupBy("node").agg(F.sum("c").alias("size"), F.max(F.struct("c", "label")).alias("top"))
-        held = held.where(F.col("size") > F.col("top.c")).select("node", "size", F.col("top.label").alias("major"), (F.col("size") - F.col("top.c")).alias("rest"))
-        level = tables.put(level.join(held, "node"))
-        few = level.where(F.col("size") <= small).select("node", "k", "label", "n", "sig")
-        more = few.repartition(scan_tasks(spark), "node").sortWithinPartitions("node").mapInArrow(comparer(percent, slack), "a bigint, b bigint")
-        # large nodes of one component and few others: the others against all; at the last level however many they are
-        settled = (F.col("rest") <= small) | (F.col("rest") * 2 <= F.col("size"))
-        crowds.append(level.where((F.col("size") > small) & (settled | F.lit(d == depth))))
-        more = tables.put(more.distinct())
-        found = more if found is None else found.union(more)
-        if d < depth:
-            grown = level.where((F.col("size") > small) & ~settled).drop("size", "major", "rest")
-            if not grown.limit(1).count():
-                break
-            level = grown
-    crowd = reduce(DataFrame.union, crowds).select("node", "k", "label", "n", "sig", "major", "rest", "size")
-    if crowd.limit(1).count():
-        needed = classes.select("k", "rep").join(crowd.select("k").distinct(), "k", "left_semi")
-        least = named.join(needed, named["id"] == needed["rep"]).select("k", "text").mapInArrow(least_maker(words), "k bigint, least binary")
-        crowd = crowd.join(tables.put(least.dropDuplicates(["k"])), "k")
-        # both sides in chunks: a chunk of members goes to Python with a chunk of others, not each member with them
-        chunk = lambda count, most: F.pmod(F.xxhash64("k", F.lit(seed)), F.ceil(count / most))
-        row = F.struct("k", "label", "n", "sig", "least")
-        others = crowd.where("label <> major").groupBy("node", chunk(F.col("rest"), small).alias("chunk")).agg(F.collect_list(row).alias("others")).select("node", "others")
-        members = crowd.groupBy("node", chunk(F.col("size"), 128).alias("chunk")).agg(F.collect_list(row).alias("members")).select("node", "members")
-        met = members.join(others, "node").select("members", "others")
-        found = found.union(tables.put(met.mapInArrow(meeter(percent, slack), "a bigint, b bigint").distinct()))
-    links = confirm(found.distinct(), named, classes, tables, words, percent)
-    # components of components
-    label = rows.select("k", "label")
-    tied = links.join(label.withColumnRenamed("label", "la"), links["a"] == label["k"]).select("la", "b")
-    tied = tied.join(label.withColumnRenamed("label", "lb"), tied["b"] == label["k"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b")
-    comps = components(tables.put(tied), tables)
-    member = relabel(classes.select("k", "rep", F.col("k").alias("label")).join(label.withColumnRenamed("label", "l1"), "k", "left").withColumn("label", F.coalesce("l1", "label")).drop("l1"), comps)
+    pairs = tables.put(led(banded.join(company, "k"), classes, percent))
+    sets = tables.put(fetched(_named(pairs, classes), slim, words))
+    links = [tables.put(confirmed(pairs, sets, percent))]
+    tables.drop(sets)
+    comps = components(links[0].select("a", "b"), tables)
+
+    # Trees: two levels at once, then on while nodes are large and hold more than one component.
+    rows = tables.put(relabel(own, comps))
+    pairs, level = [], rows
+    for d in range(2, depth + 1):
+        if d == 2:
+            node = [_child(_child(F.xxhash64(F.lit(seed), F.lit(t)), i, seed), j, seed) for t in range(trees) for i in range(2) for j in range(2)]
+            grown = level.select("k", "label", F.explode(F.array(*node)).alias("node"))
+        else:
+            grown = level.join(classes.select("k", "sig"), "k").select("k", "label", F.explode(F.array(*(_child(F.col("node"), j, seed) for j in range(2)))).alias("node"))
+        level = tables.put(grown.join(several(grown).select("node", "size"), "node"))
+        pairs.append(tables.put(compared(level.where(F.col("size") <= small), classes, percent).distinct()))
+        level = level.where(F.col("size") > small)
+    labels = rows.select("k", "label")
+    if level.limit(1).count():
+        more, crowd = crowd_links(level, slim, classes, tables, words, percent, recall, small, seed)
+        links += more
+        labels = labels.join(crowd.select("k", F.col("label").alias("later")), "k", "left").select("k", F.coalesce("later", "label").alias("label"))
+    found = pairs[0]
+    for p in pairs[1:]:
+        found = found.union(p)
+    now = labels.select(F.col("k").alias("a"), F.col("label").alias("la")), labels.select(F.col("k").alias("b"), F.col("label").alias("lb"))
+    found = tables.put(found.select("a", "b", "alike").distinct().join(now[0], "a").join(now[1], "b").where("la <> lb").select("a", "b", "la", "lb", "alike"))
+    links += settle(found, tables.put(fetched(_named(found, classes), slim, words)), tables, percent)[0]
+
+    edges = links[0].select("a", "b")
+    for link in links[1:]:
+        edges = edges.union(link.select("a", "b"))
+    member = relabel(classes.select("k", "rep", F.col("k").alias("label")), components(edges, tables))
     smallest = member.groupBy("label").agg(F.min("rep").alias("component"))
-    member = tables.put(member.join(smallest, "label").select("k", "component"))
-    out = sketch.select("id", "n", F.when(F.col("n") > 0, F.col("k")).alias("k")).join(member, "k", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    member = tables.put(member.join(smallest, "label").select("k", "component", F.col("label").alias("group")))
+    out = sketch.select("id", "h", "n", F.when(F.col("n") > 0, F.col("k")).alias("k")).join(member, "k", "left")
+    out = out.withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.col("component").isNull()))
+
+
+def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    return classes.join(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct(), "k", "left_semi").select("k", "rep", "h")
 
 
 def _child(node, j: int, seed: int):
@@ -403,10 +476,35 @@ def _child(node, j: int, seed: int):
     return F.xxhash64(node, at, F.element_at(F.col("sig"), at))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each component, with the columns it came with; documents without words stay."""
-    kept = near_duplicates(docs, id_col, **options).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, recall: float = 0.9995, small: int = 24, depth: int = 3, leader_bands: int = 8, seed: int = 5) -> DataFrame:
+    """Per row: id, n_shingles, component_id (smallest id reachable by links) and kept (id = component_id).
+
+    words: words in a shingle; percent: shared shingles of the pair's union, in hundredths, for a link.
+    recall: the chance that a pair at the threshold is compared. small, depth: see above. leader_bands: short paths of
+    three coordinates that leaders are taken from.
+    """
+    out = judged(docs, id_col, text_col, words, percent, recall, small, depth, leader_bands, seed)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, recall: float = 0.9995, small: int = 24, depth: int = 3, leader_bands: int = 8, seed: int = 5) -> DataFrame:
+    """One row of each component, with the columns it came with; rows without words all stay.
+
+    Where the representative's id occurs more than once, the text of the least hash stays, once.
+    """
+    tables = Tables(docs.sparkSession, "kept")
+    rows = judged(docs, id_col, text_col, words, percent, recall, small, depth, leader_bands, seed).where("kept AND n > 0")
+    one = rows.groupBy("group", "id", "h").agg(F.count("*").alias("times")).groupBy("group").agg(F.min(F.struct("h", "id", "times")).alias("o"))
+    one = tables.put(one.select(F.col("o.id").alias("_id"), F.col("o.h").alias("_h"), F.col("o.times").alias("_times")))
+    text = F.col(text_col).cast("string")
+    keyed = docs.withColumn("_text_hash", F.xxhash64(text))
+    wordless = F.coalesce(~text.rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    same = lambda few: F.col(id_col).eqNullSafe(few["_id"]) & (F.col("_text_hash") == few["_h"])
+    single, repeated = one.where("_times = 1"), one.where("_times > 1")
+    stay = keyed.join(single, same(single), "left_semi").where(~wordless)
+    # copies of one row: any of them, chosen with a partial aggregation before the shuffle
+    stay = stay.union(keyed.join(repeated, same(repeated), "left_semi").where(~wordless).dropDuplicates([id_col, "_text_hash"]))
+    return stay.union(keyed.where(wordless)).drop("_text_hash")
 
 
 def op1_near_dup(spark, sf_dir):

@@ -67,3 +67,34 @@ def test_nulls_repeats_and_no_rows(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "z"), (None, None)], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect()), key=str)
     assert got == sorted([(None, 4, False), (4, 4, True), (4, 4, True), (None, None, True), (None, None, True)], key=str)
+
+
+def test_two_texts_under_one_id_keep_their_links(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "alone and apart from all of them")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_dup.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
+def test_one_row_of_a_component_stays(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, a, "x"), (1, a, "x"), (1, a, "x"), (2, a + " more", "y"), (None, "q r s t u", "z"), (None, "q r s t u", "z"), (5, "", "e"), (5, "", "e"), (6, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k string")
+    got = sorted(map(tuple, near_dup.drop_near_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, a, "x"), (None, "q r s t u", "z"), (5, "", "e"), (5, "", "e"), (6, None, "n")], key=str)
+
+
+def test_crowds_of_unlinked_copies_match_brute_force(spark):
+    """A large group near the threshold: most pairs aren't linked, some are, and only full comparison tells."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(260):
+        own = list(base)
+        for at in rng.sample(range(120), rng.randint(4, 12)):
+            own[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, words=2, small=6).collect()}
+    assert got == {i: root for i, (_, root) in enumerate(brute(texts, 2, 80))}
