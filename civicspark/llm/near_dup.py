@@ -262,10 +262,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def settle(pairs: DataFrame, sets: DataFrame, tables: Tables, percent: int) -> tuple[list[DataFrame], DataFrame]:
     """Links among the pairs, and labels joined by them: first the most alike pair of any two labels, then what still lies between two."""
     pairs = tables.put(pairs.distinct())
+    if not pairs.limit(1).count():
+        return [], pairs.select(F.col("la").alias("k"), F.col("lb").alias("c"))
     best = pairs.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max_by(F.struct("a", "b", "la", "lb"), F.struct("alike", "a", "b")).alias("p")).select("p.*")
     links = tables.put(confirmed(best, sets, percent))
+    found = links.limit(1).count()
+    left = pairs if found else pairs.join(best.select("a", "b"), ["a", "b"], "left_anti")
     comps = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), tables)
-    left = relabel(relabel(pairs, comps, "la"), comps, "lb").where("la <> lb").join(best.select("a", "b"), ["a", "b"], "left_anti")
+    if found:
+        left = relabel(relabel(pairs, comps, "la"), comps, "lb").where("la <> lb").join(best.select("a", "b"), ["a", "b"], "left_anti")
     more = tables.put(confirmed(left, sets, percent))
     if not more.limit(1).count():
         return [links], comps
