@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .text import unaccent
+
 
 def highlight_one(text: str | None, query: str | None, context: int = 10, limit: int = 1000) -> str:
     """The stretch around the first word that begins with a query word, all such words in it marked.
@@ -42,3 +44,19 @@ def headline(text: Column | str, terms: list[str]) -> Column:
         return c
     either = "|".join(re.sub(r"([\\^$.|?*+(){}\[\]])", r"\\\1", t) for t in sorted(terms, key=len, reverse=True))
     return F.regexp_replace(c, rf"(?iuU)\b((?:{either})\w*)", "<mark>$1</mark>")
+
+
+def fragment(text: Column | str, terms: list[str], most: int = 18) -> Column:
+    """One stretch of at most `most` words around the first word that a term begins, with such words marked; accents and case are folded.
+
+    The stretch begins up to `most` // 2 words before that word, earlier where the text ends sooner; without a hit it is the text's start.
+    """
+    c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    words = F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    either = "|".join(re.escape(t) for t in sorted(terms, key=len, reverse=True))
+    hit = lambda w: F.regexp_replace(unaccent(F.lower(w)), r"[^\p{L}\p{N}]", "").rlike(f"^(?:{either})") if terms else F.lit(False)
+    flags = F.transform(words, hit)
+    first = F.greatest(F.array_position(flags, True), F.lit(1))
+    start = F.greatest(F.lit(1), F.least(first - most // 2, F.size(words) - (most - 1)))
+    shown = F.transform(F.slice(words, start.cast("int"), F.lit(most)), lambda w: F.when(hit(w), F.concat(F.lit("<mark>"), w, F.lit("</mark>"))).otherwise(w))
+    return F.array_join(shown, " ")

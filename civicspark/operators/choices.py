@@ -70,6 +70,11 @@ def top_answers(answers: DataFrame, question: str = "question_id", text: str = "
     return counts.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def unlinked(answers: DataFrame, links: DataFrame) -> DataFrame:
+    """Answers without a link. A link to nothing (null) excludes no answer, as an anti-join has it; NOT IN would exclude all."""
+    return answers.join(links.select(F.col("answer_id").alias("_linked")), F.col("id") == F.col("_linked"), "left_anti")
+
+
 def fix_choice(answers: DataFrame, questions: DataFrame, n: int = 15, prefix: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Turn questions into single choices: options from their top answers, links of the answers, and the new types.
 

@@ -1,6 +1,7 @@
 """A wide survey file to the normalized tables: one pass over the rows, keys by content, no row-wise lookups.
 
-Ids are hashes of natural keys, so runs agree and new files can be added to old tables.
+Ids are hashes of natural keys, so runs agree and new files can be added to old tables. "First" and "last" rows
+are those of the file order, which a column of the rows gives; without one the rows' hashes stand for it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .caches import latest_wins
 from ..functions.text import option_code, parse_datetime, row_hash, truthy
 from ..schema import MAX_CODE
 from ..sources.mapping import check_mapping, columns_of
@@ -36,9 +38,9 @@ def kept_rows(rows: DataFrame) -> DataFrame:
     """Without rows that were withdrawn."""
     out = rows
     if "trashed" in rows.columns:
-        out = out.where(~F.lower(F.trim("trashed")).isin("1", "true", "yes", "vrai"))
+        out = out.where(~F.coalesce(F.lower(F.trim("trashed")), F.lit("")).isin("1", "true", "yes", "vrai"))
     if "trashedStatus" in rows.columns:
-        status = F.lower(F.trim("trashedStatus"))
+        status = F.coalesce(F.lower(F.trim("trashedStatus")), F.lit(""))
         out = out.where((status == "") | (status == "kept"))
     return out
 
@@ -48,25 +50,44 @@ def joined(columns: list[str], joiner: str) -> Column:
     return F.array_join(F.filter(F.array(*(F.trim(F.col(f"`{c}`")) for c in columns)), lambda x: x != ""), joiner)
 
 
-def merged_texts(rows: DataFrame, keys: list[str], text: str, order: list[Column], joiner: str = "\n\n") -> DataFrame:
-    """One text per key: in order, each appended unless what is there already holds it."""
+def merged_texts(rows: DataFrame, keys: list[str], text: str, order: list[Column], joiner: str = "\n\n", most: int = 10_000) -> DataFrame:
+    """One text per key: in order, each appended unless what is there already holds it.
+
+    The texts of a key meet in one row: more than `most` are an error, as they are no longer one person's answer.
+    """
+    rows = rows.groupBy(*keys, F.col(text).alias(text)).agg(*(F.min(o).alias(f"_o{i}") for i, o in enumerate(order)))  # a text again adds nothing
+    order = [F.col(f"_o{i}") for i in range(len(order))]
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.col(text).alias("t")))), lambda x: x["t"])
     merged = F.aggregate(ordered, F.lit("").cast("string"), lambda a, x: F.when(a == "", x).when(F.contains(a, x), a).otherwise(F.concat(a, F.lit(joiner), x)))
-    return rows.groupBy(*keys).agg(merged.alias(text))
+    held = F.when(F.count("*") > most, F.raise_error(F.lit(f"more than {most} texts of one key"))).otherwise(merged)
+    return rows.groupBy(*keys).agg(held.alias(text))
+
+
+def unpivot(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """key, question, answer, position: a row for each filled cell, numbered in the order of `columns` (question by column)."""
+    cells = F.array(*(F.struct(F.lit(q).alias("question"), F.col(f"`{c}`").cast("string").alias("answer")) for c, q in columns.items()))
+    filled = F.filter(cells, lambda x: F.coalesce(F.trim(x["answer"]), F.lit("")) != "")
+    return rows.select(F.col(key), F.posexplode(filled).alias("_i", "_c")).select(key, "_c.question", "_c.answer", (F.col("_i") + 1).alias("position"))
+
 
+def ingest(rows: DataFrame, mapping: dict, max_dynamic: int = 500, order: str | None = None, merge: bool = False) -> Survey:
+    """rows: text columns of the file. max_dynamic: options that values may add to a question; more is an error.
 
-def ingest(rows: DataFrame, mapping: dict, max_dynamic: int = 500) -> Survey:
-    """rows: text columns of the file. max_dynamic: options that values may add to a question; more is an error."""
+    order: a column with the rows' order in the files, which is no part of the survey. merge: a contribution that
+    occurs in several rows keeps the texts of all, joined in order, where else its last row replaces the others.
+    """
     errors, _ = check_mapping(mapping)
     if errors:
         raise ValueError("; ".join(errors))
     spark, form = rows.sparkSession, mapping["form"]
     defaults = mapping.get("defaults") or {}
     author_of, contribution_of = defaults.get("author") or {}, defaults.get("contribution") or {}
-    have = set(rows.columns)
+    have = set(rows.columns) - {order}
     field = lambda spec: F.nullif(F.trim(F.col(f"`{spec}`")), F.lit("")) if spec in have else F.lit(None).cast("string")
     original = sorted(have)
-    rows = kept_rows(rows).withColumn("_hash", row_hash(original)).dropDuplicates(["_hash"])
+    rows = kept_rows(rows).withColumn("_hash", row_hash(original)).withColumn("_order", F.col(order) if order else F.col("_hash"))
+    # of equal rows the first
+    rows = rows.groupBy("_hash").agg(F.min("_order").alias("_order"), *(F.first(F.col(f"`{c}`")).alias(c) for c in original))
     rows = rows.withColumn("_json", F.to_json(F.struct(*(F.col(f"`{c}`") for c in original))))
 
     one = spark.range(1)
@@ -82,13 +103,13 @@ def ingest(rows: DataFrame, mapping: dict, max_dynamic: int = 500) -> Survey:
     author_id = F.when(email.isNotNull(), key(F.lit("e"), email)).when(source_id.isNotNull(), key(F.lit("s"), source_id)).otherwise(key(F.lit("r"), F.col("_hash")))
     rows = rows.withColumn("_author", author_id if has_author else F.lit(None).cast("long"))
     attributes = ["source_author_id", "name", "email_hash", "zipcode", "city", "age_range", "gender"]
-    first = F.row_number().over(Window.partitionBy("_author").orderBy("_hash"))
-    authors = rows.where("_author IS NOT NULL").withColumn("_first", first).where("_first = 1").select(F.col("_author").alias("id"), *(field(author_of.get(a)).alias(a) for a in attributes))
+    person = F.struct(*(field(author_of.get(a)).alias(a) for a in attributes))
+    authors = rows.where("_author IS NOT NULL").groupBy("_author").agg(F.min_by(person, F.struct("_order", "_hash")).alias("p")).select(F.col("_author").alias("id"), "p.*")
 
     source_contribution = field(contribution_of.get("source_contribution_id"))
     rows = rows.withColumn("_contribution", key(F.lit(form.get("source") or ""), F.coalesce(source_contribution, F.col("_hash"))))
-    last = F.row_number().over(Window.partitionBy("_contribution").orderBy(F.desc("_hash")))
-    rows = rows.withColumn("_last", last).where("_last = 1").drop("_last")
+    every = rows
+    rows = latest_wins(rows, ["_contribution"], [F.desc("_order"), F.desc("_hash")])
     contributions = rows.select(
         F.col("_contribution").alias("id"), source_contribution.alias("source_contribution_id"), F.col("_author").alias("author_id"), form_id.alias("form_id"), F.lit(contribution_of.get("source") or form.get("source")).alias("source"),
         parse_datetime(field(contribution_of.get("submitted_at"))).alias("submitted_at"), field(contribution_of.get("title")).alias("title"), F.col("_hash").alias("raw_hash"), F.col("_json").alias("raw_json"),
@@ -116,17 +137,21 @@ def ingest(rows: DataFrame, mapping: dict, max_dynamic: int = 500) -> Survey:
             split = F.transform(F.split(column, "[" + (q.get("delimiter") or ";") + "]"), lambda x: F.trim(x)) if q.get("options_from_values") or not ticked else F.array().cast("array<string>")
             labels = F.array_distinct(F.filter(F.concat(F.array(*ticked).cast("array<string>"), split), lambda x: x.isNotNull() & (x != "")))
         cells.append(F.struct(F.lit(code).alias("question_code"), F.nullif(text, F.lit("")).alias("text"), value.alias("value_json"), labels.alias("labels")))
-    long = rows.select(F.col("_contribution").alias("contribution_id"), F.explode(F.array(*cells)).alias("c")).select("contribution_id", "c.*")
-    long = long.where("text IS NOT NULL OR value_json IS NOT NULL OR size(labels) > 0").withColumn("question_id", question_id).withColumn("id", key(F.col("contribution_id"), F.col("question_id"), F.lit(1)))
+    unpivoted = lambda r: r.select(F.col("_contribution").alias("contribution_id"), F.col("_order").alias("seq"), F.explode(F.array(*cells)).alias("c")).select("contribution_id", "seq", "c.*").withColumn("question_id", question_id)
+    long = unpivoted(rows)
+    if merge:
+        texts = merged_texts(unpivoted(every).where("text IS NOT NULL"), ["contribution_id", "question_id"], "text", [F.col("seq")])
+        long = long.withColumnRenamed("text", "_own").join(texts, ["contribution_id", "question_id"], "left").drop("_own")
+    long = long.where("text IS NOT NULL OR value_json IS NOT NULL OR size(labels) > 0").withColumn("id", key(F.col("contribution_id"), F.col("question_id"), F.lit(1)))
     answers = long.select("id", "contribution_id", "question_id", F.lit(1).alias("position"), "text", "value_json")
 
     # options: the mapping's, then the values that are none of them; labels with one code share an option
     given = spark.createDataFrame(static, "question_code string, code string, label string, position int") if static else spark.createDataFrame([], "question_code string, code string, label string, position int")
     given = given.withColumn("code", F.when(F.col("code") == "", option_code("label", MAX_CODE)).otherwise(F.col("code"))).withColumn("question_id", question_id)
-    chosen = long.select(F.col("id").alias("answer_id"), "question_id", F.explode("labels").alias("label"))
+    chosen = long.select(F.col("id").alias("answer_id"), "question_id", "seq", F.explode("labels").alias("label"))
     known = given.groupBy("question_id", "label").agg(F.min("code").alias("known_code"))
     chosen = chosen.join(known, ["question_id", "label"], "left").withColumn("code", F.coalesce("known_code", option_code("label", MAX_CODE)))
-    new = chosen.where("known_code IS NULL").groupBy("question_id", "code").agg(F.min("label").alias("label")).join(given.select("question_id", "code"), ["question_id", "code"], "left_anti")
+    new = chosen.where("known_code IS NULL").groupBy("question_id", "code").agg(F.min_by("label", F.struct("seq", "label")).alias("label")).join(given.select("question_id", "code"), ["question_id", "code"], "left_anti")
     crowd = F.count("*").over(Window.partitionBy("question_id"))
     new = new.withColumn("_n", crowd).withColumn("code", F.when(F.col("_n") > max_dynamic, F.raise_error(F.lit(f"more than {max_dynamic} options from values"))).otherwise(F.col("code"))).drop("_n")
     option_id = key(F.col("question_id"), F.col("code"))

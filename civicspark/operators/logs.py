@@ -6,41 +6,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Fixed value: the shape of a line.
+#: The shapes of a line, with any request and with a well-formed one.
 LINE = r'^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\.\d+ \+\d{4} \w+ \[web-\d+\] ([0-9.]+):\d+ - "([^"]*)" (\d+)'
-
-
-def parse(lines: DataFrame, column: str = "value") -> DataFrame:
-    """ts, ip, request, method, path, status of each line; other lines go."""
-    part = lambda i: F.regexp_extract(column, LINE, i)
-    out = lines.where(F.col(column).rlike(LINE)).select(F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss").cast("timestamp_ntz").alias("ts"), part(2).alias("ip"), part(3).alias("request"), part(4).cast("int").alias("status"))
+PAGE_LINE = r'^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\.\d+ \+\d{4} \w+ \[web-\d+\] ([0-9.]+):\d+ - "(\w+ [^"]*) HTTP/1\.[01]" (\d+)'
+
+#: Status, parts that the request must hold (all of the first, any of the second), and the name of the class.
+CLASSES = [
+    (404, [], ["/favicon.ico", "/apple-touch-icon", "/static/"], "Ressources statiques manquantes"),
+    (404, [], ["wp-", ".php", ".env", "phpinfo"], "Tentatives d'intrusion"),
+    (404, [], ["answers/", "questions/"], "Pages de contenu introuvables"),
+    (404, [], [], "Pages 404 diverses"),
+    (500, ["/forms/", "/dashboard"], [], "Erreurs dashboard formulaires"),
+    (500, ["/search/"], [], "Erreurs de recherche"),
+    (500, [], [], "Erreurs serveur diverses"),
+    (408, ["/search/"], [], "Timeouts de recherche"),
+    (408, [], [], "Timeouts divers"),
+    (405, [], [], "Méthodes HTTP non autorisées"),
+]
+
+
+def parse(lines: DataFrame, column: str = "value", shape: str = LINE) -> DataFrame:
+    """ts, ip, request, method, path, status of each line of a shape; other lines go."""
+    part = lambda i: F.regexp_extract(column, shape, i)
+    out = lines.where(F.col(column).rlike(shape)).select(F.to_timestamp(part(1), "yyyy-MM-dd HH:mm:ss").cast("timestamp_ntz").alias("ts"), part(2).alias("ip"), part(3).alias("request"), part(4).cast("int").alias("status"))
     return out.withColumn("method", F.split_part("request", F.lit(" "), F.lit(1))).withColumn("path", F.split_part("request", F.lit(" "), F.lit(2)))
 
 
-def holds(c: Column, parts: list[str]) -> Column:
-    out = F.lit(False)
-    for p in parts:
-        out = out | F.contains(c, F.lit(p))
+def error_category(status: Column, request: Column, classes: list = CLASSES, other: str = "Erreurs ") -> Column:
+    """The first class of the table that fits; else a name made of the status."""
+    out = F.concat(F.lit(other), status.cast("string"))
+    for code, every, some, name in reversed(classes):
+        fits = status == code
+        for p in every:
+            fits = fits & F.contains(request, F.lit(p))
+        if some:
+            fits = fits & F.exists(F.array(*map(F.lit, some)), lambda p: F.contains(request, p))
+        out = F.when(fits, F.lit(name)).otherwise(out)
     return out
 
 
-def error_category(status: Column, request: Column) -> Column:
-    """The classes of a failed request."""
-    return (
-        F.when((status == 404) & holds(request, ["/favicon.ico", "/apple-touch-icon", "/static/"]), "missing static file")
-        .when((status == 404) & holds(request, ["wp-", ".php", ".env", "phpinfo"]), "intrusion attempt")
-        .when((status == 404) & holds(request, ["answers/", "questions/"]), "missing content page")
-        .when(status == 404, "other missing page")
-        .when((status == 500) & F.contains(request, F.lit("/forms/")) & F.contains(request, F.lit("/dashboard")), "dashboard failure")
-        .when((status == 500) & F.contains(request, F.lit("/search/")), "search failure")
-        .when(status == 500, "other failure")
-        .when((status == 408) & F.contains(request, F.lit("/search/")), "search timeout")
-        .when(status == 408, "other timeout")
-        .when(status == 405, "method not allowed")
-        .otherwise(F.concat(F.lit("status "), status.cast("string")))
-    )
-
-
 def is_page(method: Column, path: Column, status: Column) -> Column:
     return (method == "GET") & (status == 200) & ~F.startswith(path, F.lit("/static/"))
 

@@ -22,10 +22,13 @@ def valid_answer_count(answers: DataFrame, text: str = "text", least: int = MIN_
 
 
 def kth(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
-    """The k-th row of each group in an order, k held within 1 and the group's size."""
-    own = Window.partitionBy(group)
-    ranked = df.withColumn("k", F.row_number().over(own.orderBy(*order))).withColumn("total", F.count("*").over(own))
-    return ranked.where(F.col("k") == F.greatest(F.lit(1), F.least(F.lit(k), "total")))
+    """The k-th row of each group in an order, k held within 1 and the group's size.
+
+    Groups are counted first, with a partial aggregation; row numbers stop at k, so a task drops all but k rows of a group before they are sent.
+    """
+    totals = df.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("total"))
+    ranked = df.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("k") <= max(1, k))
+    return ranked.join(totals, F.col(group).eqNullSafe(F.col("_group"))).where(F.col("k") == F.greatest(F.lit(1), F.least(F.lit(k), "total"))).drop("_group")
 
 
 def lastmod(entities: DataFrame, key: str, name: str, facts: DataFrame, fact_key: str, at: str, n: int) -> DataFrame:

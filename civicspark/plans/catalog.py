@@ -10,10 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import analyzers, highlight, match, text
-from ..operators import caches, choices, logs, paging, rollups, search, themes
+from ..operators import caches, choices, index, ingest, logs, paging, rollups, search, themes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -193,9 +192,10 @@ def author_total_pages(spark, d):
     return counts.withColumn("total_pages", paging.total_pages(F.col("answers_count")))
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def anti_join_unanswered(spark, d):
-    return read(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(read(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+    own = read(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("answer_id"))
+    return choices.unlinked(read(spark, d, "customer").select(F.col("c_custkey").alias("id")), own)
 
 
 @query("""SELECT c_custkey AS id, c_name AS name, max(l_shipdate) AS lastmod FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2 ORDER BY lastmod DESC NULLS LAST, id DESC LIMIT 1000""")
@@ -227,61 +227,84 @@ def load_report(spark, d):
 # ---- search
 
 
-@query(rf"SELECT doc_id FROM documents WHERE list_has_all({TOKENS}, ['the', 'reading'])".replace("'reading'", "'thtion'"))
+def indexed(spark, d, analyzer=analyzers.simple_tokens) -> index.Index:
+    return index.index_of(read(spark, d, "documents"), "text", "doc_id", analyzer)
+
+
+@query(rf"SELECT doc_id FROM documents WHERE list_has_all({TOKENS}, ['the', 'thtion'])")
 def fts_plain_and(spark, d):
-    rows = search.with_terms(answers(spark, d))
-    return rows.where(match.plain_query(match.Terms(F.col("tokens")), "Thé thtion")).select(F.col("id").alias("doc_id"))
+    return index.matches(indexed(spark, d), lambda t: match.plain_query(t, "Thé thtion")).select(F.col("key").alias("doc_id"))
 
 
 @query(rf"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' of the ')")
 def fts_phrase(spark, d):
-    rows = search.with_terms(answers(spark, d))
-    return rows.where(match.expression_query(match.Terms(F.col("tokens")), '"of the"')).select(F.col("id").alias("doc_id"))
+    return index.matches(indexed(spark, d), lambda t: match.expression_query(t, '"of the"')).select(F.col("key").alias("doc_id"))
 
 
 @query(rf"""SELECT doc_id FROM (SELECT doc_id, {TOKENS} AS t FROM documents) WHERE (list_contains(t, 'ouvi') AND NOT list_contains(t, 'est')) OR (contains(' ' || array_to_string(t, ' ') || ' ', ' and the ') AND list_contains(t, 'with'))""")
 def fts_websearch(spark, d):
-    rows = search.with_terms(answers(spark, d))
-    return rows.where(match.web_query(match.Terms(F.col("tokens")), 'ouvi -est or "and the" with')).select(F.col("id").alias("doc_id"))
+    return index.matches(indexed(spark, d), lambda t: match.web_query(t, 'ouvi -est or "and the" with')).select(F.col("key").alias("doc_id"))
 
 
-KEYWORDS = {"article": "the OR la OR der", "both": "the AND of", "prefix": "thti*", "nested": '("of the" OR "in the") AND th*', "without": "the NOT of"}
+@query(rf"SELECT doc_id FROM documents WHERE NOT list_contains({TOKENS}, 'the')")
+def fts_without(spark, d):
+    return index.matches(indexed(spark, d), lambda t: match.web_query(t, "-the")).select(F.col("key").alias("doc_id"))
 
 
-@query(rf"""WITH a AS (SELECT {TOKENS} AS t, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS l FROM documents)
+KEYWORDS = {"article": "the OR la OR der", "both": "the AND of", "prefix": "thti*", "nested": '("of the" OR "in the") AND th*', "without": "the NOT of"}
+KEYWORDS_SQL = rf"""WITH a AS (SELECT {TOKENS} AS t, ' ' || array_to_string({TOKENS}, ' ') || ' ' AS l FROM documents)
 SELECT 'article' AS keyword, count(*) FILTER (WHERE list_has_any(t, ['the', 'la', 'der'])) AS count FROM a
 UNION ALL SELECT 'both', count(*) FILTER (WHERE list_has_all(t, ['the', 'of'])) FROM a
 UNION ALL SELECT 'prefix', count(*) FILTER (WHERE contains(l, ' thti')) FROM a
 UNION ALL SELECT 'nested', count(*) FILTER (WHERE (contains(l, ' of the ') OR contains(l, ' in the ')) AND contains(l, ' th')) FROM a
-UNION ALL SELECT 'without', count(*) FILTER (WHERE list_contains(t, 'the') AND NOT list_contains(t, 'of')) FROM a""")
+UNION ALL SELECT 'without', count(*) FILTER (WHERE list_contains(t, 'the') AND NOT list_contains(t, 'of')) FROM a"""
+
+
+@query(KEYWORDS_SQL)
 def fts_keyword_counts(spark, d):
+    return index.indexed_counts(indexed(spark, d), {k: (lambda t, e=e: match.expression_query(t, e)) for k, e in KEYWORDS.items()})
+
+
+@query(KEYWORDS_SQL)
+def fts_keyword_counts_unindexed(spark, d):
     return search.keyword_counts(search.with_terms(answers(spark, d)), KEYWORDS)
 
 
-def _bm25_sql(words: list[str], limit: int) -> str:
+def _bm25_sql(words: list[str], limit: int, sign: str = "") -> str:
     tf = lambda w: f"len(list_filter(t, lambda x: x = '{w}'))"
     score = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * {tf(w)} * 2.2 / ({tf(w)} + 1.2 * (0.25 + 0.75 * len(t) / mean))" for i, w in enumerate(words))
     stats = ", ".join(f"count(*) FILTER (WHERE list_contains(t, '{w}')) AS d{i}" for i, w in enumerate(words))
     return f"""WITH a AS (SELECT doc_id, {TOKENS} AS t FROM documents), s AS (SELECT count(*) AS n, avg(len(t)) AS mean, {stats} FROM a)
-SELECT doc_id, round({score}, 6) AS score FROM a, s WHERE list_has_any(t, {words}) ORDER BY score DESC, doc_id DESC LIMIT {limit}"""
+SELECT doc_id, {sign}round({score}, 6) AS score FROM a, s WHERE list_has_any(t, {words}) ORDER BY score {"ASC" if sign else "DESC"}, doc_id DESC LIMIT {limit}"""
 
 
 @query(_bm25_sql(["la", "with", "ciudad"], 50))
 def fts_bm25(spark, d):
+    rows = index.indexed_bm25(indexed(spark, d), "La with ciudad")
+    return rows.select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), F.desc("doc_id")).limit(50)
+
+
+@query(_bm25_sql(["of", "des"], 20, "-"))
+def fts_bm25_ascending(spark, d):
+    """The store's own form: lower is better."""
+    rows = index.indexed_bm25(indexed(spark, d), "of des")
+    return rows.select(F.col("key").alias("doc_id"), (-F.round("score", 6)).alias("score")).orderBy("score", F.desc("doc_id")).limit(20)
+
+
+@query(_bm25_sql(["la", "with", "ciudad"], 50))
+def fts_bm25_unindexed(spark, d):
     rows = search.bm25(search.with_terms(answers(spark, d)), "La with ciudad")
     return rows.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), F.desc("doc_id")).limit(50)
 
 
 @query()
 def fts_stemmed(spark, d):
-    rows = search.with_terms(answers(spark, d), analyzer=analyzers.analyze_fr)
-    return rows.where(match.web_query(match.Terms(F.col("tokens")), "mentions ouvi or tionale", analyzers.query_stems)).select(F.col("id").alias("doc_id"))
+    return index.matches(indexed(spark, d, analyzers.analyze_fr), lambda t: match.web_query(t, "mentions ouvi or tionale", analyzers.query_stems)).select(F.col("key").alias("doc_id"))
 
 
-@query("""SELECT doc_id, regexp_replace(left(text, 400), '(?i)(^|[^\\p{L}\\p{N}_])((?:tion|ou)[\\p{L}\\p{N}_]*)', '\\1<mark>\\2</mark>', 'g') AS marked FROM documents WHERE lang = 'en'""")
+@query("""SELECT doc_id, regexp_replace(text, '(?i)(^|[^\\p{L}\\p{N}_])((?:tion|ou)[\\p{L}\\p{N}_]*)', '\\1<mark>\\2</mark>', 'g') AS marked FROM documents""")
 def headline(spark, d):
-    rows = read(spark, d, "documents").where("lang = 'en'")
-    return rows.select("doc_id", highlight.headline(F.left("text", F.lit(400)), ["tion", "ou"]).alias("marked"))
+    return read(spark, d, "documents").select("doc_id", highlight.headline("text", ["tion", "ou"]).alias("marked"))
 
 
 @query()
@@ -291,28 +314,56 @@ def highlight_page(spark, d):
     return hits.select("id", highlight.highlight_udf(F.col("text"), F.lit("the tion")).alias("marked"))
 
 
-@query(f"""WITH m AS (SELECT doc_id AS id, source, lang, text FROM documents WHERE length(trim(text)) >= 60 AND list_contains({TOKENS}, 'the') ORDER BY doc_id DESC LIMIT 1789)
-SELECT id AS answer_id, source AS question_id, left(text, 20000) AS answer_text FROM m WHERE lang NOT IN ('single_choice', 'multi_choice') ORDER BY id DESC LIMIT 20""")
-def search_page(spark, d):
+def survey(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Answers, questions, contributions and authors: a document is an answer and a contribution of its own."""
     docs = read(spark, d, "documents")
-    rows = search.with_terms(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("question_id"), F.col("doc_id").alias("contribution_id"), "text"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("source").alias("question_id"), F.col("doc_id").alias("contribution_id"), "text")
     asked = docs.select(F.col("source").alias("id"), F.col("source").alias("prompt"), F.lit("text").alias("type")).distinct()
     given = docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("author_id"), F.lit(None).cast("timestamp_ntz").alias("submitted_at"))
-    people = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return search.search_answers(rows, asked, given, people, "the").select("answer_id", "question_id", "answer_text")
+    people = read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("name"))
+    return rows, asked, given, people
+
+
+SHOWN = ("answer_id", "question_id", "question_prompt", "author_id", "author_name", "answer_text")
+PAGE = "doc_id AS answer_id, source AS question_id, source AS question_prompt, doc_id AS author_id, CASE WHEN c_custkey % 3 <> 0 THEN c_name ELSE 'Auteur #' || doc_id END AS author_name, left(text, 20000) AS answer_text FROM documents LEFT JOIN customer ON c_custkey = doc_id"
+
+
+@query(f"""SELECT {PAGE} WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(trim(text)) >= 60 AND list_contains({TOKENS}, 'the') ORDER BY doc_id DESC LIMIT 1789) ORDER BY doc_id DESC LIMIT 20""")
+def search_page(spark, d):
+    return search.search_answers(*survey(spark, d), "the", index=indexed(spark, d)).select(*SHOWN)
+
+
+@query(f"""WITH m AS (SELECT doc_id FROM documents WHERE length(trim(text)) >= 60 AND list_contains({TOKENS}, 'the') ORDER BY doc_id DESC LIMIT 30) SELECT {PAGE} WHERE doc_id IN (SELECT doc_id FROM m ORDER BY doc_id DESC OFFSET 20) ORDER BY doc_id DESC""")
+def search_page_last(spark, d):
+    """The newest matches end where their limit is, page or not."""
+    rows = survey(spark, d)
+    first = search.search_answers(*rows, "the", index=indexed(spark, d), newest=30).select("answer_id").collect()
+    return search.search_answers(*rows, "the", {"id": first[-1][0]} if first else None, newest=30, index=indexed(spark, d)).select(*SHOWN)
+
+
+@query(f"""SELECT {PAGE} WHERE length(trim(text)) >= 60 AND list_contains({TOKENS}, 'the') ORDER BY doc_id DESC LIMIT 20""")
+def search_page_unindexed(spark, d):
+    rows, *others = survey(spark, d)
+    return search.search_answers(search.with_terms(rows), *others, "the").select(*SHOWN)
+
+
+@query(f"""SELECT {PAGE} WHERE length(trim(text)) >= 40 ORDER BY doc_id DESC LIMIT 20""")
+def timeline_answers(spark, d):
+    """Less than two characters to search for: the timeline."""
+    return search.search_answers(*survey(spark, d), " t ").select(*SHOWN)
 
 
 # ---- text scalars
 
 
-@query("SELECT doc_id, strip_accents(left(text, 300)) AS plain FROM documents")
+@query("SELECT doc_id, strip_accents(text) AS plain FROM documents")
 def unaccent(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.unaccent(F.left("text", F.lit(300))).alias("plain"))
+    return read(spark, d, "documents").select("doc_id", text.unaccent("text").alias("plain"))
 
 
-@query(rf"""SELECT doc_id, {SLUG} AS slug FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(left(text, 200))), '[^a-z0-9\s-]', ' ', 'g'), '[-\s]+', '-', 'g'), '-') AS s FROM documents)""")
+@query(rf"""SELECT doc_id, {SLUG} AS slug FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^a-z0-9\s-]', ' ', 'g'), '[-\s]+', '-', 'g'), '-') AS s FROM documents)""")
 def slugify(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.slugify(F.left("text", F.lit(200))).alias("slug"))
+    return read(spark, d, "documents").select("doc_id", text.slugify("text").alias("slug"))
 
 
 @query(r"""WITH a AS (SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS t FROM pages), b AS (SELECT page_id, t, left(t, 300) AS h FROM a),
@@ -322,9 +373,9 @@ def html_excerpt(spark, d):
     return read(spark, d, "pages").select("page_id", text.clean_excerpt("html").alias("excerpt"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(left(text, 200), '^[ \-–—:]+', '') AS body FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(text, '^[ \-–—:]+', '') AS body FROM documents""")
 def strip_boilerplate(spark, d):
-    return read(spark, d, "documents").select("doc_id", text.strip_boilerplate(F.concat(F.lit(" Titre : objet: "), F.left("text", F.lit(200)))).alias("body"))
+    return read(spark, d, "documents").select("doc_id", text.strip_boilerplate(F.concat(F.lit(" Titre : objet: "), F.col("text"))).alias("body"))
 
 
 @query("""SELECT c_custkey AS id, CASE WHEN length(regexp_replace(c_name, '[^0-9]', '', 'g')) >= 5 THEN left(regexp_replace(c_name, '[^0-9]', '', 'g'), 5) END AS zip, c_nationkey > 0 AS yes, CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2019-01-22 09:37:11' END AS at FROM customer""")
@@ -333,9 +384,9 @@ def clean_fields(spark, d):
     return read(spark, d, "customer").select(F.col("c_custkey").alias("id"), text.clean_zipcode("c_name").alias("zip"), text.truthy(F.col("c_nationkey").cast("string")).alias("yes"), text.parse_datetime(when).alias("at"))
 
 
-@query("SELECT DISTINCT sha256(text) AS raw_hash, lang FROM documents")
+@query("""SELECT DISTINCT sha256('{"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '","city":null}') AS raw_hash FROM customer""")
 def row_hash(spark, d):
-    return read(spark, d, "documents").select(F.sha2("text", 256).alias("raw_hash"), "lang").distinct()
+    return read(spark, d, "customer").select("c_name", F.lit(None).cast("string").alias("city"), "c_mktsegment").select(text.row_hash(["c_name", "city", "c_mktsegment"]).alias("raw_hash")).distinct()
 
 
 @query("""SELECT event_type AS query_text, CAST(count(*) AS INT) AS search_count, max(ts) AS last_searched, CASE WHEN count(*) >= 1000 THEN 60 WHEN count(*) >= 100 THEN 45 WHEN count(*) >= 20 THEN 30 WHEN count(*) >= 5 THEN 15 ELSE 5 END AS ttl, 'search:fts:' || event_type || ':' || count(*) AS key FROM events GROUP BY 1""")
@@ -355,9 +406,7 @@ def meta_tags(spark, d):
 
 @query("""SELECT p_partkey AS contribution_id, question, answer, row_number() OVER (PARTITION BY p_partkey ORDER BY n) AS position FROM (SELECT p_partkey, unnest(['name', 'brand', 'type']) AS question, unnest([p_name, p_brand, p_type]) AS answer, unnest([1, 2, 3]) AS n FROM part) WHERE trim(answer) <> ''""")
 def unpivot_answers(spark, d):
-    cells = F.array(*(F.struct(F.lit(i).alias("n"), F.lit(c[2:]).alias("question"), F.col(c).alias("answer")) for i, c in enumerate(("p_name", "p_brand", "p_type"))))
-    long = read(spark, d, "part").select(F.col("p_partkey").alias("contribution_id"), F.explode(cells).alias("c")).select("contribution_id", "c.*").where(text.not_blank("answer"))
-    return long.withColumn("position", F.row_number().over(Window.partitionBy("contribution_id").orderBy("n"))).drop("n")
+    return ingest.unpivot(read(spark, d, "part").withColumnRenamed("p_partkey", "contribution_id"), "contribution_id", {"p_name": "name", "p_brand": "brand", "p_type": "type"})
 
 
 @query("SELECT event_id, ts, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
@@ -370,9 +419,7 @@ def latest_wins_upsert(spark, d):
 m AS (SELECT conv_id, role, i, text FROM o WHERE i = 1 UNION ALL SELECT o.conv_id, o.role, o.i, CASE WHEN m.text = '' THEN o.text WHEN contains(m.text, o.text) THEN m.text ELSE m.text || chr(10) || chr(10) || o.text END FROM m JOIN o ON o.conv_id = m.conv_id AND o.role = m.role AND o.i = m.i + 1)
 SELECT conv_id, role, arg_max(text, i) AS text FROM m GROUP BY 1, 2""")
 def text_merge_answers(spark, d):
-    from ..operators.ingest import merged_texts
-
-    return merged_texts(read(spark, d, "conversations").where("text IS NOT NULL"), ["conv_id", "role"], "text", [F.col("turn")])
+    return ingest.merged_texts(read(spark, d, "conversations").where("text IS NOT NULL"), ["conv_id", "role"], "text", [F.col("turn")])
 
 
 @query("SELECT event_type AS question_id, greatest(0, 100 + sum(CASE WHEN value > 50 THEN 1 ELSE -1 END))::BIGINT AS answers_count FROM events GROUP BY 1")
@@ -409,17 +456,6 @@ def top_ips(spark, d):
     return logs.top(read(spark, d, "events"), F.col("user_id"), "ip")
 
 
-CATEGORY = "CASE event_type WHEN 'error' THEN 'other failure' WHEN 'click' THEN 'missing content page' WHEN 'purchase' THEN 'search timeout' ELSE 'method not allowed' END"
-
-
-@query(f"SELECT category, count, {pct('count', 'sum(count) OVER ()')} AS percentage FROM (SELECT {CATEGORY} AS category, count(*) AS count FROM events GROUP BY 1)")
-def error_categories(spark, d):
-    kind = F.col("event_type")
-    status = F.when(kind == "error", 500).when(kind == "click", 404).when(kind == "purchase", 408).otherwise(405)
-    request = F.when(kind == "click", "GET /answers/1 HTTP/1.1").when(kind == "purchase", "GET /search/x HTTP/1.1").otherwise("GET / HTTP/1.1")
-    return logs.shares(read(spark, d, "events"), logs.error_category(status, request), "category")
-
-
 @query("SELECT event_type, event_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rank FROM events) WHERE rank <= 5")
 def error_samples(spark, d):
     return logs.samples(read(spark, d, "events"), "event_type", [F.col("ts"), F.col("event_id")]).select("event_type", "event_id", "rank")
@@ -428,12 +464,12 @@ def error_samples(spark, d):
 # ---- themes
 
 
-SENTENCES = r"""SELECT doc_id, s AS sentence, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent_idx FROM (SELECT doc_id, trim(unnest(p)) AS s, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents WHERE lang = 'fr')) WHERE s <> ''"""
+SENTENCES = r"""SELECT doc_id, s AS sentence, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS sent_idx FROM (SELECT doc_id, trim(unnest(p)) AS s, unnest(range(len(p))) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents)) WHERE s <> ''"""
 
 
 @query(rf"""SELECT doc_id, CAST(sent_idx AS INT) AS sent_idx, sentence, prev, next FROM (SELECT *, lag(sentence, 1, '') OVER w AS prev, lead(sentence, 1, '') OVER w AS next FROM ({SENTENCES}) WINDOW w AS (PARTITION BY doc_id ORDER BY sent_idx)) WHERE contains(lower(sentence), 'ouvi')""")
 def sentence_context(spark, d):
-    rows = themes.sentences(read(spark, d, "documents").where("lang = 'fr'"), "doc_id")
+    rows = themes.sentences(read(spark, d, "documents"), "doc_id")
     return themes.snippets(rows, "doc_id", ["ouvi"])
 
 

@@ -6,9 +6,10 @@ import csv
 import io
 import zipfile
 from collections.abc import Iterable
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_zipcode, py_strip
@@ -22,22 +23,31 @@ def sniff_delimiter(head: str) -> str:
     return max(",;\t", key=lambda d: (head[:8192].count(d), -",;\t".index(d)))
 
 
-def head_of(spark: SparkSession, path: str) -> str:
-    row = spark.read.text(path).limit(1).collect()
-    return row[0][0] if row else ""
+def head_of(spark: SparkSession, path: str, chars: int = 8192) -> str:
+    """The first lines of a file, `chars` characters or so; at most that many lines are asked for."""
+    out = ""
+    for row in spark.read.text(path).limit(64).collect():
+        out += row[0] + "\n"
+        if len(out) >= chars:
+            break
+    return out[:chars]
 
 
-def read_survey(spark: SparkSession, paths: str | list[str], delimiter: str | None = None) -> DataFrame:
+def read_survey(spark: SparkSession, paths: str | list[str], delimiter: str | None = None, order: str | None = None, multi_line: bool = True) -> DataFrame:
     """All columns as text, keys and values stripped, missing ones "". Globs and lists of files with one header each.
 
-    gz is read by Spark itself, zip through `read_zip`. The delimiter is sniffed unless it is given.
+    gz is read by Spark itself, zip through `read_zip`. The delimiter is sniffed unless it is given. multi_line: cells
+    may hold line ends, for which a file is read by one task; without it large files are split. order: the name of a
+    column to add, which sorts rows as they stand in the files.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     if all(p.endswith(".zip") for p in paths):
         return read_zip(spark, paths, delimiter)
     sep = delimiter if delimiter in (",", ";", "\t") else sniff_delimiter(head_of(spark, paths[0]))
-    raw = spark.read.csv(paths, header=True, sep=sep, multiLine=True, escape='"', mode="PERMISSIVE", inferSchema=False, encoding="UTF-8")
-    return raw.select(*(F.coalesce(py_strip(F.col(f"`{c}`")), F.lit("")).alias(c.lstrip(BOM).strip()) for c in raw.columns))
+    raw = spark.read.csv(paths, header=True, sep=sep, multiLine=multi_line, escape='"', mode="PERMISSIVE", inferSchema=False, encoding="UTF-8")
+    # rows of a split are numbered as they are read; splits go by file and place in it
+    place = [F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")).alias(order)] if order else []
+    return raw.select(*(F.coalesce(py_strip(F.col(f"`{c}`")), F.lit("")).alias(c.lstrip(BOM).strip()) for c in raw.columns), *place)
 
 
 def _unzip(content: bytes) -> str:
@@ -72,7 +82,7 @@ def read_zip(spark: SparkSession, paths: list[str], delimiter: str | None = None
 
 def load_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A bulk file: the table's columns in their order."""
-    return spark.read.csv(path, header=True, schema=struct(name), multiLine=True, escape='"', timestampNTZFormat="yyyy-MM-dd HH:mm:ss")
+    return spark.read.option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(path, header=True, schema=struct(name), multiLine=True, escape='"')
 
 
 def load_all(spark: SparkSession, folder: str, out: str, names: Iterable[str] | None = None, overwrite: bool = False) -> None:
@@ -86,11 +96,29 @@ def load_all(spark: SparkSession, folder: str, out: str, names: Iterable[str] |
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str = "id", lower: int = 0, upper: int = 1, parts: int = 16, **options) -> DataFrame:
-    """A database table in ranges of its key. postgres:// and postgresql:// urls become JDBC ones."""
+    """A database table in `parts` ranges of its key between lower and upper. postgres:// and postgresql:// urls become JDBC ones."""
+    return spark.read.format("jdbc").options(dbtable=table, partitionColumn=key, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(parts), **jdbc_options(url), **options).load()
+
+
+def jdbc_options(url: str) -> dict[str, str]:
+    """url, user and password of a database url, as JDBC takes them."""
     for prefix in ("postgres://", "postgresql://", "postgresql+psycopg2://"):
         if url.startswith(prefix):
-            url = "jdbc:postgresql://" + url[len(prefix) :].rsplit("@", 1)[-1]
-    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(parts), **options).load()
+            login, _, place = url[len(prefix) :].rpartition("@")
+            user, _, password = login.partition(":")
+            out = {"url": f"jdbc:postgresql://{place}", "user": unquote(user), "password": unquote(password)}
+            return {k: v for k, v in out.items() if v}
+    return {"url": url}
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options) -> None:
+    """Rows to a database table, a connection for each partition."""
+    df.write.format("jdbc").mode(mode).options(dbtable=table, **jdbc_options(url), **options).save()
+
+
+def export_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines, nulls included."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
@@ -107,10 +135,18 @@ def export_site_map(urls: DataFrame, path: str) -> None:
     urls.select("loc", "lastmod").write.mode("overwrite").format("xml").option("rootTag", "urlset").option("rowTag", "url").save(path)
 
 
-def sample_rows(df: DataFrame, rows: int = 50) -> DataFrame:
-    """A small sample of a survey file with keys hashed and values cut, for test databases. The limit is the feature."""
-    out = df.limit(rows)
-    for c, f in (("authorId", lambda x: F.when(x != "", F.md5(x))), ("authorZipCode", clean_zipcode), ("title", lambda x: F.left(x, F.lit(255)))):
+def author_hash(c: Column) -> Column:
+    """A hash in place of an author's id; null for none."""
+    return F.when(F.coalesce(c, F.lit("")) != "", F.md5(c))
+
+
+def sample_rows(df: DataFrame, rows: int = 50, order: list | None = None) -> DataFrame:
+    """A small sample of a survey file with keys hashed and values cut, for test databases. The limit is the feature.
+
+    order: columns that say which rows come first; by default the hash of all, so that reruns agree.
+    """
+    out = df.orderBy(*(order or [F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))])).limit(rows)
+    for c, f in (("authorId", author_hash), ("authorZipCode", clean_zipcode), ("title", lambda x: F.left(x, F.lit(255)))):
         if c in out.columns:
             out = out.withColumn(c, f(F.col(c)))
     return out

@@ -97,7 +97,7 @@ def test_logs(spark):
     assert rows.count() == 4
     assert logs.visitor_report(rows, ["1.2.3.3"]).first().asDict() == {"requests": 4, "visitors": 3, "page_views": 1, "bot_requests": 1, "human_requests": 3}
     bad = rows.where("status >= 400")
-    assert {(r["c"], r["count"], r["percentage"]) for r in logs.shares(bad, logs.error_category(F.col("status"), F.col("request")), "c").collect()} == {("intrusion attempt", 1, 50.0), ("search timeout", 1, 50.0)}
+    assert {(r["c"], r["count"], r["percentage"]) for r in logs.shares(bad, logs.error_category(F.col("status"), F.col("request")), "c").collect()} == {("Tentatives d'intrusion", 1, 50.0), ("Timeouts de recherche", 1, 50.0)}
 
 
 def test_caches(spark):
