@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -12,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_dir
+
 #: The words of all contracts: runs of anything but these six bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -100,30 +101,18 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
         return mix64(out)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        kept = spark.sparkContext.getCheckpointDir()
-        if not kept:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="civicspark-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        found = kept
-    return found.rstrip("/")
-
-
 class Tables:
     """Tables written between the steps of one operator, in the shared folder; `drop` removes those no longer read."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def put(self, df: DataFrame) -> DataFrame:
-        """Write and read back: the lineage ends here, and a lost executor takes nothing along."""
+    def put(self, df: DataFrame, small: bool = False) -> DataFrame:
+        """Write and read back: the lineage ends here, and a lost executor takes nothing along. small: by an eighth of the tasks."""
         self.n += 1
         path = f"{self.root}/{self.n}"
         schema = df.schema
-        df.write.parquet(path)
+        (df.coalesce(max(1, scan_tasks(self.spark) // 8)) if small else df).write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._civicspark_path = path
         return out

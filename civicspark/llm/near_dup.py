@@ -11,12 +11,15 @@ What is linked already needs no second look: classes carry the label of their co
 is dropped. Leaders make that true of large groups of near copies early: in short paths, all classes of a node
 are held against the one with most company.
 
-Nodes that are still large after `depth` levels hold crowds: many texts that are alike, but not linked. Their classes
-go on in narrow trees, on `WIDE` further values: a tree takes as many values at once as the largest node needs to become
-small, and there are as many trees as `recall` asks for at that length. Between rounds links are confirmed, the best
-pair of two labels first, and the labels of what they join become one. A large node where all but `small` classes have one label is
-settled by holding those few against the others, a bounded chunk at a time; any other goes on in the next round. Nodes that are still large
-after the last one (sets that agree in tens of values and aren't linked) are compared by pairs of chunks, so no pair is left out.
+Nodes that are still large after `depth` levels hold crowds: many texts that are alike, but not linked. Their leaders
+are met once more, by many values; then their classes go on in narrow trees, on values that chose nothing before: a tree
+takes as many at once as the largest node needs to become small, and there are as many trees as `recall` asks for at that
+length. So a class meets about `small` others in a tree, however large its crowd is. A narrow node that is large all the same
+(sets that agree in many values and still aren't linked) is compared in cells of a bounded number of classes, so no
+pair is left out.
+
+Candidates are confirmed at the end: first the most alike pair of any two labels, then those pairs that still lie
+between two, so the many links within a group cost nothing.
 
 Components come from rounds of smallest-neighbour messages with pointer jumps. All steps are tables in the
 shared folder; tasks hold a batch or a chunk, never a group. Only counts and smallest keys are taken per node.
@@ -40,12 +43,14 @@ from pyspark.sql import functions as F
 from .common import TO_LOWER, Tables, mix64, pieces, scan_tasks, span_hashes, table, text_arrays, window_hashes, word_spans
 
 _RNG = np.random.default_rng(11)
-#: Minwise values of 16 bits that paths are chosen from: of all classes, and of those in crowds.
-COORDS, WIDE = 32, 160
+#: Minwise values that paths are chosen from: of all classes (16 bits each), and of those in crowds (8 bits).
+COORDS, WIDE = 32, 1056
 _XOR = _RNG.integers(0, 2**32, WIDE, dtype=np.uint32)
 _MULT = _RNG.integers(0, 2**31, WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-#: Rounds of narrow trees, and classes of a crowd that meet in one cell.
-ROUNDS, CHUNK = 3, 128
+#: Classes of a crowd that meet in one cell.
+CHUNK = 128
+#: The bits of a narrow node that name its tree; more trees than these tell aren't asked for at 0.8 and 20 values.
+TREES = 1023
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,15 +85,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     return keys[new], np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=n))))
 
 
-def minwise(keys: np.ndarray, edges: np.ndarray, coords: int = COORDS) -> np.ndarray:
-    """16 bits of the least value of each row under the first `coords` permutations."""
-    out = np.zeros((len(edges) - 1, coords), np.int16)
+def minwise(keys: np.ndarray, edges: np.ndarray, coords: int = COORDS, kind: type = np.int16) -> np.ndarray:
+    """The low bits of the least value of each row under the first `coords` permutations."""
+    out = np.zeros((len(edges) - 1, coords), kind)
     rows = np.flatnonzero(np.diff(edges))
     if len(rows):
         x = (keys >> np.uint64(32)).astype(np.uint32)
         with np.errstate(over="ignore"):
             for i in range(coords):
-                out[rows, i] = np.minimum.reduceat((x ^ _XOR[i]) * _MULT[i], edges[rows]).astype(np.uint16).view(np.int16)
+                out[rows, i] = np.minimum.reduceat((x ^ _XOR[i]) * _MULT[i], edges[rows]).astype(f"u{out.itemsize}").view(kind)
     return out
 
 
@@ -138,7 +143,7 @@ def widener(batches):
         column = batch.column("shingles")
         edges = column.offsets.to_numpy().astype(np.int64)
         keys = column.values.to_numpy()[edges[0] : edges[-1]].view(np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("k"), lists(minwise(keys, edges - edges[0], WIDE))], ["k", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), lists(minwise(keys, edges - edges[0], WIDE, np.int8))], ["k", "sig"])
 
 
 def may_link(n1, n2, s1, s2, percent: int):
@@ -168,7 +173,23 @@ def pairs_of(a, b, la, lb, alike) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "la", "lb", "alike"])
 
 
-def comparer(percent: int):
+def narrow_paths(length: int, trees: int, seed: int) -> np.ndarray:
+    """The values that each narrow tree takes, none of those that chose the nodes before."""
+    return np.stack([np.random.default_rng([seed, t]).choice(np.arange(COORDS, WIDE), length, replace=False) for t in range(trees)])
+
+
+def once(s1: np.ndarray, s2: np.ndarray, node: np.ndarray, paths: np.ndarray | None) -> np.ndarray:
+    """Whether this tree, whose number is in the node's last bits, is the first that brings the pairs together: then it names them."""
+    if paths is None or not len(s1):
+        return np.ones(len(s1), bool)
+    same = s1 == s2
+    first = np.full(len(s1), len(paths))
+    for t in range(len(paths) - 1, -1, -1):
+        first[same[:, paths[t]].all(1)] = t
+    return first == (node & TREES)
+
+
+def comparer(percent: int, paths: np.ndarray | None = None):
     """Pairs of different components among rows with the same node, sorted by node."""
 
     def compare(batches):
@@ -195,9 +216,11 @@ def comparer(percent: int):
                 apart = rows["label"][a] != rows["label"][b]
                 a, b = a[apart], b[apart]
                 good, alike = may_link(rows["n"][a], rows["n"][b], rows["sig"][a], rows["sig"][b], percent)
-                a, b = a[good], b[good]
+                a, b, alike = a[good], b[good], alike[good]
+                new = once(rows["sig"][a], rows["sig"][b], rows["node"][a], paths)
+                a, b, alike = a[new], b[new], alike[new]
                 if len(a):
-                    yield pairs_of(rows["k"][a], rows["k"][b], rows["label"][a], rows["label"][b], alike[good])
+                    yield pairs_of(rows["k"][a], rows["k"][b], rows["label"][a], rows["label"][b], alike)
                 d += 1
 
     return compare
@@ -210,7 +233,7 @@ def _with_end(batches):
     yield None
 
 
-def meeter(percent: int):
+def meeter(percent: int, paths: np.ndarray):
     """Pairs of some members of a node and some others that they meet, both of a bounded number."""
 
     def fields(cell):
@@ -220,13 +243,15 @@ def meeter(percent: int):
 
     def meet(batches):
         for batch in batches:
-            for members, others in zip(batch.column("members"), batch.column("others"), strict=True):
+            for node, members, others in zip(batch.column("node").to_pylist(), batch.column("members"), batch.column("others"), strict=True):
                 (k, label, n, sig), (ok, olabel, on, osig) = fields(members), fields(others)
-                a, b = np.nonzero((label[:, None] != olabel[None, :]) & (k[:, None] != ok[None, :]))
+                a, b = np.nonzero(label[:, None] != olabel[None, :])
                 good, alike = may_link(n[a], on[b], sig[a], osig[b], percent)
-                a, b = a[good], b[good]
+                a, b, alike = a[good], b[good], alike[good]
+                new = once(sig[a], osig[b], np.full(len(a), node), paths)
+                a, b, alike = a[new], b[new], alike[new]
                 if len(a):
-                    yield pairs_of(k[a], ok[b], label[a], olabel[b], alike[good])
+                    yield pairs_of(k[a], ok[b], label[a], olabel[b], alike)
 
     return meet
 
@@ -259,42 +284,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= percent * (F.col("t") - F.col("i"))).select("a", "b", "la", "lb")
 
 
-def settle(pairs: DataFrame, sets: DataFrame, tables: Tables, percent: int) -> tuple[list[DataFrame], DataFrame]:
-    """Links among the pairs, and labels joined by them: first the most alike pair of any two labels, then what still lies between two."""
-    pairs = tables.put(pairs.distinct())
-    if not pairs.limit(1).count():
-        return [], pairs.select(F.col("la").alias("k"), F.col("lb").alias("c"))
+def learnt(pairs: DataFrame, sets: DataFrame, tables: Tables, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The most alike pair of any two labels, where it is a link; and labels joined by these."""
     best = pairs.groupBy(F.least("la", "lb").alias("x"), F.greatest("la", "lb").alias("y")).agg(F.max_by(F.struct("a", "b", "la", "lb"), F.struct("alike", "a", "b")).alias("p")).select("p.*")
     links = tables.put(confirmed(best, sets, percent))
-    found = links.limit(1).count()
-    left = pairs if found else pairs.join(best.select("a", "b"), ["a", "b"], "left_anti")
-    comps = components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), tables)
-    if found:
-        left = relabel(relabel(pairs, comps, "la"), comps, "lb").where("la <> lb").join(best.select("a", "b"), ["a", "b"], "left_anti")
-    more = tables.put(confirmed(left, sets, percent))
-    if not more.limit(1).count():
-        return [links], comps
-    joined = links.select(F.col("la").alias("a"), F.col("lb").alias("b")).union(more.select("la", "lb"))
-    # labels of `more` are those after the first links: the two kinds of edges hang together by comps
-    joined = joined.union(comps.select("k", "c"))
-    return [links, more], components(joined, tables)
-
-
-def components(edges: DataFrame, tables: Tables) -> DataFrame:
-    """k and the smallest key of its component, for each k that has an edge."""
-    both = tables.put(edges.union(edges.select("b", "a")).where("a <> b").distinct().toDF("k", "v"))
-    labels = tables.put(both.groupBy("k").agg(F.least(F.min("v"), F.col("k")).alias("c")))
+    return links, components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), tables, 2)
+
+
+def settle(pairs: DataFrame, sets: DataFrame, tables: Tables, percent: int) -> list[DataFrame]:
+    """Links that join all labels that the pairs join: the best pairs first, then what still lies between two labels."""
+    links, comps = learnt(pairs, sets, tables, percent)
+    left = relabel(relabel(pairs, comps, "la"), comps, "lb").where("la <> lb")
+    return [links, tables.put(confirmed(left, sets, percent))]
+
+
+def components(edges: DataFrame, tables: Tables, rounds: int | None = None) -> DataFrame:
+    """k and the smallest key of its component, for each k that has an edge.
+
+    rounds: stop after so many, with labels that may still differ within a component, where that only saves work.
+    The tables of links are small beside the documents, so fewer tasks write them.
+    """
+    both = tables.put(edges.union(edges.select("b", "a")).where("a <> b").distinct().toDF("k", "v"), True)
+    labels = tables.put(both.groupBy("k").agg(F.least(F.min("v"), F.col("k")).alias("c")), True)
+    turn = 0
     while labels.limit(1).count():
         near = both.join(labels.select(F.col("k").alias("v"), F.col("c").alias("vc")), "v").groupBy("k").agg(F.min("vc").alias("vc"))
-        step = tables.put(labels.join(near, "k").select("k", F.least("c", "vc").alias("c"), F.col("c").alias("old")))
+        step = tables.put(labels.join(near, "k").select("k", F.least("c", "vc").alias("c"), F.col("c").alias("old")), True)
         jump = step.select(F.col("k").alias("c"), F.col("c").alias("cc"))
-        new = tables.put(step.join(jump, "c", "left").select("k", F.coalesce("cc", "c").alias("c"), "old"))
-        changed = new.where("c <> old").limit(1).count()
+        new = tables.put(step.join(jump, "c", "left").select("k", F.coalesce("cc", "c").alias("c"), "old"), True)
         tables.drop(labels)
         tables.drop(step)
         labels = new.select("k", "c")
         labels._civicspark_path = new._civicspark_path
-        if not changed:
+        turn += 1
+        if turn == rounds or not new.where("c <> old").limit(1).count():
             break
     tables.drop(both)
     return labels
@@ -330,83 +353,60 @@ def led(level: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(leader_filter(percent), PAIRS)
 
 
-def compared(level: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def compared(level: DataFrame, classes: DataFrame, percent: int, paths: np.ndarray | None = None) -> DataFrame:
     """Pairs within nodes, exhaustively; nodes are small. level: node, k, label; classes: k, n, sig."""
     rows = level.select("node", "k", "label").join(classes.select("k", "n", "sig"), "k").select("node", "k", "label", "n", "sig")
-    return rows.repartition(scan_tasks(level.sparkSession), "node").sortWithinPartitions("node").mapInArrow(comparer(percent), PAIRS)
+    return rows.repartition(scan_tasks(level.sparkSession), "node").sortWithinPartitions("node").mapInArrow(comparer(percent, paths), PAIRS)
 
 
-def met(level: DataFrame, classes: DataFrame, percent: int, small: int, seed: int) -> DataFrame:
+def met(level: DataFrame, classes: DataFrame, percent: int, small: int, seed: int, paths: np.ndarray) -> DataFrame:
     """Pairs of the classes outside a node's main label with all others of the node, in chunks. level: node, k, label, size, major, rest."""
     chunk = lambda count, most: F.pmod(F.xxhash64("k", F.lit(seed)), F.ceil(F.col(count) / most))
     rows = level.join(classes.select("k", "n", "sig"), "k")
     row = F.struct("k", "label", "n", "sig")
     others = rows.where("label <> major").groupBy("node", chunk("rest", small).alias("chunk")).agg(F.collect_list(row).alias("others")).select("node", "others")
     members = rows.groupBy("node", chunk("size", CHUNK).alias("chunk")).agg(F.collect_list(row).alias("members")).select("node", "members")
-    return members.join(others, "node").select("members", "others").mapInArrow(meeter(percent), PAIRS)
+    return members.join(others, "node").select("node", "members", "others").mapInArrow(meeter(percent, paths), PAIRS)
 
 
-def crowd_links(level: DataFrame, docs: DataFrame, classes: DataFrame, tables: Tables, words: int, percent: int, recall: float, small: int, seed: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Links among the classes of large nodes (node, k, label, size), and what became of their labels: k (class), label."""
-    s, links = percent / 100, []
+def crowd_pairs(level: DataFrame, docs: DataFrame, classes: DataFrame, tables: Tables, words: int, percent: int, recall: float, small: int, seed: int) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """For the classes of large nodes (node, k, label): some links, further pairs to confirm, and the labels after those links (k, label)."""
+    s = percent / 100
     wanted = classes.join(level.select("k").distinct(), "k", "left_semi").select("k", "rep", "h")
     sets = tables.put(fetched(wanted, docs, words))
-    crowd = tables.put(sets.mapInArrow(widener, "k bigint, sig array<smallint>").join(classes.select("k", "n"), "k").select("k", "n", "sig"))
-    labels = tables.put(level.select("k", "label").distinct())
-
-    def learn(pairs: DataFrame) -> None:
-        nonlocal labels
-        found, comps = settle(pairs, sets, tables, percent)
-        links.extend(found)
-        new = tables.put(relabel(labels, comps))
-        tables.drop(labels)
-        labels = new
-
-    # leaders once more, now by many values
-    for turn in range(2):
-        weight = F.xxhash64("k", F.lit(seed + turn))
-        nodes = tables.put(level.select("node", "k").join(labels, "k").withColumn("weight", weight))
-        learn(led(nodes.join(several(nodes).select("node"), "node", "left_semi"), crowd, percent))
-    held = several(level.select("node", "k").join(labels, "k"))
-    level = tables.put(level.select("node", "k").join(held.where(F.col("size") > small).select("node", "size"), "node"))
+    crowd = tables.put(sets.mapInArrow(widener, "k bigint, sig array<tinyint>").join(classes.select("k", "n"), "k").select("k", "n", "sig"))
+    near = tables.put(led(level.select("node", "k", "label").withColumn("weight", F.xxhash64("k", F.lit(seed))), crowd, percent).distinct())
+    links, comps = learnt(near, sets, tables, percent)
+    labels = tables.put(relabel(level.select("k", "label").distinct(), comps))
+    nodes = tables.put(level.select("node", "k").join(labels, "k"))
+    level = tables.put(nodes.join(several(nodes).where(F.col("size") > small).select("node", "size"), "node"))
     largest = level.agg(F.max("size")).first()[0]
-    level = level.select(F.lit(0).cast("long").alias("node"), "k").distinct()
-    for turn in range(ROUNDS):
-        if not largest:
-            break
-        length = min(20, max(4, math.ceil(math.log(largest / small, 2))))
-        trees = math.ceil(math.log(1 - recall) / math.log(1 - s**length))
-        grown = level.join(crowd.select("k", "sig"), "k").mapInArrow(brancher(length, trees, seed + turn), "node bigint, k bigint")
-        grown = tables.put(grown.join(labels, "k"))
-        level = tables.put(grown.join(several(grown), "node"))
-        tables.drop(grown)
-        few, crowded = F.col("size") <= CHUNK, F.col("rest") <= small
-        last = F.lit(turn == ROUNDS - 1)
-        learn(compared(level.where(few), crowd, percent).union(met(level.where(~few & (crowded | last)), crowd, percent, small, seed)))
-        if turn == ROUNDS - 1:
-            break
-        level = level.where(~few & ~crowded).select("node", "k").join(labels, "k").withColumn("weight", F.xxhash64("k", F.lit(seed - turn)))
-        level = tables.put(level.join(several(level).select("node", "size"), "node"))
-        largest = level.agg(F.max("size")).first()[0]
-        if largest:
-            learn(led(level, crowd, percent))
-    return links, labels
-
-
-def brancher(length: int, trees: int, seed: int):
-    """The nodes of classes in some trees: each names `length` of the values after COORDS."""
-    chosen = np.stack([np.random.default_rng([seed, t]).choice(np.arange(COORDS, WIDE), length, replace=False) for t in range(trees)])
+    if not largest:
+        return links, [near], labels
+    length = min(20, max(4, math.ceil(math.log(largest / small, 2))))
+    paths = narrow_paths(length, min(TREES + 1, math.ceil(math.log(1 - recall) / math.log(1 - s**length))), seed)
+    grown = level.select("k").distinct().join(crowd.select("k", "sig"), "k").join(labels, "k").select("k", "label", "sig")
+    grown = tables.put(grown.mapInArrow(brancher(paths), "node bigint, k bigint, label bigint"))
+    level = tables.put(grown.join(several(grown), "node"))
+    tables.drop(grown)
+    few = F.col("size") <= CHUNK
+    pairs = compared(level.where(few), crowd, percent, paths).union(met(level.where(~few), crowd, percent, small, seed, paths))
+    return links, [near, tables.put(pairs.distinct())], labels
+
+
+def brancher(paths: np.ndarray):
+    """The nodes of classes in the narrow trees: a hash of the values that a tree takes, with the tree's number."""
 
     def branch(batches):
         for batch in batches:
-            sig = values(batch.column("sig")).view(np.uint16).astype(np.uint64)
-            node, k = batch.column("node").to_numpy().view(np.uint64), batch.column("k").to_numpy()
+            sig = values(batch.column("sig")).view(np.uint8)
             with np.errstate(over="ignore"):
-                for t in range(trees):
-                    out = mix64(node + np.uint64(t + 1) * np.uint64(0x9E3779B97F4A7C15))
-                    for c in chosen[t]:
-                        out = mix64(out + sig[:, c])
-                    yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), pa.array(k)], ["node", "k"])
+                for t, path in enumerate(paths):
+                    out = np.full(len(sig), t + 1, np.uint64)
+                    for c in path:
+                        out = mix64(out + sig[:, c].astype(np.uint64))
+                    node = (out.view(np.int64) & ~np.int64(TREES)) | np.int64(t)
+                    yield pa.RecordBatch.from_arrays([pa.array(node), batch.column("k"), batch.column("label")], ["node", "k", "label"])
 
     return branch
 
@@ -435,7 +435,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     sets = tables.put(fetched(_named(pairs, classes), slim, words))
     links = [tables.put(confirmed(pairs, sets, percent))]
     tables.drop(sets)
-    comps = components(links[0].select("a", "b"), tables)
+    comps = components(links[0].select("a", "b"), tables, 3)
 
     # Trees: two levels at once, then on while nodes are large and hold more than one component.
     rows = tables.put(relabel(own, comps))
@@ -451,15 +451,17 @@ def judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
         level = level.where(F.col("size") > small)
     labels = rows.select("k", "label")
     if level.limit(1).count():
-        more, crowd = crowd_links(level, slim, classes, tables, words, percent, recall, small, seed)
-        links += more
+        more, others, crowd = crowd_pairs(level, slim, classes, tables, words, percent, recall, small, seed)
+        links.append(more)
+        pairs += others
         labels = labels.join(crowd.select("k", F.col("label").alias("later")), "k", "left").select("k", F.coalesce("later", "label").alias("label"))
-    found = pairs[0]
+    found = pairs[0].select("a", "b", "alike")
     for p in pairs[1:]:
-        found = found.union(p)
+        found = found.union(p.select("a", "b", "alike"))
+    found = found.groupBy("a", "b").agg(F.max("alike").alias("alike"))
     now = labels.select(F.col("k").alias("a"), F.col("label").alias("la")), labels.select(F.col("k").alias("b"), F.col("label").alias("lb"))
-    found = tables.put(found.select("a", "b", "alike").distinct().join(now[0], "a").join(now[1], "b").where("la <> lb").select("a", "b", "la", "lb", "alike"))
-    links += settle(found, tables.put(fetched(_named(found, classes), slim, words)), tables, percent)[0]
+    found = tables.put(found.join(now[0], "a").join(now[1], "b").where("la <> lb").select("a", "b", "la", "lb", "alike"))
+    links += settle(found, tables.put(fetched(_named(found, classes), slim, words)), tables, percent)
 
     edges = links[0].select("a", "b")
     for link in links[1:]:
