@@ -7,8 +7,10 @@ the left half's share is a multivariate-hypergeometric draw, made source by sour
 of blocks and every quota is met exactly. A shard takes its share of a source as a run of that source's permuted
 blocks, so shards are disjoint, and orders its rows by a local hash.
 
-No source is gathered: sums are per block and source; windows run over a source's blocks (words / block_words
-rows) and over the rows of the one block where a quota ends. Sources themselves are one row each.
+No source is gathered: sums are per block and source; a source's blocks are ordered within RANGES ranges of their
+permuted places, by windows over one range each and one over the ranges' sums; another window runs over the rows of the one
+block where a quota ends. Sources themselves are one row each: windows over them, and the tree's nodes, which hold
+a number for each, run in one task.
 
 Defined results: a null text has size 0 and takes 0 words. A null source is a source of its own and the last.
 Repeated rows count each; they are the same to the mix. A source of no words has target 0. No rows give no rows.
@@ -24,8 +26,8 @@ from pyspark.sql.window import Window
 from .common import WORD, Tables, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Above this support a hypergeometric draw uses its normal limit, rounded into the support.
-EXACT_SUPPORT = 200
+#: Ranges of a source's permuted blocks, whose sums come before the order within them.
+RANGES = 4096
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -48,15 +50,21 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tu
 
 
 def hypergeometric(total: str, good: str, drawn: str, u: str) -> str:
-    """SQL: how many of `drawn` out of `total` are among `good`, at uniform u; exact inversion on small supports."""
-    lo, hi = f"greatest(0L, {drawn} + {good} - {total})", f"least({good}, {drawn})"
-    ratio = f"(({good} - i) * ({drawn} - i) / greatest(1D, (i + 1D) * ({total} - {good} - {drawn} + i + 1)))"
-    weights = f"aggregate(sequence({lo}, {hi}), struct(1D AS w, array(1D) AS chain), (f, i) -> struct(f.w * {ratio} AS w, concat(f.chain, array(f.w * {ratio})) AS chain), f -> slice(f.chain, 1, greatest(1, size(f.chain) - 1)))"
-    pick = f"transform(array({weights}), ws -> aggregate(ws, struct({u} * aggregate(ws, 0D, (b, w) -> b + w) AS left, -1L AS x), (b, w) -> struct(b.left - w AS left, IF(b.left > 0, b.x + 1, b.x) AS x), b -> greatest(b.x, 0L)))[0] + {lo}"
-    mean = f"({drawn} * ({good} / greatest(1D, {total})))"
-    sd = f"sqrt(greatest(0D, {mean} * (1 - {good} / greatest(1D, {total})) * (({total} - {drawn}) / greatest(1D, {total} - 1D))))"
-    z = f"(4.91D * (pow({u}, 0.14D) - pow(1 - {u}, 0.14D)))"
-    return f"IF({hi} - {lo} <= {EXACT_SUPPORT}, {pick}, least({hi}, greatest({lo}, CAST(round({mean} + {z} * {sd}) AS BIGINT))))"
+    """SQL: how many of `drawn` out of `total` are among `good`, by inversion at uniform u.
+
+    The weights of the distribution follow from one another by their ratios, so two walks over the support do: one
+    for their sum, one to the place where u of it is reached. Beyond 12 deviations and 40 places from the mean
+    weights are under 1e-30 of the sum, less than a double tells, and are passed over.
+    """
+    given = f"struct(CAST({total} AS DOUBLE) AS n, CAST({good} AS DOUBLE) AS g, CAST({drawn} AS DOUBLE) AS d, {u} AS u)"
+    spread = "sqrt(greatest(0D, t.d * (t.g / greatest(1D, t.n)) * (1 - t.g / greatest(1D, t.n)) * ((t.n - t.d) / greatest(1D, t.n - 1))))"
+    reach = f"(12 * {spread} + 40)"
+    ends = f"""struct(t.n AS n, t.g AS g, t.d AS d, t.u AS u,
+      CAST(greatest(0D, t.d + t.g - t.n, floor(t.d * (t.g / greatest(1D, t.n)) - {reach})) AS BIGINT) AS lo, CAST(least(t.g, t.d, ceil(t.d * (t.g / greatest(1D, t.n)) + {reach})) AS BIGINT) AS hi)"""
+    step = "((b.g - i) * (b.d - i) / ((i + 1D) * greatest(1D, b.n - b.g - b.d + i + 1)))"
+    whole = f"aggregate(sequence(b.lo, b.hi), struct(1D AS w, 0D AS sum), (f, i) -> struct(f.w * {step} AS w, f.sum + f.w AS sum), f -> f.sum)"
+    place = f"aggregate(sequence(b.lo, b.hi), struct(1D AS w, b.u * {whole} AS left, b.lo AS x), (f, i) -> struct(f.w * {step} AS w, f.left - f.w AS left, IF(f.left > 0, i, f.x) AS x), f -> f.x)"
+    return f"transform(transform(array({given}), t -> {ends}), b -> {place})[0]"
 
 
 def shard_ends(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
@@ -66,7 +74,7 @@ def shard_ends(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """
     tree = quotas.agg(F.expr("array_sort(collect_list(struct(source_no AS s, blocks AS k)))").alias("q")).where(F.size("q") > 0).select(F.lit(0).alias("node"), "q")
     for level in range(levels):
-        u = f"((pmod(xxhash64(node, {level}, x.s, {seed}), 1000003) + 0.5D) / 1000003)"
+        u = f"((shiftrightunsigned(xxhash64(node, {level}, x.s, {seed}), 12) + 0.5D) / 4503599627370496D)"  # 52 bits
         n = "aggregate(q, 0L, (a, x) -> a + x.k)"
         drawn = hypergeometric("a.total", "x.k", "a.draw", u)
         split = f"""aggregate(q, struct({n} AS total, CAST(({n} + pmod(xxhash64(node, {level}, {seed}), 2)) DIV 2 AS BIGINT) AS draw, CAST(array() AS array<struct<s:int,l:bigint,r:bigint>>) AS got),
@@ -99,8 +107,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = sizes.select(F.col("source").alias("_source"), "source_no", "n_blocks", "source_size", "target")
     rows = rows.join(keys, same).withColumn("block", F.pmod(F.col("h"), F.col("n_blocks"))).drop("_source")
     blocks = rows.groupBy("source_no", "block").agg(F.sum("size").alias("words"))
-    order = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed), "source_no", "block"), "block")
-    blocks = blocks.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.row_number().over(order).cast("long") - 1)
+    # The permuted order, by ranges: sums and counts of the ranges first, then places within each.
+    blocks = blocks.withColumn("place", F.xxhash64(F.lit(seed), "source_no", "block")).withColumn("range", F.shiftrightunsigned("place", 52))
+    before = Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows at most
+    ranges = blocks.groupBy("source_no", "range").agg(F.sum("words").alias("w"), F.count("*").alias("c"))
+    ranges = ranges.select("source_no", "range", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("words_before"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("blocks_before"))
+    order = Window.partitionBy("source_no", "range").orderBy("place", "block")
+    blocks = blocks.join(ranges, ["source_no", "range"])
+    blocks = blocks.withColumn("upto", F.col("words_before") + F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.col("blocks_before") + F.row_number().over(order).cast("long") - 1)
+    blocks = blocks.drop("place", "range", "words_before", "blocks_before")
     blocks = blocks.join(sizes.select("source_no", "passes", "rest"), "source_no")
     blocks = blocks.withColumn("whole", F.col("upto") <= F.col("rest")).withColumn("left", F.when(~F.col("whole") & (F.col("upto") - F.col("words") < F.col("rest")), F.col("rest") - F.col("upto") + F.col("words")).otherwise(0.0))
     blocks = tables.put(blocks)
