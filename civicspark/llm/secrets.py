@@ -1,7 +1,7 @@
 """Secret scans from DataFrame functions alone: pattern spans, and a battery of randomness tests for bare tokens.
 
-Base spans are the leftmost non-overlapping matches of three patterns. The battery adds bare tokens of 20 or
-more characters. Each is read in the encoding that its characters allow (hex, base32, base62, base64) and is
+Base spans are the leftmost non-overlapping matches of three patterns. The battery judges all bare tokens of 20 or
+more characters, less what base spans cover of them (pieces of 20 or more stay). Each is read in the encoding that its characters allow (hex, base32, base62, base64, or both kinds of base64 signs at once) and is
 held against "uniform over that alphabet" by a chi-squared test of the symbol counts, a runs test of the upper
 and lower half of the alphabet, and the lag-1 serial correlation; a token that fails one is no secret. What
 passes is held against "ordinary text", where characters change class (digit, lower, upper, sign) at a rate of
@@ -44,6 +44,7 @@ ALPHABETS = [
     ("^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"),
     ("^[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
+    ("^[A-Za-z0-9+/_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 ]
 
 
@@ -81,7 +82,10 @@ def battery(alpha: float, text_rate: float) -> str:
       (aggregate(sequence(0, u.n - 2), 0D, (a, i) -> a + (u.x[i] - u.mean) * (u.x[i + 1] - u.mean)) / greatest(1e-9, aggregate(u.x, 0D, (a, y) -> a + pow(y - u.mean, 2))) + 1D / u.n) * sqrt(u.n) AS z3)"""
     kl = f"v.change * ln(greatest(v.change, 1e-9) / {text_rate}D) + (1 - v.change) * ln(greatest(1 - v.change, 1e-9) / {1 - text_rate}D)"
     least = " AND ".join(f"{normal_tail(f'v.z{i}')} >= {alpha / 3}D" for i in (1, 2, 3))
-    return f"transform(transform(transform(array({codes}), t -> {moments}), u -> {scores}), v -> IF({least}, IF(v.change <= {text_rate}D, 1D, exp(-(v.n - 1) * ({kl}))), NULL))[0]"
+    # A token that changes class no oftener than text has the p-value 1 whatever the tests say (both count as no secret), so these aren't run: at most one change in 1 / text_rate characters.
+    classes = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(rtrim('=', c.v), '[0-9]+', '\\u0001'), '[a-z]+', '\\u0002'), '[A-Z]+', '\\u0003'), '[+/_-]+', '\\u0004')"
+    whole = f"transform(transform(transform(array({codes}), t -> {moments}), u -> {scores}), v -> IF({least}, IF(v.change <= {text_rate}D, 1D, exp(-(v.n - 1) * ({kl}))), NULL))[0]"
+    return f"IF(char_length({classes}) - 1 <= {text_rate}D * (char_length(rtrim('=', c.v)) - 1), 1D, {whole})"
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01, alpha: float = 0.001, text_rate: float = 0.08, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -93,7 +97,10 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     tables = Tables(docs.sparkSession, "secrets")
     clean = docs.select(F.col(id_col), *(c for c in keep), F.translate(F.coalesce(F.col(text_col), F.lit("")), "\u0001\u0002\u0003", "\u0004\u0004\u0004").alias("_text"))
     found = clean.select(id_col, *keep, *(F.expr(matches("_text", k)).alias(f"_{k}") for k in KINDS))
-    bare = "filter(_random, c -> c.v RLIKE '[0-9]' AND c.v RLIKE '[A-Za-z]' AND NOT exists(_base, b -> b.s < c.e AND c.s < b.e))"
+    # A token is cut at the base spans that it meets; spans are few where there are any.
+    cut = f"aggregate(filter(_base, b -> b.s < t.e AND t.s < b.e), array(struct(t.s AS s, t.e AS e)), (a, b) -> flatten(transform(a, x -> IF(b.s < x.e AND x.s < b.e, array(struct(x.s AS s, b.s AS e), struct(b.e AS s, x.e AS e)), array(x)))))"
+    least = PATTERNS["random"][1]
+    bare = f"flatten(transform(_random, t -> transform(filter({cut}, x -> x.e - x.s >= {least}), x -> struct(x.s AS s, t.k AS k, x.e AS e, substr(t.v, x.s - t.s + 1, x.e - x.s) AS v))))"
     found = found.withColumn("_base", F.expr("array_sort(transform(concat(_assign, _access, _hex), c -> struct(c.s AS s, c.k AS k, c.e AS e)))"))
     found = found.withColumn("_bare", F.expr(f"filter(transform({bare}, c -> struct(c.s AS s, c.k AS k, c.e AS e, {battery(alpha, text_rate)} AS p)), c -> true)"))
     found = tables.put(found.select(id_col, *keep, "_base", "_bare"))
