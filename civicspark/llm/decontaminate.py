@@ -111,12 +111,18 @@ class Index:
         n = self.start[at + 1] - self.start[at]
         if not n.sum():
             return []
-        which = np.repeat(self.start[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, row = self.item[which], np.repeat(row, n)
-        diagonal = np.repeat(places, n) - rows[row] - self.at[which]
-        band = (diagonal + self.m[item]) // (self.k[item] + 1)
-        wide = int(band.max()) + 4
-        code, count = np.unique((row * len(self.items) + item) * wide + band, return_counts=True)
+        # pairs of places, a bounded number at a time; counts of their bands are added up
+        wide = int((rows[1:] - rows[:-1]).max() + 2 * self.m.max()) + 8
+        code, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for lo, hi in _chunks(n):
+            m = n[lo:hi]
+            which = np.repeat(self.start[at[lo:hi]], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            item, own = self.item[which], np.repeat(row[lo:hi], m)
+            diagonal = np.repeat(places[lo:hi], m) - rows[own] - self.at[which]
+            band = (diagonal + self.m[item]) // (self.k[item] + 1)
+            new, times = np.unique((own * len(self.items) + item) * wide + band, return_counts=True)
+            code, where = np.unique(np.concatenate((code, new)), return_inverse=True)
+            count = np.bincount(where, weights=np.concatenate((count, times)), minlength=len(code)).astype(np.int64)
         total = count.copy()
         for step in (1, 2):
             nxt = np.searchsorted(code, code + step)
@@ -126,10 +132,20 @@ class Index:
         return [(int(c // wide // len(self.items)), int(c // wide % len(self.items)), int(c % wide)) for c in code[good]]
 
 
-def banded(item: np.ndarray, text: np.ndarray, first: int, last: int, most: int) -> tuple[int, int] | None:
+def _chunks(n: np.ndarray, most: int = 1 << 21):
+    """Ranges of places with `most` pairs or so in all; one place at least, which has no more pairs than the slice has q-grams."""
+    ends = np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def banded(item: np.ndarray, text: np.ndarray, first: int, last: int, most: int, anchored: bool = False) -> tuple[int, int] | None:
     """Edits and end of the best alignment of the whole item to a stretch of text that begins in [first, last] - or None if over `most`.
 
-    Free ends in the text; diagonals from first - most to last + most only.
+    Free ends in the text; diagonals from first - most to last + most only. anchored: the stretch begins at `first`; of equally good ends the nearest.
     """
     lo = first - most
     width = last - first + 2 * most + 1
@@ -139,7 +155,7 @@ def banded(item: np.ndarray, text: np.ndarray, first: int, last: int, most: int)
     ok = (src >= 0) & (src < len(text))
     padded[ok] = text[src[ok]]
     steps = np.arange(width)
-    row = np.where((steps + lo >= 0) & (steps + lo <= len(text)), 0, far)
+    row = np.where((steps + lo >= 0) & (steps + lo <= len(text)), np.where(steps >= most, steps - most, far) if anchored else 0, far)
     for i in range(1, len(item) + 1):
         end = steps + lo + i
         new = np.minimum(row + (padded[i - 1 : i - 1 + width] != item[i - 1]), np.append(row[1:], far) + 1)
@@ -151,6 +167,16 @@ def banded(item: np.ndarray, text: np.ndarray, first: int, last: int, most: int)
     return int(row[at]), at + lo + len(item)
 
 
+def aligned(item: np.ndarray, text: np.ndarray, first: int, last: int, most: int) -> tuple[int, int, int] | None:
+    """Edits, begin and end of the best alignment. The begin is that of an alignment read backwards from the end."""
+    found = banded(item, text, first, last, most)
+    if found is None or found[0] > most:
+        return None
+    edits, end = found
+    _, back = banded(item[::-1], text[:end][::-1], 0, 0, most, anchored=True)
+    return edits, end - back, end
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", q: int = 12, budget: float = 0.05, slice_bytes: int = 2 << 20) -> DataFrame:
     """A row for each document and item that it holds: id, item, edits, first and end (code points).
 
@@ -197,12 +223,11 @@ def _scanner(index, schema):
                     d = band * (k + 1) - len(want)
                     from_, to = max(0, d - k), min(len(own), d + 3 * (k + 1) + k + len(want))
                     exact = own[from_:to].tobytes().find(want.tobytes())
-                    got = (0, from_ + exact + len(want)) if exact >= 0 else banded(want, own, d, d + 3 * (k + 1), k)
-                    if got is None or got[0] > k:
+                    got = (0, from_ + exact, from_ + exact + len(want)) if exact >= 0 else aligned(want, own, d, d + 3 * (k + 1), k)
+                    if got is None:
                         continue
                     done.add((row, item))
-                    edits, end = got
-                    first = max(0, end - len(want)) if edits == 0 else max(0, end - len(want) - edits)
+                    edits, first, end = got
                     where = origin[rows[row] + first], origin[rows[row] + max(end - 1, 0)] + 1
                     text = raw[rel[row] : rel[row + 1]]
                     a, b = (int(((text[: w - rel[row]] & 0xC0) != 0x80).sum()) for w in where)
