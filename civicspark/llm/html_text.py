@@ -7,7 +7,8 @@ discounted by link density. The best container is kept whole, with those sibling
 paragraphs of prose themselves; what holds menus, headers, footers, sidebars, notices, adverts, forms or
 comments is left out first.
 
-A page is a small unit, read by one task; its depth doesn't matter (the tree is walked without recursion).
+A page is a small unit, read by one task in time that grows with its length: tags that are open are counted by name,
+so an end tag without its start costs nothing, and lengths of texts are passed up the tree once, at the end.
 
 Defined results: null or empty html, or html without text, gives an empty text. Unclosed and crossed tags are
 read as browsers do for paragraphs and list items; an end tag without its start is passed over. A page whose
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,19 +56,20 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 
 
 class Node:
-    __slots__ = ("tag", "parent", "drop", "score", "chars", "linked", "bonus")
+    __slots__ = ("tag", "parent", "drop", "score", "chars", "linked", "bonus", "article")
 
     def __init__(self, tag, parent, drop, bonus):
         self.tag, self.parent, self.drop, self.bonus = tag, parent, drop, bonus
+        self.article = tag == "article" or parent is not None and parent.article
         self.score = self.chars = self.linked = 0.0
 
 
 def unwanted(tag: str, attrs: str, node: Node) -> tuple[bool, float]:
     """Whether a container is left out, and what its names add to its score."""
     if not attrs or attrs.isspace():
-        return tag in DROP or tag == "header" and not inside(node, "article"), 25.0 if tag in ("article", "main") else 0.0
+        return tag in DROP or tag == "header" and not node.article, 25.0 if tag in ("article", "main") else 0.0
     bonus = 25.0 if tag in ("article", "main") else 0.0
-    drop = tag in DROP or tag == "header" and not inside(node, "article")
+    drop = tag in DROP or tag == "header" and not node.article
     for name, value in ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
@@ -81,17 +84,11 @@ def unwanted(tag: str, attrs: str, node: Node) -> tuple[bool, float]:
     return drop, bonus
 
 
-def inside(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
 def blocks_of(page: str) -> list[tuple[Node, str]]:
     """The page's blocks in order: the innermost block element and its text, spaces collapsed; links are counted."""
-    root = node = Node("#root", None, False, 0.0)
+    node = Node("#root", None, False, 0.0)
+    nodes = [node]
+    open_tags: Counter[str] = Counter()
     out: list[tuple[Node, str]] = []
     text: list[str] = []
     linked = depth_a = 0
@@ -103,11 +100,8 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
             joined = SPACES.sub(" ", "".join(text)).strip()
             if joined and not node.drop:
                 out.append((node, joined))
-                chars, link, up = len(joined), min(linked, len(joined)), node
-                while up is not None:
-                    up.chars += chars
-                    up.linked += link
-                    up = up.parent
+                node.chars += len(joined)
+                node.linked += min(linked, len(joined))
             text.clear()
         linked = 0
 
@@ -119,6 +113,13 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
             if depth_a:
                 linked += len(piece.strip())
 
+    def back_to(above: Node):
+        """Close all up to an ancestor, which stays open."""
+        nonlocal node
+        while node is not above:
+            open_tags[node.tag] -= 1
+            node = node.parent
+
     while pos < n:
         lt = page.find("<", pos)
         if lt < 0:
@@ -143,12 +144,13 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
             elif tag == "br":
                 text.append(" ")
             elif tag in BLOCK:
-                up = node
-                while up is not None and up.tag != tag:
-                    up = up.parent
                 flush()
-                if up is not None:
-                    node, depth_a = up.parent, 0
+                if open_tags[tag]:
+                    up = node
+                    while up.tag != tag:
+                        up = up.parent
+                    back_to(up.parent)
+                    depth_a = 0
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -167,22 +169,29 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
         up = node
         if tag in CLOSES:
             own, stop = CLOSES[tag]
-            while up is not None and up.tag not in stop and up.tag not in own:
-                up = up.parent
-            if up is not None and up.tag in own:
-                node = up.parent
-                while tag == "tr" and node.tag in own:
-                    node = node.parent
-        elif node.tag == "p" or inside(node, "p"):  # a block ends an open paragraph
-            while up is not None and up.tag != "p":
+            if any(open_tags[t] for t in own):
+                while up.tag not in stop and up.tag not in own:
+                    up = up.parent
+                if up.tag in own:
+                    up = up.parent
+                    while tag == "tr" and up.tag in own:
+                        up = up.parent
+                    back_to(up)
+        elif open_tags["p"]:  # a block ends an open paragraph
+            while up.tag != "p":
                 up = up.parent
-            node = up.parent
+            back_to(up.parent)
         elif tag in HEADING and node.tag in HEADING:
-            node = node.parent
+            back_to(node.parent)
         drop, bonus = unwanted(tag, attrs, node)
         node = Node(tag, node, drop or node.drop, bonus)
+        nodes.append(node)
+        open_tags[tag] += 1
         depth_a = 0
     flush()
+    for below in reversed(nodes[1:]):  # a node comes after its parent
+        below.parent.chars += below.chars
+        below.parent.linked += below.linked
     return out
 
 
