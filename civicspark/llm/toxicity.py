@@ -1,10 +1,11 @@
 """Toxicity scores by weak supervision.
 
 Voters are many: fixed word lists, words and word beginnings that a sample's labels point to, and patterns of
-form. A generative label model takes what they say on the sample: by expectation maximization it estimates each
-voter's rate of speaking on toxic and on clean rows, with the known labels as one more, imperfect voter; pairs
-of voters that agree beyond what the class explains share their weight. A linear classifier is then trained on the
-posterior labels and scores every whole text; nothing but the text is its input.
+form (capitals, exclamation marks, very short texts). A generative label model takes what they say on the sample: by
+expectation maximization it estimates each voter's rate of speaking on toxic and on clean rows, with the known labels as one more,
+imperfect voter, so a pattern that says more of clean rows speaks for these. The correlations of voters within a class are
+estimated along with the rates; a voter's weight is what it adds to those that say the same, the row of the inverse correlation
+matrix. A linear classifier is then trained on the posterior labels and scores every whole text; nothing but the text is its input.
 
 Only the sample is bounded: at most `sample_rows` labelled rows outside the holdout, chosen by hash. Words of the
 sample are counted by Spark; the driver sees the `candidates` best ones and their places in the sample, then fits
@@ -100,24 +101,25 @@ def cover(hits: dict[int, np.ndarray], precision: dict[int, float], n_rows: int,
     return chosen
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 50) -> np.ndarray:
-    """Posterior of class 1 by EM; votes: rows x voters, 1 for toxic, 0 for no opinion.
+def label_model(votes: np.ndarray, labels: np.ndarray, words: int, rounds: int = 50) -> np.ndarray:
+    """Posterior of class 1 by EM; votes: rows x voters, 1 for a voter that speaks, 0 for no opinion.
 
-    The labels are one more voter that may err, and so is "nobody speaks". The share of class 1 is the labels'.
+    The labels are one more voter that may err, and so is "no word speaks", told by the first `words` voters. The share of class 1 is the labels'.
     """
-    silent = 1 - np.maximum(labels, votes.max(1, initial=0))
+    silent = 1 - np.maximum(labels, votes[:, :words].max(1, initial=0))
     spoken = np.concatenate([votes, labels[:, None], silent[:, None]], 1).astype(float)
     post = np.where(labels > 0, 0.95, np.where(silent > 0, 0.02, 0.2))
     prior = np.clip(labels.mean(), 0.001, 0.5)
     for _ in range(rounds):
         on1 = (post @ spoken + 0.5) / (post.sum() + 1)
         on0 = ((1 - post) @ spoken + 0.5) / ((1 - post).sum() + 1)
-        # agreement that the class does not explain: such voters share their weight
+        # agreement that the class does not explain: correlations within the classes, shrunk by their own error
         rest = spoken - (post[:, None] * on1 + (1 - post)[:, None] * on0)
         scale = np.sqrt((rest**2).mean(0)) + 1e-6
         corr = (rest / scale).T @ (rest / scale) / len(spoken)
-        np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + np.where(corr > 0.5, corr, 0).sum(1))
+        corr = np.maximum(corr - 4 / np.sqrt(len(spoken)), 0)
+        np.fill_diagonal(corr, 1 + 1e-3)
+        weight = np.clip(np.linalg.solve(corr, np.ones(len(corr))), 0.05, 1)
         score = np.log(prior / (1 - prior)) + spoken @ (np.log(on1 / on0) * weight)
         new = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         done = np.abs(new - post).max() < 1e-4
@@ -201,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
         w = np.zeros(width + 1)
         w[len(vocabulary)], w[-1] = 4.0, -3.0
         return vocabulary, w
-    post = label_model(x[:, : len(vocabulary)], np.array(y))
+    own = [*range(len(vocabulary)), *range(len(vocabulary) + 2, width)]  # words and forms; how many words speak is no voter, but a feature
+    post = label_model(x[:, own], np.array(y), len(vocabulary))
     return vocabulary, fit_linear(x.astype(float), post)
 
 
