@@ -1,18 +1,22 @@
-"""Language-model scores by a weighted backoff automaton.
-
-Tokens are the words (A-Z lower-cased) and an end per text. The automaton has a root, a state for each word and
-one for the start of a text. From state h an arc for each word w seen after h in training; whatever else comes
-takes the failure arc to the root, where each token has an arc (unseen ones share one). Weights are smoothed with
-a Dirichlet prior of strength `mu`: root arcs p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), arcs of h
-(c(hw) + mu p(w)) / (c(h) + mu), failure arcs mu / (c(h) + mu); what leaves a state sums to one. A traversal
-goes left to right, carries the state and adds up log10 weights. With words as states, the state before a token
-is the token before it, so numpy takes the arcs of a block of texts at once.
+"""Language-model scores by a weighted backoff automaton of order 4.
+
+Tokens are the words (A-Z lower-cased) and an end per text. A state is the context of a token: the three tokens
+before it, or all there are from the start of the text on. From a state h an arc for each token w seen after h in
+training goes on; whatever else comes takes the failure arc to the state of the context without its first token, in
+the end to the root, where each token has an arc (unseen ones share one). Weights are smoothed with a Dirichlet
+prior for each order, of strength `mu`: root arcs p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)), arcs of h
+(c(hw) + mu p(w after h')) / (c(h) + mu) with h' the shorter context, failure arcs mu / (c(h) + mu); what leaves a
+state sums to one. A context never seen has its failure arc alone, with weight one. A traversal goes left to right,
+carries the state and adds up log10 weights. The contexts of a place are the tokens before it, so numpy takes the arcs of a
+block of texts at once, order by order.
 
 The counts grow with the corpus and are never gathered in one place. Texts are dealt by hash to blocks of about
-`block_bytes`. A block sends its distinct arcs (64-bit keys, sorted, with its own training counts) to the parts of
-the key space; a part adds up the counts of all blocks and answers each block in the order of its question; the
-block then holds just the arcs that it needs, and traverses. Keys, blocks and parts have sizes that don't depend on
-the corpus; only their numbers do. The texts are shuffled once and that shuffle is used twice.
+`block_bytes`. A block sends its distinct tokens and pairs (64-bit keys, sorted, with its own training counts) to the parts of
+the key space; a part adds up the counts of all blocks and answers each block in the order of its question. In a
+second round the block asks for its runs of three and four tokens in the same way, but only for those that may occur in other
+blocks: where a pair within a run has all its occurrences in this block, so has the run, and the block's own count is
+the whole one. The block then holds just the arcs that it needs, and traverses. Keys, blocks and parts have sizes that
+don't depend on the corpus; only their numbers do. The texts are shuffled once and that shuffle is used three times.
 
 Defined results: a null or empty text is the end alone. Repeated rows get a row each and count each. Without
 training rows every count is 0: base and model give each token the unseen weight. No rows give no rows. Only the
@@ -62,6 +66,29 @@ def before_keys(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
+def longer(chain: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Keys of runs that are one token longer: the run up to the token before, and the token."""
+    out = np.zeros(len(keys), np.uint64)
+    with np.errstate(over="ignore"):
+        out[1:] = mix64(chain[:-1] * np.uint64(0x9E3779B97F4A7C15) + keys[1:])
+    return out
+
+
+def depth(rows: np.ndarray) -> np.ndarray:
+    """How many tokens of its text come before each."""
+    at = np.arange(len(rows))
+    first = np.ones(len(rows), bool)
+    first[1:] = rows[1:] != rows[:-1]
+    return at - np.maximum.accumulate(np.where(first, at, 0))
+
+
+def before(x: np.ndarray, n: int = 1):
+    """The values n places before; false or 0 at the start."""
+    out = np.zeros_like(x)
+    out[n:] = x[:-n]
+    return out
+
+
 def pack(x: np.ndarray) -> bytes:
     """Bytes by place value: the high ones of sorted keys and of counts are alike, and shuffles compress them."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
@@ -72,76 +99,121 @@ def unpack(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def questioner(parts: int):
-    """A block's distinct tokens and arcs with its training counts, by part of the key space."""
+def question(block: pa.Table, parts: int, keys: list[tuple[np.ndarray, np.ndarray]], texts: int) -> pa.Table:
+    """Distinct keys and their training counts in this block, by part of the key space. keys: two arrays, each with what of it is learnt."""
     cuts = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    cols = []
+    for x, learnt in keys:
+        distinct, at = np.unique(x, return_inverse=True)
+        count = np.bincount(at[learnt], minlength=len(distinct)).astype(np.uint32)
+        bounds = np.concatenate(([0], np.searchsorted(distinct, cuts), [len(distinct)]))
+        cols.append([(pack(distinct[a:b]), pack(count[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    b = block.column("block")[0].as_py()
+    return pa.table(
+        [pa.array(np.arange(parts), pa.int32()), pa.array([b] * parts, pa.int32()), pa.array([texts] * parts, pa.int64()), *(pa.array([c[i] for c in col], pa.binary()) for col in cols for i in (0, 1))],
+        names=["part", "block", "texts", "k1", "c1", "k2", "c2"],
+    )
+
+
+def questioner(parts: int):
+    """A block's distinct tokens and pairs."""
 
     def ask(block: pa.Table) -> pa.Table:
         data, offsets = text_arrays(block.column("text"))
         training = block.column("training").to_numpy()
         keys, arcs, rows = tokens(data, offsets)
-        learnt = training[rows]
-        cols = []
-        for x in (keys, arcs):
-            distinct, at = np.unique(x, return_inverse=True)
-            count = np.bincount(at[learnt], minlength=len(distinct)).astype(np.uint32)
-            bounds = np.concatenate(([0], np.searchsorted(distinct, cuts), [len(distinct)]))
-            cols.append([(pack(distinct[a:b]), pack(count[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-        b = block.column("block")[0].as_py()
+        return question(block, parts, [(keys, training[rows]), (arcs, training[rows])], int(training.sum()))
+
+    return ask
+
+
+def answer(kind: int):
+    def counts(part: pa.Table) -> pa.Table:
+        """Counts over all blocks for each block's keys, in its order; with the part's numbers of types and tokens."""
+        out = {}
+        types = total = 0
+        for k, c in (("k1", "c1"), ("k2", "c2")):
+            asked = [unpack(x.as_buffer(), np.uint64) for x in part.column(k)]
+            own = [unpack(x.as_buffer(), np.uint32) for x in part.column(c)]
+            every = np.concatenate(asked)
+            order = np.argsort(every, kind="stable")
+            s = every[order]
+            first = np.ones(len(s), bool)
+            first[1:] = s[1:] != s[:-1]
+            group = np.cumsum(first) - 1
+            sums = np.bincount(group, weights=np.concatenate(own)[order]).astype(np.uint64) if len(s) else np.zeros(0, np.uint64)
+            counts = np.empty(len(s), np.uint64)
+            counts[order] = sums[group]
+            edges = np.cumsum([0, *map(len, asked)])
+            out[c] = [pack(counts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            if k == "k1":
+                types, total = int((sums > 0).sum()), int(sums.sum())
+        n = len(part)
+        texts = sum(part.column("texts").to_pylist())
         return pa.table(
-            [pa.array(np.arange(parts), pa.int32()), pa.array([b] * parts, pa.int32()), pa.array([int(training.sum())] * parts, pa.int64()), *(pa.array([c[i] for c in col], pa.binary()) for col in cols for i in (0, 1))],
-            names=["part", "block", "texts", "k1", "c1", "k2", "c2"],
+            [part.column("block"), part.column("part"), pa.array([kind] * n, pa.int32()), pa.array([types] * n, pa.int64()), pa.array([total] * n, pa.int64()), pa.array([texts] * n, pa.int64()), pa.array(out["c1"], pa.binary()), pa.array(out["c2"], pa.binary())],
+            names=["block", "part", "kind", "types", "total", "texts", "c1", "c2"],
         )
 
-    return ask
+    return counts
 
 
-def answer(part: pa.Table) -> pa.Table:
-    """Counts over all blocks for each block's keys, in its order; with the part's numbers of types and tokens."""
-    out = {}
-    types = total = 0
-    for k, c in (("k1", "c1"), ("k2", "c2")):
-        asked = [unpack(x.as_buffer(), np.uint64) for x in part.column(k)]
-        own = [unpack(x.as_buffer(), np.uint32) for x in part.column(c)]
-        every = np.concatenate(asked)
-        order = np.argsort(every, kind="stable")
-        s = every[order]
-        first = np.ones(len(s), bool)
-        first[1:] = s[1:] != s[:-1]
-        group = np.cumsum(first) - 1
-        sums = np.bincount(group, weights=np.concatenate(own)[order]).astype(np.uint64) if len(s) else np.zeros(0, np.uint64)
-        counts = np.empty(len(s), np.uint64)
-        counts[order] = sums[group]
-        edges = np.cumsum([0, *map(len, asked)])
-        out[c] = [pack(counts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        if k == "k1":
-            types, total = int((sums > 0).sum()), int(sums.sum())
-    n = len(part)
-    texts = sum(part.column("texts").to_pylist())
-    return pa.table(
-        [part.column("block"), part.column("part"), pa.array([types] * n, pa.int64()), pa.array([total] * n, pa.int64()), pa.array([texts] * n, pa.int64()), pa.array(out["c1"], pa.binary()), pa.array(out["c2"], pa.binary())],
-        names=["block", "part", "types", "total", "texts", "c1", "c2"],
-    )
+def answered(answers: pa.Table, column: str) -> np.ndarray:
+    return np.concatenate([unpack(x.as_buffer(), np.uint64) for x in answers.column(column)])
 
 
-def traverser(mu: float, schema: pa.Schema):
-    def traverse(block: pa.Table, answers: pa.Table) -> pa.Table:
+def open_pairs(arcs: np.ndarray, learnt: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the pair at each place occurs in the training texts of other blocks too, and its count in all."""
+    _, at = np.unique(arcs, return_inverse=True)
+    own = np.bincount(at[learnt], minlength=len(totals))
+    return (own < totals)[at], totals[at]
+
+
+def open_runs(apart: np.ndarray, deep: np.ndarray) -> list[np.ndarray]:
+    """Places whose run of three, and of four, must be asked for: all its pairs occur elsewhere."""
+    three = apart & before(apart) & (deep >= 1)
+    return [three, three & before(apart, 2) & (deep >= 2)]
+
+
+def asker(parts: int):
+    """A block's distinct runs of three and four tokens that may occur in other blocks."""
+
+    def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("part")
-        total, types = (sum(answers.column(c).to_pylist()) for c in ("total", "types"))
-        texts = answers.column("texts")[0].as_py()
         data, offsets = text_arrays(block.column("text"))
         keys, arcs, rows = tokens(data, offsets)
-        c1, c2 = (np.concatenate([unpack(x.as_buffer(), np.uint64) for x in answers.column(c)]).astype(np.float64) for c in ("c1", "c2"))
-        distinct, at = np.unique(keys, return_inverse=True)
-        seen = c1[at]
+        learnt = block.column("training").to_numpy()[rows]
+        asked = open_runs(open_pairs(arcs, learnt, answered(answers, "c2"))[0], depth(rows))
+        three = longer(arcs, keys)
+        return question(block, parts, [(x[p], learnt[p]) for x, p in zip((three, longer(three, keys)), asked, strict=True)], 0)
+
+    return ask
+
+
+def traverser(mu: tuple[float, float, float], schema: pa.Schema):
+    import pyarrow.compute as pc
+
+    def traverse(block: pa.Table, answers: pa.Table) -> pa.Table:
+        one, two = (answers.filter(pc.equal(answers.column("kind"), k)).sort_by("part") for k in (1, 2))
+        total, types = (sum(one.column(c).to_pylist()) for c in ("total", "types"))
+        texts = one.column("texts")[0].as_py()
+        data, offsets = text_arrays(block.column("text"))
+        keys, chain, rows = tokens(data, offsets)
+        learnt, deep = block.column("training").to_numpy()[rows], depth(rows)
+        seen = answered(one, "c1").astype(np.float64)[np.unique(keys, return_inverse=True)[1]]
         root = (seen + ADD) / (total + ADD * (types + 1))
-        arc = c2[np.unique(arcs, return_inverse=True)[1]]
-        # the state carried: the token before, or the start; one never left in training has the failure arc alone
-        state = np.empty(len(keys))
-        state[0] = texts
-        state[1:] = np.where(rows[1:] == rows[:-1], seen[:-1], texts)
-        failure = mu / (state + mu)
-        weight = np.where(arc > 0, arc / (state + mu), 0.0) + failure * root
+        apart, count = open_pairs(chain, learnt, answered(one, "c2"))
+        # the state before a token: its count is that of the run that it is; the start was left once in each text
+        weight = (count + mu[0] * root) / (np.where(deep > 0, before(seen), texts) + mu[0])
+        for order, (asked, column) in enumerate(zip(open_runs(apart, deep), ("c1", "c2"), strict=True), 3):
+            chain, state = longer(chain, keys), before(count)
+            count = np.zeros(len(keys))
+            if asked.any():
+                count[asked] = answered(two, column)[np.unique(chain[asked], return_inverse=True)[1]]
+            here = np.flatnonzero(~asked & (deep >= order - 2))
+            _, at = np.unique(chain[here], return_inverse=True)
+            count[here] = np.bincount(at[learnt[here]], minlength=int(at.max(initial=-1)) + 1)[at]
+            weight = np.where(deep >= order - 2, (count + mu[order - 2] * weight) / (state + mu[order - 2]), weight)
         n = len(block)
         add = lambda x: np.bincount(rows, weights=x, minlength=n)
         cols = [block.column("id"), pa.array(~block.column("training").to_numpy()), np.bincount(rows, minlength=n), add(seen > 0).astype(np.int64), np.full(n, total), add(np.log10(root)), add(np.log10(weight))]
@@ -150,10 +222,11 @@ def traverser(mu: float, schema: pa.Schema):
     return traverse
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training=None, mu: float = 8.0, block_bytes: int = 16 << 20, part_bytes: int = 24 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training=None, mu: tuple[float, float, float] = (200.0, 50.0, 20.0), block_bytes: int = 12 << 20, part_bytes: int = 24 << 20) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (root arcs alone) and score (the automaton).
 
     training: a boolean column of the rows to learn from; by default those whose crc32(id as text) mod 10 is not 0.
+    mu: strengths of the priors of the orders 2, 3 and 4, in tokens.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -163,10 +236,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     blocks, parts = max(1, math.ceil(total / block_bytes)), max(1, math.ceil(total / part_bytes))
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), training.alias("training"))
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartition(2 * blocks, "block")
-    asked = dealt.groupBy("block").applyInArrow(questioner(parts), "part int, block int, texts bigint, k1 binary, c1 binary, k2 binary, c2 binary")
-    answers = asked.repartition(2 * parts, "part").groupBy("part").applyInArrow(answer, "block int, part int, types bigint, total bigint, texts bigint, c1 binary, c2 binary")
+    posed = "part int, block int, texts bigint, k1 binary, c1 binary, k2 binary, c2 binary"
+    reply = "block int, part int, kind int, types bigint, total bigint, texts bigint, c1 binary, c2 binary"
+    ask = dealt.groupBy("block").applyInArrow(questioner(parts), posed)
+    one = ask.repartition(2 * parts, "part").groupBy("part").applyInArrow(answer(1), reply)
+    again = dealt.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(asker(parts), posed)
+    two = again.repartition(2 * parts, "part").groupBy("part").applyInArrow(answer(2), reply)
     schema = pa.schema([("id", to_arrow_type(slim.schema["id"].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(traverser(mu, schema), f"id {dict(docs.dtypes)[id_col]}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = dealt.groupBy("block").cogroup(one.unionByName(two).groupBy("block")).applyInArrow(traverser(mu, schema), f"id {dict(docs.dtypes)[id_col]}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 
