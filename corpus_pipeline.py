@@ -1,4 +1,12 @@
-"""From documents to a training mix: drop toxic texts, near copies and benchmark leaks, blank secrets, mix sources."""
+"""From documents to a training mix: drop toxic texts, near copies and benchmark leaks, blank secrets, mix sources.
+
+Defined results: a null or empty text is not toxic, no copy, no leak and holds no secret, so it stays, with size 0.
+Rows with a null id are judged as any other; a null source is a source of its own. Of repeated rows with words one
+stays, and of a group of near copies the row with the smallest id (where that id has several texts, the one of the least
+hash); rows without words all stay. Empty tables are no error: without labels the fixed lists of words decide, without benchmark
+items nothing leaks, without documents there are no rows. Further columns of the documents, whatever their names, go
+through all stages but the last, which returns the columns of the mix.
+"""
 
 from __future__ import annotations
 
