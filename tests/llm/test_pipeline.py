@@ -28,3 +28,19 @@ def test_stages(spark, tmp_path):
     assert set(seen["leaks"]) == set(seen["secrets"]) == set(seen["mixing"]) == every - {100, 101, 102, 103}
     assert "abcdefghijklmnop123" not in seen["secrets"][104]["text"] and seen["secrets"][5]["text"] == docs[5][1]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, d).collect()} == set(seen["mixing"])
+
+
+def test_empty_tables_repeated_rows_and_further_columns(spark, tmp_path):
+    d = str(tmp_path)
+    rows = [(1, "one text of some plain words here", "s", "x", 5), (1, "one text of some plain words here", "s", "x", 5), (2, None, None, None, None), (None, "another one, with a null for its id", "s", "y", 1), (3, "", "s", "z", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, label string, id long")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs.write.parquet(f"{d}/documents.parquet")
+    out = spark.read.parquet(f"{d}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, d)
+        assert out.columns == docs.columns, name
+    assert sorted((r["doc_id"] or 0, r["label"] or "") for r in out.collect()) == [(0, "y"), (1, "x"), (2, ""), (3, "z")]
+    docs.limit(0).write.mode("overwrite").parquet(f"{d}/documents.parquet")
+    assert corpus_pipeline.run(spark, d).count() == 0
