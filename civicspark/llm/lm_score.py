@@ -12,11 +12,11 @@ block of texts at once, order by order.
 
 The counts grow with the corpus and are never gathered in one place. Texts are dealt by hash to blocks of about
 `block_bytes`. A block sends its distinct tokens and pairs (64-bit keys, sorted, with its own training counts) to the parts of
-the key space; a part adds up the counts of all blocks and answers each block in the order of its question. In a
-second round the block asks for its runs of three and four tokens in the same way, but only for those that may occur in other
-blocks: where a pair within a run has all its occurrences in this block, so has the run, and the block's own count is
+the key space; a part adds up the counts of all blocks and answers each block in the order of its question. In further rounds the block
+asks for its runs of three tokens, then of four, in the same way, but only for those that may occur in other
+blocks: where a shorter run within a run has all its occurrences in this block, so has the run, and the block's own count is
 the whole one. The block then holds just the arcs that it needs, and traverses. Keys, blocks and parts have sizes that
-don't depend on the corpus; only their numbers do. The texts are shuffled once and that shuffle is used three times.
+don't depend on the corpus; only their numbers do. The texts are shuffled once and that shuffle is used in all rounds.
 
 Defined results: a null or empty text is the end alone. Repeated rows get a row each and count each. Without
 training rows every count is 0: base and model give each token the unseen weight. No rows give no rows. Only the
@@ -29,6 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,62 +159,64 @@ def answer(kind: int):
     return counts
 
 
-def answered(answers: pa.Table, column: str) -> np.ndarray:
-    return np.concatenate([unpack(x.as_buffer(), np.uint64) for x in answers.column(column)])
-
-
-def open_pairs(arcs: np.ndarray, learnt: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the pair at each place occurs in the training texts of other blocks too, and its count in all."""
-    _, at = np.unique(arcs, return_inverse=True)
-    own = np.bincount(at[learnt], minlength=len(totals))
-    return (own < totals)[at], totals[at]
-
-
-def open_runs(apart: np.ndarray, deep: np.ndarray) -> list[np.ndarray]:
-    """Places whose run of three, and of four, must be asked for: all its pairs occur elsewhere."""
-    three = apart & before(apart) & (deep >= 1)
-    return [three, three & before(apart, 2) & (deep >= 2)]
+def answered(answers: pa.Table, kind: int, column: str) -> np.ndarray:
+    own = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("part")
+    return np.concatenate([unpack(x.as_buffer(), np.uint64) for x in own.column(column)])
+
+
+def asked_runs(apart: np.ndarray, deep: np.ndarray, order: int) -> np.ndarray:
+    """Places whose run of `order` tokens must be asked for: both runs in it that are one shorter occur elsewhere."""
+    return apart & before(apart) & (deep >= order - 2)
+
+
+def counted(keys: np.ndarray, arcs: np.ndarray, learnt: np.ndarray, deep: np.ndarray, answers: pa.Table, upto: int):
+    """For each order from 2 on: keys of the runs that end at each place, their counts, and whether they occur in other blocks' training texts."""
+    chain, asked, out = arcs, np.ones(len(keys), bool), []
+    for order in range(2, upto + 1):
+        if order > 2:
+            chain, asked = longer(chain, keys), asked_runs(out[-1][2], deep, order)
+        here = np.flatnonzero(deep >= order - 2)
+        distinct, at = np.unique(chain[here], return_inverse=True)
+        own = np.bincount(at[learnt[here]], minlength=len(distinct))
+        total, open_ = own.astype(np.uint64), np.zeros(len(distinct), bool)
+        open_[at[asked[here]]] = True
+        if open_.any():
+            total[open_] = answered(answers, order - 1, "c2" if order == 2 else "c1")
+        count, apart = np.zeros(len(keys)), np.zeros(len(keys), bool)
+        count[here], apart[here] = total[at], (own < total)[at]
+        out.append((chain, count, apart))
+    return out
 
 
-def asker(parts: int):
-    """A block's distinct runs of three and four tokens that may occur in other blocks."""
+def asker(parts: int, order: int):
+    """A block's distinct runs of `order` tokens that may occur in other blocks."""
 
     def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
-        answers = answers.sort_by("part")
         data, offsets = text_arrays(block.column("text"))
         keys, arcs, rows = tokens(data, offsets)
-        learnt = block.column("training").to_numpy()[rows]
-        asked = open_runs(open_pairs(arcs, learnt, answered(answers, "c2"))[0], depth(rows))
-        three = longer(arcs, keys)
-        return question(block, parts, [(x[p], learnt[p]) for x, p in zip((three, longer(three, keys)), asked, strict=True)], 0)
+        learnt, deep = block.column("training").to_numpy()[rows], depth(rows)
+        chain, _, apart = counted(keys, arcs, learnt, deep, answers, order - 1)[-1]
+        asked = asked_runs(apart, deep, order)
+        return question(block, parts, [(longer(chain, keys)[asked], learnt[asked]), (np.zeros(0, np.uint64), np.zeros(0, bool))], 0)
 
     return ask
 
 
-def traverser(mu: tuple[float, float, float], schema: pa.Schema):
-    import pyarrow.compute as pc
-
+def traverser(mu: tuple[float, ...], schema: pa.Schema):
     def traverse(block: pa.Table, answers: pa.Table) -> pa.Table:
-        one, two = (answers.filter(pc.equal(answers.column("kind"), k)).sort_by("part") for k in (1, 2))
+        one = answers.filter(pc.equal(answers.column("kind"), 1))
         total, types = (sum(one.column(c).to_pylist()) for c in ("total", "types"))
         texts = one.column("texts")[0].as_py()
         data, offsets = text_arrays(block.column("text"))
-        keys, chain, rows = tokens(data, offsets)
+        keys, arcs, rows = tokens(data, offsets)
         learnt, deep = block.column("training").to_numpy()[rows], depth(rows)
-        seen = answered(one, "c1").astype(np.float64)[np.unique(keys, return_inverse=True)[1]]
+        seen = answered(answers, 1, "c1").astype(np.float64)[np.unique(keys, return_inverse=True)[1]]
         root = (seen + ADD) / (total + ADD * (types + 1))
-        apart, count = open_pairs(chain, learnt, answered(one, "c2"))
         # the state before a token: its count is that of the run that it is; the start was left once in each text
-        weight = (count + mu[0] * root) / (np.where(deep > 0, before(seen), texts) + mu[0])
-        for order, (asked, column) in enumerate(zip(open_runs(apart, deep), ("c1", "c2"), strict=True), 3):
-            chain, state = longer(chain, keys), before(count)
-            count = np.zeros(len(keys))
-            if asked.any():
-                count[asked] = answered(two, column)[np.unique(chain[asked], return_inverse=True)[1]]
-            here = np.flatnonzero(~asked & (deep >= order - 2))
-            _, at = np.unique(chain[here], return_inverse=True)
-            count[here] = np.bincount(at[learnt[here]], minlength=int(at.max(initial=-1)) + 1)[at]
+        weight, state = root, np.where(deep > 0, before(seen), texts)
+        for order, (_, count, _) in enumerate(counted(keys, arcs, learnt, deep, answers, len(mu) + 1), 2):
             weight = np.where(deep >= order - 2, (count + mu[order - 2] * weight) / (state + mu[order - 2]), weight)
+            state = before(count)
         n = len(block)
         add = lambda x: np.bincount(rows, weights=x, minlength=n)
         cols = [block.column("id"), pa.array(~block.column("training").to_numpy()), np.bincount(rows, minlength=n), add(seen > 0).astype(np.int64), np.full(n, total), add(np.log10(root)), add(np.log10(weight))]
@@ -222,11 +225,11 @@ def traverser(mu: tuple[float, float, float], schema: pa.Schema):
     return traverse
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training=None, mu: tuple[float, float, float] = (200.0, 50.0, 20.0), block_bytes: int = 12 << 20, part_bytes: int = 24 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training=None, mu: tuple[float, ...] = (200.0, 50.0, 20.0), block_bytes: int = 12 << 20, part_bytes: int = 24 << 20) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (root arcs alone) and score (the automaton).
 
     training: a boolean column of the rows to learn from; by default those whose crc32(id as text) mod 10 is not 0.
-    mu: strengths of the priors of the orders 2, 3 and 4, in tokens.
+    mu: strengths of the priors of the orders 2, 3, 4 (and so on), in tokens.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -239,11 +242,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     posed = "part int, block int, texts bigint, k1 binary, c1 binary, k2 binary, c2 binary"
     reply = "block int, part int, kind int, types bigint, total bigint, texts bigint, c1 binary, c2 binary"
     ask = dealt.groupBy("block").applyInArrow(questioner(parts), posed)
-    one = ask.repartition(2 * parts, "part").groupBy("part").applyInArrow(answer(1), reply)
-    again = dealt.groupBy("block").cogroup(one.groupBy("block")).applyInArrow(asker(parts), posed)
-    two = again.repartition(2 * parts, "part").groupBy("part").applyInArrow(answer(2), reply)
+    known = ask.repartition(2 * parts, "part").groupBy("part").applyInArrow(answer(1), reply)
+    for order in range(3, len(mu) + 2):
+        more = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(asker(parts, order), posed)
+        known = known.unionByName(more.repartition(2 * parts, "part").groupBy("part").applyInArrow(answer(order - 1), reply))
     schema = pa.schema([("id", to_arrow_type(slim.schema["id"].dataType)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    out = dealt.groupBy("block").cogroup(one.unionByName(two).groupBy("block")).applyInArrow(traverser(mu, schema), f"id {dict(docs.dtypes)[id_col]}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    out = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(traverser(mu, schema), f"id {dict(docs.dtypes)[id_col]}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 
