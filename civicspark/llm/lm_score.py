@@ -1,6 +1,6 @@
-"""Language-model scores by a weighted backoff automaton of order 4.
+"""Language-model scores by a weighted backoff automaton; of order 3 unless `mu` says more.
 
-Tokens are the words (A-Z lower-cased) and an end per text. A state is the context of a token: the three tokens
+Tokens are the words (A-Z lower-cased) and an end per text. A state is the context of a token: the two (three, ...) tokens
 before it, or all there are from the start of the text on. From a state h an arc for each token w seen after h in
 training goes on; whatever else comes takes the failure arc to the state of the context without its first token, in
 the end to the root, where each token has an arc (unseen ones share one). Weights are smoothed with a Dirichlet
@@ -225,11 +225,11 @@ def traverser(mu: tuple[float, ...], schema: pa.Schema):
     return traverse
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training=None, mu: tuple[float, ...] = (200.0, 50.0, 20.0), block_bytes: int = 12 << 20, part_bytes: int = 24 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", training=None, mu: tuple[float, ...] = (200.0, 50.0), block_bytes: int = 12 << 20, part_bytes: int = 24 << 20) -> DataFrame:
     """Per row: id, held_out, n_tokens, n_known, train_tokens, base_score (root arcs alone) and score (the automaton).
 
     training: a boolean column of the rows to learn from; by default those whose crc32(id as text) mod 10 is not 0.
-    mu: strengths of the priors of the orders 2, 3, 4 (and so on), in tokens.
+    mu: strengths of the priors of the orders 2, 3 (and so on), in tokens; as many as there are orders above 1.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 

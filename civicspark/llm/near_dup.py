@@ -44,7 +44,7 @@ from .common import TO_LOWER, Tables, mix64, pieces, scan_tasks, span_hashes, ta
 
 _RNG = np.random.default_rng(11)
 #: Minwise values that paths are chosen from: of all classes (16 bits each), and of those in crowds (8 bits).
-COORDS, WIDE = 32, 1056
+COORDS, WIDE = 32, 2080
 _XOR = _RNG.integers(0, 2**32, WIDE, dtype=np.uint32)
 _MULT = _RNG.integers(0, 2**31, WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Classes of a crowd that meet in one cell.
@@ -233,6 +233,17 @@ def _with_end(batches):
     yield None
 
 
+def telling(one: np.ndarray, label: np.ndarray, alike: np.ndarray, sure: float) -> np.ndarray:
+    """Which pairs to name: where a class is linked with a label for sure, its best pair with that label says all."""
+    order = np.lexsort((-alike, label, one))
+    first = np.ones(len(order), bool)
+    first[1:] = (one[order][1:] != one[order][:-1]) | (label[order][1:] != label[order][:-1])
+    settled = alike[order][first] >= sure
+    out = np.zeros(len(order), bool)
+    out[order] = first | ~settled[np.cumsum(first) - 1]
+    return out
+
+
 def meeter(percent: int, paths: np.ndarray):
     """Pairs of some members of a node and some others that they meet, both of a bounded number."""
 
@@ -250,7 +261,10 @@ def meeter(percent: int, paths: np.ndarray):
                 a, b, alike = a[good], b[good], alike[good]
                 new = once(sig[a], osig[b], np.full(len(a), node), paths)
                 a, b, alike = a[new], b[new], alike[new]
-                if len(a):
+                s = percent / 100  # above the threshold by as many deviations as the filter leaves below it
+                if len(a):  # members of one label say the same of it
+                    good = telling(b, label[a], alike, s + 4.5 * math.sqrt(s * (1 - s) / WIDE))
+                    a, b, alike = a[good], b[good], alike[good]
                     yield pairs_of(k[a], ok[b], label[a], olabel[b], alike)
 
     return meet

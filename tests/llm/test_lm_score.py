@@ -11,7 +11,7 @@ import pytest
 from civicspark.llm import lm_score
 
 
-def brute(rows, mu=(200.0, 50.0, 20.0)):
+def brute(rows, mu=(200.0, 50.0)):
     tok = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({i: i + 32 for i in range(65, 91)})) + ["\0end"]
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     runs, texts = Counter(), 0
@@ -34,11 +34,11 @@ def brute(rows, mu=(200.0, 50.0, 20.0)):
     for i, t in rows:
         w = ["\0start", *tok(t)]
         places = range(1, len(w))
-        out[i] = (held(i), len(w) - 1, sum(runs[w[j],] > 0 for j in places), total, sum(math.log10(p((), w[j])) for j in places), sum(math.log10(p(tuple(w[max(0, j - 3) : j]), w[j])) for j in places))
+        out[i] = (held(i), len(w) - 1, sum(runs[w[j],] > 0 for j in places), total, sum(math.log10(p((), w[j])) for j in places), sum(math.log10(p(tuple(w[max(0, j - len(mu)) : j]), w[j])) for j in places))
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 300, "part_bytes": 500}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 300, "part_bytes": 500, "mu": (200.0, 50.0, 20.0)}])
 def test_scores(spark, options):
     rng = random.Random(6)
     vocab = ["a", "b", "Cd", "é"]
@@ -47,7 +47,7 @@ def test_scores(spark, options):
     df = df.union(spark.createDataFrame([(1000 + i, " ".join(rng.choice(vocab) for _ in range(rng.randint(0, 30))), 1) for i in range(120)], df.schema))
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     got = {r["doc_id"]: tuple(r)[1:] for r in lm_score.score_texts(df, **options).collect()}
-    for i, want in brute(rows).items():
+    for i, want in brute(rows, options.get("mu", (200.0, 50.0))).items():
         assert got[i][:4] == want[:4] and got[i][4:] == pytest.approx(want[4:])
 
 
