@@ -100,6 +100,26 @@ def unpack(blob: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Packed and compressed further than a shuffle does, with the length before it."""
+    planes = pack(x)
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: pa.Buffer, kind) -> np.ndarray:
+    size = int.from_bytes(blob[:8].to_pybytes(), "little")
+    return unpack(pa.decompress(blob[8:], decompressed_size=size, codec="zstd", asbytes=True), kind)
+
+
+def squeeze_keys(x: np.ndarray) -> bytes:
+    """Of sorted keys: the first and the differences."""
+    return squeeze(np.diff(x, prepend=np.uint64(0)))
+
+
+def unsqueeze_keys(blob: pa.Buffer) -> np.ndarray:
+    return np.cumsum(unsqueeze(blob, np.uint64), dtype=np.uint64)
+
+
 def question(block: pa.Table, parts: int, keys: list[tuple[np.ndarray, np.ndarray]], texts: int) -> pa.Table:
     """Distinct keys and their training counts in this block, by part of the key space. keys: two arrays, each with what of it is learnt."""
     cuts = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
@@ -108,7 +128,7 @@ def question(block: pa.Table, parts: int, keys: list[tuple[np.ndarray, np.ndarra
         distinct, at = np.unique(x, return_inverse=True)
         count = np.bincount(at[learnt], minlength=len(distinct)).astype(np.uint32)
         bounds = np.concatenate(([0], np.searchsorted(distinct, cuts), [len(distinct)]))
-        cols.append([(pack(distinct[a:b]), pack(count[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+        cols.append([(squeeze_keys(distinct[a:b]), squeeze(count[a:b])) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
     b = block.column("block")[0].as_py()
     return pa.table(
         [pa.array(np.arange(parts), pa.int32()), pa.array([b] * parts, pa.int32()), pa.array([texts] * parts, pa.int64()), *(pa.array([c[i] for c in col], pa.binary()) for col in cols for i in (0, 1))],
@@ -134,8 +154,8 @@ def answer(kind: int):
         out = {}
         types = total = 0
         for k, c in (("k1", "c1"), ("k2", "c2")):
-            asked = [unpack(x.as_buffer(), np.uint64) for x in part.column(k)]
-            own = [unpack(x.as_buffer(), np.uint32) for x in part.column(c)]
+            asked = [unsqueeze_keys(x.as_buffer()) for x in part.column(k)]
+            own = [unsqueeze(x.as_buffer(), np.uint32) for x in part.column(c)]
             every = np.concatenate(asked)
             order = np.argsort(every, kind="stable")
             s = every[order]
@@ -146,7 +166,7 @@ def answer(kind: int):
             counts = np.empty(len(s), np.uint64)
             counts[order] = sums[group]
             edges = np.cumsum([0, *map(len, asked)])
-            out[c] = [pack(counts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            out[c] = [squeeze(counts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             if k == "k1":
                 types, total = int((sums > 0).sum()), int(sums.sum())
         n = len(part)
@@ -161,7 +181,7 @@ def answer(kind: int):
 
 def answered(answers: pa.Table, kind: int, column: str) -> np.ndarray:
     own = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("part")
-    return np.concatenate([unpack(x.as_buffer(), np.uint64) for x in own.column(column)])
+    return np.concatenate([unsqueeze(x.as_buffer(), np.uint64) for x in own.column(column)])
 
 
 def asked_runs(apart: np.ndarray, deep: np.ndarray, order: int) -> np.ndarray:
