@@ -49,7 +49,7 @@ def byte_letters() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def byte_level(file: bytes):
-    """An encoder of texts to lists of ids, and the bytes of each id, for a byte-level vocabulary."""
+    """An encoder of texts to lists of ids, the bytes of each id, and whether these always are the text's, for a byte-level vocabulary."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks take the cores
     from tokenizers import Tokenizer
 
@@ -60,7 +60,7 @@ def byte_level(file: bytes):
     table = [b""] * (max(names.values()) + 1)
     for name, i in names.items():
         table[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
-    return lambda texts: [e.ids for e in own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], table
+    return lambda texts: [e.ids for e in own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], table, own.normalizer is None and all(c in names for c in letters)
 
 
 @lru_cache(maxsize=4)
@@ -70,7 +70,7 @@ def pieced(file: bytes):
 
     own = SentencePieceProcessor(model_proto=file)
     table = [bytes([int(own.id_to_piece(i)[1:-1], 16)]) if own.is_byte(i) else own.id_to_piece(i).replace("▁", " ").encode() for i in range(own.get_piece_size())]
-    return lambda texts: own.encode(texts, num_threads=1), table
+    return lambda texts: own.encode(texts, num_threads=1), table, False
 
 
 def once(ascending: np.ndarray) -> np.ndarray:
@@ -82,6 +82,8 @@ def common_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.
     cuts = np.intersect1d(once(ends_a), once(ends_b), assume_unique=True)
     group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
     first_a, first_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
+    if (np.diff(ends_a) > 0).all() and (np.diff(ends_b) > 0).all():  # one of each at a cut
+        return cuts, group_a, group_b, first_a, first_b
     at_a, at_b = np.searchsorted(ends_a, cuts, "right") - first_a, np.searchsorted(ends_b, cuts, "right") - first_b
     each = at_a * at_b
     turn = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
@@ -93,11 +95,11 @@ class Aligned:
     """Some texts with their tokens: flat ids of both tokenizers, groups and links. bounds_*: tokens before each text, and all."""
 
     def __init__(self, texts: list[str], a, b) -> None:
-        (encode_a, bytes_a), (encode_b, bytes_b) = a, b
+        (encode_a, bytes_a, whole_a), (encode_b, bytes_b, whole_b) = a, b
         ids_a, ids_b = encode_a(texts), encode_b(texts)
         for i, text in enumerate(texts):
             whole = b" " + text.encode()
-            if not text or b"".join(map(bytes_a.__getitem__, ids_a[i])) != whole or b"".join(map(bytes_b.__getitem__, ids_b[i])) != whole:
+            if not text or not (whole_a or b"".join(map(bytes_a.__getitem__, ids_a[i])) == whole) or not (whole_b or b"".join(map(bytes_b.__getitem__, ids_b[i])) == whole):
                 ids_a[i] = ids_b[i] = []
         lengths = np.fromiter((len(t.encode()) + 2 for t in texts), np.int64, len(texts))  # one place more than bytes: ranges don't touch
         base = np.cumsum(lengths) - lengths
@@ -120,12 +122,14 @@ class Aligned:
 
     def digests(self) -> list[str]:
         """Of each text: the SHA-256 of its groups, ids with commas, `|` between the tokenizers, `;` between groups."""
-        key = np.concatenate((2 * self.group_a, 2 * self.group_b + 1))
-        order = np.argsort(key, kind="stable")
-        key, ids = key[order], np.concatenate((self.a, self.b))[order]
-        last = np.ones(len(key), bool)
-        last[:-1] = key[1:] != key[:-1]
-        sign = np.where(last, 1 + (key & 1), 0)
+        # a group's tokens: those of the first tokenizer come after all earlier groups of both, those of the second after them
+        n_a, n_b = np.bincount(self.group_a, minlength=len(self.cuts)), np.bincount(self.group_b, minlength=len(self.cuts))
+        end_a, end_b = np.cumsum(n_a), np.cumsum(n_b)
+        at_a, at_b = np.arange(len(self.a)) + (end_b - n_b)[self.group_a], np.arange(len(self.b)) + end_a[self.group_b]
+        ids, sign = np.empty(len(self.a) + len(self.b), np.int64), np.zeros(len(self.a) + len(self.b), np.int64)
+        ids[at_a], ids[at_b] = self.a, self.b
+        sign[end_a + end_b - n_b - 1] = 1
+        sign[end_a + end_b - 1] = 2
         words = _numbers(max(int(ids.max()) + 1, 1 << 16) if len(ids) else 1)
         said = [words[c] for c in (ids * 3 + sign).tolist()]
         bounds = (self.bounds_a + self.bounds_b).tolist()
@@ -152,16 +156,8 @@ def from_slim(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-#: A block's rows: one a text, and one with its distinct pairs, their counts and the links by text, as places in the list of pairs.
-BLOCKS = "block bigint, no int, id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs binary, counts binary, texts binary, places binary, times binary"
-
-
-def distinct(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct numbers in order, and how often each occurs."""
-    found = pc.value_counts(pa.array(numbers))
-    values, times = found.field(0).to_numpy(), found.field(1).to_numpy()
-    order = np.argsort(values)
-    return values[order], times[order]
+#: A block's rows: one a text, and one with its distinct pairs, their counts and its links in order, as places in the list of pairs.
+BLOCKS = "block bigint, no int, id {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs binary, counts binary, places binary"
 
 
 def blocker(files: tuple, schema: pa.Schema, block_bytes: int):
@@ -172,14 +168,9 @@ def blocker(files: tuple, schema: pa.Schema, block_bytes: int):
         part, turn, held, size, n = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def closed():
-            pairs, owner = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-            listed, times = distinct(pairs)
-            # links by text: place in the list, and how often; places as steps
-            both, often = distinct(owner * max(1, len(listed)) + np.searchsorted(listed, pairs))
-            text, place = np.divmod(both, max(1, len(listed)))
-            first = np.concatenate(([True], text[1:] != text[:-1]))[: len(text)]
-            step = np.where(first, place, np.diff(place, prepend=0))
-            own = {"block": [(part << 32) | turn], "no": [-1], "pairs": [zlib.compress(np.diff(listed, prepend=0).astype("<i8").tobytes(), 1)], "counts": [slim_bytes(times)], "texts": [slim_bytes(text)], "places": [slim_bytes(step)], "times": [slim_bytes(often)]}
+            coded = pa.array(np.concatenate(held)).dictionary_encode()
+            places, pairs = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+            own = {"block": [(part << 32) | turn], "no": [-1], "pairs": [zlib.compress(pairs.astype("<i8").tobytes(), 1)], "counts": [slim_bytes(np.bincount(places, minlength=len(pairs)))], "places": [slim_bytes(places)]}
             return pa.RecordBatch.from_arrays([pa.array(own.get(f.name, [None]), f.type) for f in schema], schema=schema)
 
         for batch in batches:
@@ -196,7 +187,7 @@ def blocker(files: tuple, schema: pa.Schema, block_bytes: int):
                 edges = np.concatenate(([0], np.cumsum(own.n_links)))
                 lengths = own.n_links[which]
                 at = np.repeat(edges[which] - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
-                held.append((own.pairs[at], np.repeat(no, lengths)))
+                held.append(own.pairs[at])
                 size, n = size + int(offsets[hi] - offsets[lo]), n + hi - lo
                 if size >= block_bytes:
                     yield closed()
@@ -211,7 +202,7 @@ def lister(batches):
     """A row for each distinct pair of a block."""
     for batch in batches:
         for block, pairs, counts in zip(batch.column("block").to_pylist(), batch.column("pairs").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            listed = np.cumsum(np.frombuffer(zlib.decompress(pairs), "<i8"))
+            listed = np.frombuffer(zlib.decompress(pairs), "<i8")
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(listed), block)), pa.array(listed), pa.array(from_slim(counts))], ["block", "pair", "n"])
 
 
@@ -222,18 +213,14 @@ def summer(schema: pa.Schema):
         own = rows.filter(pc.equal(rows["no"], -1))
         texts = rows.filter(pc.not_equal(rows["no"], -1))
         order = np.argsort(known["pair"].to_numpy())
-        counts, best = known["total"].to_numpy()[order], known["best"].to_numpy(zero_copy_only=False)[order]
-        text, step, times = (from_slim(own[c][0].as_py()) for c in ("texts", "places", "times"))
-        n = len(texts)
-        n_best, count_sum = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        if len(text):
-            first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
-            walk = np.cumsum(step.astype(np.int64))
-            walk -= np.repeat(walk[first] - step[first], np.diff(np.concatenate((first, [len(text)]))))
-            count_sum[text[first]] = np.add.reduceat(counts[walk] * times, first)
-            n_best[text[first]] = np.add.reduceat(best[walk] * times, first)
-        no = texts["no"].to_numpy()
-        out = {c: texts[c] for c in ("id", *COUNTS, "groups_sha256")} | {"n_best": n_best[no], "count_sum": count_sum[no]}
+        at = order[np.searchsorted(known["pair"].to_numpy(), np.frombuffer(zlib.decompress(own["pairs"][0].as_py()), "<i8"), sorter=order)]
+        places = from_slim(own["places"][0].as_py())
+        texts = texts.sort_by("no")
+        edges = np.concatenate(([0], np.cumsum(texts["n_links"].to_numpy())))
+        # sums of whole numbers up to each text's end, so texts without links need no care
+        upto = [np.concatenate(([0], np.cumsum(known[c].to_numpy().astype(np.int64)[at][places])))[edges] for c in ("total", "best")]
+        count_sum, n_best = np.diff(upto[0]), np.diff(upto[1])
+        out = {c: texts[c] for c in ("id", *COUNTS, "groups_sha256")} | {"n_best": n_best, "count_sum": count_sum}
         return pa.Table.from_arrays([out[f.name] if isinstance(out[f.name], pa.ChunkedArray) else pa.array(out[f.name]) for f in schema], schema=schema)
 
     return total
@@ -299,7 +286,7 @@ def align_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = asked.select("block", "pair").join(counted.select("pair", "total", "best"), "pair")
     out = f"id {kind}, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", groups_sha256 string, n_best bigint, count_sum bigint"
     schema = to_arrow_schema(spark.createDataFrame([], out).schema)
-    rows = blocks.select("block", "no", "id", *COUNTS, "groups_sha256", "texts", "places", "times")
+    rows = blocks.select("block", "no", "id", *COUNTS, "groups_sha256", "pairs", "places")
     done = rows.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(summer(schema), out)
     return done.withColumnRenamed("id", id_col), counted
 
