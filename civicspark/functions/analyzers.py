@@ -4,54 +4,30 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from .match import fold
+from .stem import stem, stems
 from .text import unaccent
 
 TOKEN = r"[\p{L}\p{N}]+"
 
-#: Endings of the light stemmer, tried in order on terms of more than `least` letters: pattern, replacement, least.
-ENDINGS = [
-    ("(?:issement|issements)$", "i", 9),
-    ("(?:atrices?|ateurs?|ations?)$", "", 8),
-    ("(?:ements?|ment|ments)$", "", 8),
-    ("(?:euses?|eux)$", "eu", 6),
-    ("(?:ives?|ifs?)$", "if", 6),
-    ("aux$", "al", 5),
-    ("(?:ités?|ites?)$", "", 7),
-    ("(?:ances?|ences?)$", "", 7),
-    ("(?:istes?|ismes?)$", "", 7),
-    ("(?:elles?|els?)$", "el", 6),
-    ("(?:iennes?|iens?)$", "ien", 6),
-    ("(?:és?|ées?|er|ez)$", "e", 4),
-    ("[sxe]+$", "", 4),
-]
-
-
-def stem_fr(term: Column) -> Column:
-    """A light suffix stemmer for French, as a chain of built-in replacements: the first ending that fits, then plural and mute e."""
-    cases = F
-    for pattern, new, least in ENDINGS[:-1]:
-        cases = cases.when((F.char_length(term) >= least) & term.rlike(pattern), F.regexp_replace(term, pattern, new))
-    out = cases.otherwise(term)
-    pattern, new, least = ENDINGS[-1]
-    return F.regexp_replace(out, rf"(?<=.{{{least - 1}}}){pattern}", new)
-
-
-def query_stems(text: str) -> list[str]:
-    """A query's words as `analyze_fr` gives them (stop words aside, which a query rarely needs)."""
-    out = []
+def stops_fr() -> list[str]:
+    """Spark's French stop words."""
+    return StopWordsRemover.loadDefaultStopWords("french")
+
+
+def query_stems(text: str, unaccent_first: bool = False) -> list[str]:
+    """A query's words as `analyze_fr` gives them: stop words are dropped here, too."""
+    out, stops = [], set(stops_fr())
     for word in re.findall(r"[^\W_]+", text.lower()):
-        for pattern, new, least in ENDINGS[:-1]:
-            if len(word) >= least and re.search(pattern, word):
-                word = re.sub(pattern, new, word)
-                break
-        pattern, new, least = ENDINGS[-1]
-        word = re.sub(rf"(?<=.{{{least - 1}}}){pattern}", new, word)
-        out += fold(word)
+        plain = "".join(fold(word)) if unaccent_first else word
+        if plain not in stops:
+            out += fold(stem(plain))
     return out
 
 
@@ -64,8 +40,25 @@ def simple_tokens(text) -> Column:
 def analyze_fr(text, unaccent_first: bool = False) -> Column:
     """Stems without stop words. unaccent_first: accents go before the stop list is asked, so accented stop words stay."""
     c = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
-    stops = StopWordsRemover.loadDefaultStopWords("french")
     lowered = F.lower(c)
     tokens = F.regexp_extract_all(unaccent(lowered) if unaccent_first else lowered, F.lit(f"({TOKEN})"), 1)
+    stops = stops_fr()
     kept = F.filter(tokens, lambda t: ~t.isin(stops))
-    return F.transform(kept, lambda t: unaccent(stem_fr(t)))
+    return F.transform(stems(kept), unaccent)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _pieces(texts: pa.Array) -> pa.Array:
+    return pa.array([gram_list(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+
+
+def grams(text) -> Column:
+    """The distinct three-letter pieces of a text in lower case, two blanks before it and one after it."""
+    c = F.col(text) if isinstance(text, str) else text
+    return _pieces(F.lower(F.coalesce(c, F.lit(""))))
+
+
+def gram_list(text: str, inner: bool = False) -> list[str]:
+    """The pieces of a search text; inner: only those that any text around it has, too."""
+    whole = text.lower() if inner else f"  {text.lower()} "
+    return list(dict.fromkeys(whole[i : i + 3] for i in range(len(whole) - 2)))

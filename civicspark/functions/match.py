@@ -1,7 +1,7 @@
 """Search queries as boolean Columns over a row's terms.
 
 Two grammars: the web style (words are ANDed, "a phrase", or, -not; never an error) and the expression style
-(AND, OR, NOT, parentheses, "a phrase", prefix*). A query is parsed on the driver into a Column; nothing is joined.
+(AND, OR, NOT, parentheses, "a phrase", prefix*, NEAR(a "b c", 5), a NEAR/5 b). A query is parsed on the driver into a Column; nothing is joined.
 """
 
 from __future__ import annotations
@@ -15,6 +15,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def near(begins: list[Column], lengths: list[int], most: int) -> Column:
+    """Whether some places, one of each list, lie together: the last phrase begins at most `most` words after the end of each other.
+
+    The lists are merged in order and walked once; at each place the last ones of all other lists are the nearest.
+    """
+    def place(who: int):
+        return lambda p: F.struct(p.cast("int").alias("at"), F.lit(who).alias("who"), (p + lengths[who]).cast("int").alias("end"))
+
+    marked = [F.transform(b, place(i)) for i, b in enumerate(begins)]
+    start = F.struct(F.array(*[F.lit(-1)] * len(begins)).alias("ends"), F.lit(False).alias("found"))
+
+    def step(state, e):
+        ends = F.transform(state["ends"], lambda x, j: F.when(j == e["who"], e["end"]).otherwise(x))
+        first = F.array_min(ends)
+        return F.struct(ends.alias("ends"), (state["found"] | ((first >= 0) & (e["at"] - first <= most))).alias("found"))
+
+    return F.aggregate(F.array_sort(F.concat(*marked)), start, step, lambda s: s["found"])
+
+
 @dataclass(frozen=True)
 class Terms:
     """A row's terms as an array column."""
@@ -28,6 +47,19 @@ class Terms:
         line = F.concat(F.lit(" "), F.array_join(self.tokens, " "), F.lit(" "))
         return F.contains(line, F.lit(f" {' '.join(terms)} "))
 
+    def near(self, phrases: list[list[str]], most: int) -> Column:
+        def places(word: str, back: int) -> Column:
+            found = F.transform(self.tokens, lambda t, i: F.when(t == word, i - back))
+            return F.filter(found, lambda p: p.isNotNull())
+
+        def begins(terms: list[str]) -> Column:
+            out = places(terms[0], 0)
+            for i, t in enumerate(terms[1:], 1):
+                out = F.array_intersect(out, places(t, i))
+            return out
+
+        return near([begins(p) for p in phrases], [len(p) for p in phrases], most)
+
     def prefix(self, start: str) -> Column:
         return F.exists(self.tokens, lambda t: F.startswith(t, F.lit(start)))
 
@@ -72,8 +104,12 @@ def web_query(terms: Terms, text: str, words: Callable[[str], list[str]] = fold)
     return F.lit(False) if out is None else out
 
 
+#: Words between phrases that NEAR allows where none are given.
+NEAR = 10
+
+
 class _Expression:
-    """OR over AND over NOT over a word, phrase, prefix or parenthesis."""
+    """OR over AND over NOT over a word, phrase, prefix, nearness or parenthesis."""
 
     def __init__(self, terms: Terms, text: str) -> None:
         self.terms, self.at = terms, 0
@@ -104,6 +140,40 @@ class _Expression:
         if p is None or p in ("AND", "OR", "NOT", ")"):
             raise ValueError(f"a term is missing at part {self.at}")
         self.at += 1
+        if p == "NEAR" and self.peek() == "(":
+            return self.group()
+        out, chain = self.single(p), 0
+        while (q := self.peek()) is not None and (m := re.fullmatch(r"NEAR(?:/(\d+))?", q)) and self.parts[self.at + 1 : self.at + 2] not in ([], ["("], [")"]):
+            other = self.parts[self.at + 1]
+            if p == "(" or p.endswith("*") or other.endswith("*") or not fold(p) or not fold(other):
+                raise ValueError(f"{q} stands between two words or phrases")
+            self.at += 2
+            pair = self.terms.near([fold(p), fold(other)], int(m[1]) if m[1] else NEAR) if fold(p) != fold(other) else self.single(other)
+            out, p = (pair if chain == 0 else out & pair), other
+            chain += 1
+        return out
+
+    def group(self) -> Column:
+        """NEAR(a "b c" d, 5): all of them within so many words."""
+        inside, most = [], NEAR
+        self.at += 1
+        while (p := self.peek()) is not None and p != ")":
+            self.at += 1
+            inside.append(p)
+        if p is None:
+            raise ValueError("a parenthesis is open")
+        self.at += 1
+        if len(inside) > 1 and inside[-1].isdigit() and (inside[-2].endswith(",") or inside[-2] == ","):
+            most = int(inside.pop())
+        elif inside and (m := re.fullmatch(r"(.*),(\d+)", inside[-1])):
+            inside[-1], most = m[1], int(m[2])
+        phrases = [w for w in dict.fromkeys(tuple(fold(x)) for x in inside) if w]
+        if not phrases or any(x.endswith("*") for x in inside):
+            raise ValueError("NEAR needs words or phrases")
+        lists = [list(w) for w in phrases]
+        return self.terms.near(lists, most) if len(lists) > 1 else self.terms.phrase(lists[0])
+
+    def single(self, p: str) -> Column:
         if p == "(":
             out = self.either()
             if self.peek() != ")":

@@ -16,3 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="civicspark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
