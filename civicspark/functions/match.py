@@ -168,7 +168,7 @@ class _Expression:
         elif inside and (m := re.fullmatch(r"(.*),(\d+)", inside[-1])):
             inside[-1], most = m[1], int(m[2])
         phrases = [w for w in dict.fromkeys(tuple(fold(x)) for x in inside) if w]
-        if not phrases or any(x.endswith("*") for x in inside):
+        if not phrases or any("*" in x for x in inside):
             raise ValueError("NEAR needs words or phrases")
         lists = [list(w) for w in phrases]
         return self.terms.near(lists, most) if len(lists) > 1 else self.terms.phrase(lists[0])

@@ -59,17 +59,26 @@ def cut(c, n: int, mark: str = "...") -> Column:
     return F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n), F.lit(mark))).otherwise(c)
 
 
-def slugify(c, maxlen: int = 60, empty: str = "contenu", ligatures: bool = True) -> Column:
-    """Lower-case words of a-z and 0-9 joined by single dashes; null and "" give "", nothing left gives `empty`."""
-    c = F.coalesce(_col(c), F.lit(""))
+def _slug(c: Column, ligatures: bool) -> Column:
     out = c
     if ligatures:
         for a, b in (("œ", "oe"), ("Œ", "oe"), ("æ", "ae"), ("Æ", "ae")):
             out = F.replace(out, F.lit(a), F.lit(b))
     out = F.regexp_replace(F.translate(out, COMPAT, COMPAT_BASE), "[̀-ͯ]", "")
     out = F.regexp_replace(F.lower(out), r"(?U)[^a-z0-9\s-]", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?U)[-\s]+", "-"), "^-+|-+$", "")
-    out = F.when(F.char_length(out) > maxlen, F.regexp_replace(F.substring(out, 1, maxlen), "-+$", "")).otherwise(out)
+    return F.regexp_replace(F.regexp_replace(out, r"(?U)[-\s]+", "-"), "^-+|-+$", "")
+
+
+def slugify(c, maxlen: int = 60, empty: str = "contenu", ligatures: bool = True) -> Column:
+    """Lower-case words of a-z and 0-9 joined by single dashes; null and "" give "", nothing left gives `empty`.
+
+    The start of a text tells its slug, once more than `maxlen` characters are left of it; only else the whole text is folded.
+    """
+    c = F.coalesce(_col(c), F.lit(""))
+    start = _slug(F.left(c, F.lit(4 * maxlen)), ligatures)
+    cut_off = lambda s: F.regexp_replace(F.substring(s, 1, maxlen), "-+$", "")
+    whole = _slug(c, ligatures)
+    out = F.when(F.char_length(start) > maxlen, cut_off(start)).otherwise(F.when(F.char_length(whole) > maxlen, cut_off(whole)).otherwise(whole))
     return F.when(c == "", F.lit("")).when(out == "", F.lit(empty)).otherwise(out)
 
 

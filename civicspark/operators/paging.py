@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schema import PER_PAGE
 
@@ -63,3 +64,78 @@ def total_pages(total, size: int = PER_PAGE) -> Column:
     return F.greatest(F.lit(1), F.ceil(total / size)).cast("long")
 
 
+
+
+#: Ranges of a key that are counted at once.
+RANGES = 1024
+
+
+def _code(df: DataFrame, name: str) -> Column:
+    """A key as a whole number in the same order; null is the largest, as in `ordered`."""
+    kind = dict(df.dtypes)[name]
+    c = F.col(name)
+    if kind.startswith("timestamp"):
+        c = F.unix_micros(c.cast("timestamp"))
+    elif kind == "date":
+        c = F.unix_date(c)
+    elif kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{name} is {kind}: deep places need whole numbers, dates or timestamps")
+    return F.coalesce(c.cast("long"), F.lit(2**62))
+
+
+def _whole(a: Column, b: Column) -> Column:
+    """a DIV b of large whole numbers, a >= 0, where the result is small."""
+    return F.round((a - F.pmod(a, b)) / b).cast("long")
+
+
+def deep_page(df: DataFrame, keys: list[tuple[str, str]], offset: int, size: int = PER_PAGE, most: int = 10_000) -> DataFrame:
+    """The rows of places offset to offset + size in an order, without sorting or sending those before.
+
+    The first key's range is cut into RANGES parts, whose rows are counted; the part that holds the place is cut again, until it holds `most` rows or a
+    single value, after which the next key goes on. Then rows from that part on are ordered, of which each task keeps `most` and a page. Counts
+    are partial sums, a row for each part. A place may lie where all keys are equal: keys that tell rows apart make that one row.
+    """
+    rows, before, equal = df, 0, F.lit(True)
+    for name, way in keys:
+        code = _code(df, name) if way == "asc" else -_code(df, name)
+        span = rows.where(equal).agg(F.min(code), F.max(code)).first()
+        if span[0] is None:
+            return df.limit(0)
+        lo, hi = span
+        held = None
+        while lo < hi and (held is None or held > most):
+            step = max(1, -(-(hi - lo + 1) // RANGES))
+            inside = rows.where(equal & (code >= lo) & (code <= hi))
+            counts = sorted(tuple(r) for r in inside.groupBy(_whole(code - F.lit(lo), F.lit(step)).alias("part")).agg(F.count("*"), F.min(code), F.max(code)).collect())
+            for part, n, least, largest in counts:
+                if before + n > offset or part == counts[-1][0]:
+                    lo, hi, held = least, largest, n
+                    break
+                before += n
+        rows = rows.where(~equal | (code >= lo))  # behind an equal start of the keys, what comes before the part is done with
+        if lo < hi:
+            break
+        equal = equal & (code == lo)
+    return rows.orderBy(*ordered(keys)).offset(max(0, offset - before)).limit(size)
+
+
+def kth_deep(df: DataFrame, group: str, keys: list[tuple[str, str]], k: int, passes: int = 2) -> DataFrame:
+    """The k-th row of each group (k from 1; of smaller groups the last) with k and total, for a k of any size.
+
+    As `deep_page`, for all groups at once: each pass counts the parts of every group's range by its first key and keeps the rows of the part
+    that holds the place, so after some passes few rows a group are numbered. Groups are rows of a table, none comes to the driver.
+    """
+    name, way = keys[0]
+    code = _code(df, name) if way == "asc" else -_code(df, name)
+    spans = df.groupBy(F.col(group).alias("_g")).agg(F.min(code).alias("_lo"), F.max(code).alias("_hi"), F.count("*").alias("total"))
+    spans = spans.withColumn("k", F.least(F.lit(max(1, k)).cast("long"), "total")).withColumn("_before", F.lit(0).cast("long"))
+    for _ in range(passes):
+        held = df.join(spans, F.col(group).eqNullSafe(F.col("_g"))).where((code >= F.col("_lo")) & (code <= F.col("_hi")))
+        step = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / RANGES)).cast("long")
+        parts = held.groupBy("_g", "k", "total", "_before", _whole(code - F.col("_lo"), step).alias("_part")).agg(F.count("*").alias("_n"), F.min(code).alias("_lo"), F.max(code).alias("_hi"))
+        upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_part"))  # RANGES rows a group at most
+        parts = parts.withColumn("_upto", F.col("_before") + upto).where((F.col("_upto") >= F.col("k")) & (F.col("_upto") - F.col("_n") < F.col("k")))
+        spans = parts.select("_g", "_lo", "_hi", "total", "k", (F.col("_upto") - F.col("_n")).alias("_before"))
+    held = df.join(spans, F.col(group).eqNullSafe(F.col("_g"))).where((code >= F.col("_lo")) & (code <= F.col("_hi")))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy(group).orderBy(*ordered(keys)))
+    return held.withColumn("_place", place).where(F.col("_place") == F.col("k")).drop("_g", "_lo", "_hi", "_before", "_place")

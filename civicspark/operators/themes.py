@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import shared_dir
+
 #: Phrases that a snippet must hold.
 KEYWORDS = [
     r"\bpass[-\s]?culture\b",
@@ -88,19 +92,20 @@ def learnt_mood(df: DataFrame, labelled: DataFrame, label: str, text: str = "tex
 
 def themes(df: DataFrame, text: str = "text", k: int = 6, max_terms: int = 5000, min_df: float = 2, seed: int = 42) -> tuple[DataFrame, list[str]]:
     """Rows with their theme: TF-IDF of one- and two-word terms, k-means. Also the terms by index."""
-    prepared = df.withColumn("_words", words(text))
-    pipeline = Pipeline(
-        stages=[
-            NGram(n=2, inputCol="_words", outputCol="_pairs"),
-            SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
-            CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_terms, minDF=min_df),
-            IDF(inputCol="_tf", outputCol="_idf"),
-            Normalizer(inputCol="_idf", outputCol="features"),
-            KMeans(k=k, seed=seed, predictionCol="theme"),
-        ]
-    )
-    model = pipeline.fit(prepared)
-    return model.transform(prepared).drop("_words", "_pairs", "_terms", "_tf", "_idf"), model.stages[2].vocabulary
+    spark, folder = df.sparkSession, f"{shared_dir(df.sparkSession)}/themes-{uuid.uuid4().hex}"
+
+    def put(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    # terms are made once, counts once; the passes of the clustering then read weights only
+    prepared = put(NGram(n=2, inputCol="_words", outputCol="_pairs").transform(df.withColumn("_words", words(text))).withColumn("_terms", F.concat("_words", "_pairs")).drop("_words", "_pairs"), "terms")
+    counted = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_terms, minDF=min_df).fit(prepared)
+    rows = put(counted.transform(prepared).drop("_terms"), "counts")
+    weighted = Pipeline(stages=[IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features")]).fit(rows).transform(rows).drop("_tf", "_idf")
+    weighted = put(weighted, "weights")
+    model = KMeans(k=k, seed=seed, predictionCol="theme").fit(weighted.select("features").persist())
+    return model.transform(weighted), counted.vocabulary
 
 
 def theme_terms(rows: DataFrame, vocabulary: list[str], n: int = 12) -> DataFrame:

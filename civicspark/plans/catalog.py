@@ -309,9 +309,13 @@ def headline(spark, d):
 
 @query()
 def highlight_page(spark, d):
-    rows = search.with_terms(answers(spark, d))
-    hits = paging.page(rows.where(match.web_query(match.Terms(F.col("tokens")), "the tion") & text.valid_text("text", text.MIN_SEARCH)), [("id", "desc")])
-    return hits.select("id", highlight.highlight_udf(F.col("text"), F.lit("the tion")).alias("marked"))
+    """The page's keys come from the index; then its texts alone are read."""
+    held = indexed(spark, d)
+    long = held.docs.where(F.col("chars") >= text.MIN_SEARCH).select("key")
+    hits = index.matches(held, lambda t: match.web_query(t, "the tion")).join(long, "key", "left_semi").select(F.col("key").alias("id"))
+    ids = [r["id"] for r in paging.page(hits, [("id", "desc")]).collect()]
+    shown = answers(spark, d).where(F.col("id").isin(*ids) if ids else F.lit(False))
+    return shown.select("id", highlight.highlight_udf(F.col("text"), F.lit("the tion")).alias("marked"))
 
 
 def survey(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -87,13 +87,19 @@ def similar_names(spark, d):
 KINDS = ["the", "with", "la", "ciudad"]
 
 
-@query(rf"""WITH a AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
-k AS (SELECT doc_id, w, list_transform(w, lambda x: coalesce(list_position({KINDS}, strip_accents(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]', '', 'g'))), 0)) AS k FROM a),
-h AS (SELECT *, list_filter(range(1, len(k) + 1), lambda i: k[i] > 0) AS h FROM k),
-c AS (SELECT doc_id, w, k, list_transform(h, lambda e: list_filter([{', '.join(f'list_max(list_filter(h, lambda x: x <= e AND x > e - 18 AND k[x] = {j}))' for j in range(1, 5))}], lambda x: x IS NOT NULL)) AS f, h FROM h),
-s AS (SELECT doc_id, w, k, list_max(list_transform(range(1, len(h) + 1), lambda i: len(f[i])::BIGINT * 1000000000000 - (h[i] - list_min(f[i])) * 10000000000 - list_min(f[i]))) AS s FROM c),
-b AS (SELECT doc_id, w, k, s, 10000000000 - s % 10000000000 AS b, (CAST(ceil(s / 1000000000000.0) AS BIGINT) * 1000000000000 - s) // 10000000000 + 1 AS z FROM s),
-p AS (SELECT doc_id, w, k, CASE WHEN s IS NULL THEN 1 ELSE greatest(1, least(b - (18 - z) // 2, len(w) - 17)) END AS p FROM b)
-SELECT doc_id, coalesce(array_to_string(list_transform(range(p, least(p + 18, len(w) + 1)), lambda i: CASE WHEN k[i] > 0 THEN '<mark>' || w[i] || '</mark>' ELSE w[i] END), ' '), '') AS part FROM p""")
+def fragment_sql(kinds: list[str]) -> str:
+    """doc_id and the best stretch of 18 words (`highlight.best_fragment`) of each document."""
+    last = ", ".join(f"list_max(list_filter(h, lambda x: x <= e AND x > e - 18 AND k[x] = {j}))" for j in range(1, len(kinds) + 1))
+    return rf"""SELECT doc_id, coalesce(array_to_string(list_transform(range(p, least(p + 18, len(w) + 1)), lambda i: CASE WHEN k[i] > 0 THEN '<mark>' || w[i] || '</mark>' ELSE w[i] END), ' '), '') AS part FROM (
+SELECT doc_id, w, k, CASE WHEN s IS NULL THEN 1 ELSE greatest(1, least(b - (18 - z) // 2, len(w) - 17)) END AS p FROM (
+SELECT doc_id, w, k, s, 10000000000 - s % 10000000000 AS b, (CAST(ceil(s / 1000000000000.0) AS BIGINT) * 1000000000000 - s) // 10000000000 + 1 AS z FROM (
+SELECT doc_id, w, k, list_max(list_transform(range(1, len(h) + 1), lambda i: len(f[i])::BIGINT * 1000000000000 - (h[i] - list_min(f[i])) * 10000000000 - list_min(f[i]))) AS s FROM (
+SELECT doc_id, w, k, list_transform(h, lambda e: list_filter([{last}], lambda x: x IS NOT NULL)) AS f, h FROM (
+SELECT *, list_filter(range(1, len(k) + 1), lambda i: k[i] > 0) AS h FROM (
+SELECT doc_id, w, list_transform(w, lambda x: coalesce(list_position({kinds}, strip_accents(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]', '', 'g'))), 0)) AS k FROM (
+SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)))))))"""
+
+
+@query(fragment_sql(KINDS))
 def best_fragment(spark, d):
     return read(spark, d, "documents").select("doc_id", highlight.best_fragment("text", KINDS, stemmed=False).alias("part"))

@@ -43,10 +43,10 @@ def slug_sql(column: str) -> str:
 
 
 @query(f"""SELECT a.id AS answer_id, a.text AS answer_text, a.question_id, p_name AS question_prompt, {slug_sql('p_name')} AS question_slug, o_custkey AS author_id, c_name AS author_name, {slug_sql('c_name')} AS author_slug, o_orderdate AS submitted_at
-FROM {ITEMS} a JOIN orders ON o_orderkey = contribution_id JOIN part ON p_partkey = question_id LEFT JOIN customer ON c_custkey = o_custkey WHERE a.id = (SELECT min(l_orderkey * 10 + l_linenumber) FROM lineitem WHERE l_orderkey = 40)""")
+FROM {ITEMS} a JOIN orders ON o_orderkey = contribution_id JOIN part ON p_partkey = question_id LEFT JOIN customer ON c_custkey = o_custkey WHERE a.id = (SELECT min(l_orderkey * 10 + l_linenumber) FROM lineitem)""")
 def answer_page(spark, d):
     answers, given, asked, people = _orders(spark, d)
-    one = read(spark, d, "lineitem").where("l_orderkey = 40").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber"))).first()[0]
+    one = read(spark, d, "lineitem").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber"))).first()[0]
     return pages.answer_page(answers, given, asked, people, one)
 
 
@@ -238,14 +238,17 @@ WIDE = """w AS (SELECT ref, p_name, p_brand, p_type, p_size, min(p_partkey) AS s
 k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY seq DESC) AS r FROM w) WHERE r = 1)"""
 
 
-def _ingested(spark, d, **more) -> ingest.Survey:
+def _wide(spark, d) -> DataFrame:
     size = F.col("p_size")
-    rows = read(spark, d, "part").select(
+    return read(spark, d, "part").select(
         (F.col("p_partkey") % 700).cast("string").alias("reference"), F.col("p_name").alias("title"), F.col("p_brand").alias("authorId"), F.col("p_brand").alias("maker"), size.cast("string").alias("authorZip"), size.cast("string").alias("size"),
         F.when(size == 1, " TRUE ").when(size > 9, "0").alias("trashed"), F.when(size == 2, "deleted").when(size > 30, "Kept").otherwise("").alias("trashedStatus"),
         F.col("p_type").alias("kind"), F.concat_ws("; ", "p_type", "p_brand", F.lit(" "), "p_type").alias("marks"), F.col("p_partkey").alias("line"),
     )
-    return ingest.ingest(rows, MAPPING, order="line", **more)
+
+
+def _ingested(spark, d, **more) -> ingest.Survey:
+    return ingest.ingest(_wide(spark, d), MAPPING, order="line", **more)
 
 
 def _coded(survey: ingest.Survey, answers: DataFrame) -> DataFrame:
@@ -298,10 +301,11 @@ def ingest_merged_texts(spark, d):
     return _coded(s, s.answers).where("question_code = 'words'").select("reference", "text")
 
 
-@query("SELECT name, form_version, questions FROM (SELECT 'Parts' AS name, '1' AS form_version, 5::BIGINT AS questions)")
+@query(f"WITH {WIDE} SELECT 'Parts' AS name, '1' AS form_version, 5::BIGINT AS questions, (SELECT count(*) FROM k) AS contributions")
 def ingest_forms(spark, d):
     s = _ingested(spark, d)
-    return rollups.counts_over(s.forms, "id", s.questions, "form_id", "questions").select("name", F.col("version").alias("form_version"), "questions")
+    forms = rollups.counts_over(rollups.counts_over(s.forms, "id", s.questions, "form_id", "questions"), "id", s.contributions, "form_id", "contributions")
+    return forms.select("name", F.col("version").alias("form_version"), "questions", "contributions")
 
 
 @query("""SELECT coalesce(o.p_partkey, n.p_partkey) AS id, coalesce(o.code, n.code) AS code, coalesce(n.label, o.label) AS label, coalesce(n.position, o.position) AS position
@@ -344,11 +348,12 @@ def popularity_upsert(spark, d):
     return caches.add_popularity(caches.popularity(events), events)
 
 
-@query("""SELECT q || '/' || c AS asked, CASE WHEN length(k) > 100 THEN 'search:sha256:' || sha256(k) ELSE k END AS key FROM (SELECT *, CASE WHEN lower(trim(q)) = '' THEN 'search:timeline:' || c WHEN length(trim(q)) >= 2 THEN 'search:fts:' || lower(trim(q)) || ':' || c ELSE 'search:timeline:' || lower(trim(q)) || ':' || c END AS k
-FROM (SELECT unnest(['', ' ', 'A', ' É ', 'Ab ', repeat('long ', 30)]) AS q, unnest(['', 'x', '', 'y', 'z', '']) AS c))""")
+@query("""SELECT doc_id, CASE WHEN length(k) > 100 THEN 'search:sha256:' || sha256(k) ELSE k END AS key FROM (SELECT doc_id, CASE WHEN lower(trim(q)) = '' THEN 'search:timeline:' || c WHEN length(trim(q)) >= 2 THEN 'search:fts:' || lower(trim(q)) || ':' || c ELSE 'search:timeline:' || lower(trim(q)) || ':' || c END AS k
+FROM (SELECT doc_id, left(text, doc_id % 130) AS q, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS c FROM documents))""")
 def cache_keys(spark, d):
-    rows = spark.createDataFrame(list(zip(["", " ", "A", " É ", "Ab ", "long " * 30], ["", "x", "", "y", "z", ""], strict=True)), "q string, c string")
-    return rows.select(F.concat_ws("/", "q", "c").alias("asked"), text.cache_key("q", "c").alias("key"))
+    """Beginnings of texts as queries: empty ones, single letters, long ones."""
+    rows = read(spark, d, "documents").select("doc_id", F.left("text", (F.col("doc_id") % 130).cast("int")).alias("q"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("c"))
+    return rows.select("doc_id", text.cache_key("q", "c").alias("key"))
 
 
 # ---- logs: a line for each event, all classes among them
