@@ -49,6 +49,8 @@ _XOR = _RNG.integers(0, 2**32, WIDE, dtype=np.uint32)
 _MULT = _RNG.integers(0, 2**31, WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Classes of a crowd that meet in one cell.
 CHUNK = 128
+#: Sets of at most so many shingles go along where crowds are compared, so that their pairs are tested at once.
+CARRIED = 4096
 #: The bits of a narrow node that name its tree; more trees than these tell aren't asked for at 0.8 and 20 values.
 TREES = 1023
 
@@ -138,12 +140,33 @@ def set_maker(k: int):
 
 
 def widener(batches):
-    """WIDE minwise values of sets: those after COORDS are independent of what chose the nodes."""
+    """WIDE minwise values of sets: those after COORDS are independent of what chose the nodes; and 32 bits of each shingle, for sets of CARRIED at most."""
     for batch in batches:
         column = batch.column("shingles")
         edges = column.offsets.to_numpy().astype(np.int64)
         keys = column.values.to_numpy()[edges[0] : edges[-1]].view(np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("k"), lists(minwise(keys, edges - edges[0], WIDE, np.int8))], ["k", "sig"])
+        edges = edges - edges[0]
+        short = [np.unique((keys[i:j] >> np.uint64(16)).astype(np.uint32)).tobytes() if j - i <= CARRIED else None for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("k"), lists(minwise(keys, edges, WIDE, np.int8)), pa.array(short, pa.binary())], ["k", "sig", "s"])
+
+
+def refuted(n1: np.ndarray, n2: np.ndarray, s1: list, s2: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that the 32 bits of their shingles show not to reach the threshold, and those that they show to; a pair of a set that doesn't carry them is neither.
+
+    Where bits of different shingles of a set are equal, as many more may be in common as the set has lost.
+    """
+    no, yes = np.zeros(len(n1), bool), np.zeros(len(n1), bool)
+    sets: dict[bytes, np.ndarray] = {}
+    for i, (x, y) in enumerate(zip(s1, s2, strict=True)):
+        if x is None or y is None:
+            continue
+        one, two = (sets.setdefault(v, np.frombuffer(v, np.uint32)) for v in (x, y))
+        both = np.concatenate((one, two))
+        both.sort()
+        common = int((both[1:] == both[:-1]).sum()) + int(n1[i] - len(one)) + int(n2[i] - len(two))
+        yes[i] = common * 100 >= percent * (int(n1[i]) + int(n2[i]) - common)
+        no[i] = not yes[i]
+    return no, yes
 
 
 def may_link(n1, n2, s1, s2, percent: int):
@@ -197,7 +220,7 @@ def comparer(percent: int, paths: np.ndarray | None = None):
         for batch in _with_end(batches):
             if batch is not None:
                 own = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "k", "label", "n")}
-                own["sig"] = values(batch.column("sig"))
+                own["sig"], own["s"] = values(batch.column("sig")), carried(batch.column("s"))
                 rows = own if tail is None else {c: np.concatenate([tail[c], own[c]]) for c in own}
                 # the last node may go on in the next batch
                 last = rows["node"] == rows["node"][-1]
@@ -219,6 +242,8 @@ def comparer(percent: int, paths: np.ndarray | None = None):
                 a, b, alike = a[good], b[good], alike[good]
                 new = once(rows["sig"][a], rows["sig"][b], rows["node"][a], paths)
                 a, b, alike = a[new], b[new], alike[new]
+                no, _ = refuted(rows["n"][a], rows["n"][b], rows["s"][a], rows["s"][b], percent)
+                a, b, alike = a[~no], b[~no], alike[~no]
                 if len(a):
                     yield pairs_of(rows["k"][a], rows["k"][b], rows["label"][a], rows["label"][b], alike)
                 d += 1
@@ -226,6 +251,12 @@ def comparer(percent: int, paths: np.ndarray | None = None):
     return compare
 
 
+def carried(column) -> np.ndarray:
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
 def _with_end(batches):
     for b in batches:
         if b.num_rows:
@@ -250,22 +281,25 @@ def meeter(percent: int, paths: np.ndarray):
     def fields(cell):
         flat = cell.values
         k, label, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        return k, label, n, values(flat.field(3))
+        return k, label, n, values(flat.field(3)), carried(flat.field(4))
 
     def meet(batches):
         for batch in batches:
             for node, members, others in zip(batch.column("node").to_pylist(), batch.column("members"), batch.column("others"), strict=True):
-                (k, label, n, sig), (ok, olabel, on, osig) = fields(members), fields(others)
+                (k, label, n, sig, held), (ok, olabel, on, osig, oheld) = fields(members), fields(others)
                 a, b = np.nonzero(label[:, None] != olabel[None, :])
                 good, alike = may_link(n[a], on[b], sig[a], osig[b], percent)
                 a, b, alike = a[good], b[good], alike[good]
                 new = once(sig[a], osig[b], np.full(len(a), node), paths)
                 a, b, alike = a[new], b[new], alike[new]
+                no, yes = refuted(n[a], on[b], held[a], oheld[b], percent)
+                alike[yes] = 2.0  # sure
+                a, b, alike = a[~no], b[~no], alike[~no]
                 s = percent / 100  # above the threshold by as many deviations as the filter leaves below it
                 if len(a):  # members of one label say the same of it
                     good = telling(b, label[a], alike, s + 4.5 * math.sqrt(s * (1 - s) / WIDE))
                     a, b, alike = a[good], b[good], alike[good]
-                    yield pairs_of(k[a], ok[b], label[a], olabel[b], alike)
+                    yield pairs_of(k[a], ok[b], label[a], olabel[b], np.minimum(alike, 1))
 
     return meet
 
@@ -369,15 +403,16 @@ def led(level: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def compared(level: DataFrame, classes: DataFrame, percent: int, paths: np.ndarray | None = None) -> DataFrame:
     """Pairs within nodes, exhaustively; nodes are small. level: node, k, label; classes: k, n, sig."""
-    rows = level.select("node", "k", "label").join(classes.select("k", "n", "sig"), "k").select("node", "k", "label", "n", "sig")
+    s = F.col("s") if "s" in classes.columns else F.lit(None).cast("binary").alias("s")
+    rows = level.select("node", "k", "label").join(classes.select("k", "n", "sig", s), "k").select("node", "k", "label", "n", "sig", "s")
     return rows.repartition(scan_tasks(level.sparkSession), "node").sortWithinPartitions("node").mapInArrow(comparer(percent, paths), PAIRS)
 
 
 def met(level: DataFrame, classes: DataFrame, percent: int, small: int, seed: int, paths: np.ndarray) -> DataFrame:
     """Pairs of the classes outside a node's main label with all others of the node, in chunks. level: node, k, label, size, major, rest."""
     chunk = lambda count, most: F.pmod(F.xxhash64("k", F.lit(seed)), F.ceil(F.col(count) / most))
-    rows = level.join(classes.select("k", "n", "sig"), "k")
-    row = F.struct("k", "label", "n", "sig")
+    rows = level.join(classes.select("k", "n", "sig", "s"), "k")
+    row = F.struct("k", "label", "n", "sig", "s")
     others = rows.where("label <> major").groupBy("node", chunk("rest", small).alias("chunk")).agg(F.collect_list(row).alias("others")).select("node", "others")
     members = rows.groupBy("node", chunk("size", CHUNK).alias("chunk")).agg(F.collect_list(row).alias("members")).select("node", "members")
     return members.join(others, "node").select("node", "members", "others").mapInArrow(meeter(percent, paths), PAIRS)
@@ -388,7 +423,7 @@ def crowd_pairs(level: DataFrame, docs: DataFrame, classes: DataFrame, tables: T
     s = percent / 100
     wanted = classes.join(level.select("k").distinct(), "k", "left_semi").select("k", "rep", "h")
     sets = tables.put(fetched(wanted, docs, words))
-    crowd = tables.put(sets.mapInArrow(widener, "k bigint, sig array<tinyint>").join(classes.select("k", "n"), "k").select("k", "n", "sig"))
+    crowd = tables.put(sets.mapInArrow(widener, "k bigint, sig array<tinyint>, s binary").join(classes.select("k", "n"), "k").select("k", "n", "sig", "s"))
     near = tables.put(led(level.select("node", "k", "label").withColumn("weight", F.xxhash64("k", F.lit(seed))), crowd, percent).distinct())
     links, comps = learnt(near, sets, tables, percent)
     labels = tables.put(relabel(level.select("k", "label").distinct(), comps))
@@ -397,8 +432,12 @@ def crowd_pairs(level: DataFrame, docs: DataFrame, classes: DataFrame, tables: T
     largest = level.agg(F.max("size")).first()[0]
     if not largest:
         return links, [near], labels
-    length = min(20, max(4, math.ceil(math.log(largest / small, 2))))
-    paths = narrow_paths(length, min(TREES + 1, math.ceil(math.log(1 - recall) / math.log(1 - s**length))), seed)
+    # the longest paths for which there are trees enough; shorter ones leave larger nodes, which are compared in chunks
+    needed = lambda x: math.ceil(math.log(1 - recall) / math.log(1 - s**x))
+    length = next(x for x in range(min(20, max(4, math.ceil(math.log(largest / small, 2)))), 0, -1) if x == 1 or needed(x) <= TREES + 1)
+    if needed(length) > TREES + 1:
+        raise ValueError(f"recall {recall} at {percent} % needs more than {TREES + 1} trees")
+    paths = narrow_paths(length, needed(length), seed)
     grown = level.select("k").distinct().join(crowd.select("k", "sig"), "k").join(labels, "k").select("k", "label", "sig")
     grown = tables.put(grown.mapInArrow(brancher(paths), "node bigint, k bigint, label bigint"))
     level = tables.put(grown.join(several(grown), "node"))
@@ -428,7 +467,9 @@ def brancher(paths: np.ndarray):
 def judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, recall: float, small: int, depth: int, leader_bands: int, seed: int) -> DataFrame:
     """Per row: id, h (hash of the text), n (size of its set), k (its class, null without words), component and kept."""
     spark, tables = docs.sparkSession, Tables(docs.sparkSession, "near-dup")
-    trees = next((t for t in range(1, 64) if missed(percent, depth, t) <= 1 - recall), 64)
+    trees = next((t for t in range(1, 64) if missed(percent, depth, t) <= 1 - recall), None)
+    if trees is None:
+        raise ValueError(f"recall {recall} at {percent} % is out of reach of 63 trees of depth {depth}")
     kind = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     sketch = tables.put(slim.mapInArrow(sketcher(words), f"id {kind}, h bigint, n bigint, k bigint, sig array<smallint>"))
