@@ -1,8 +1,8 @@
 """Mix sources to target weights, with DataFrame functions alone.
 
 Each source's rows are dealt by hash to blocks of about `block_words` words. A source's target becomes an exact
-quota of blocks in a permuted order (whole passes first, then part of one more, down to the row that comes
-nearest). A splitting tree over the output shards halves the quotas of all sources again and again: at each node
+quota of blocks in a permuted order (whole passes first, then part of one more, down to the rows that come
+nearest: texts too long for what is left are passed over). A splitting tree over the output shards halves the quotas of all sources again and again: at each node
 the left half's share is a multivariate-hypergeometric draw, made source by source, so shards hold equal numbers
 of blocks and every quota is met exactly. A shard takes its share of a source as a run of that source's permuted
 blocks, so shards are disjoint, and orders its rows by a local hash.
@@ -28,6 +28,8 @@ from .common import WORD, Tables, table
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Ranges of a source's permuted blocks, whose sums come before the order within them.
 RANGES = 4096
+#: Passes over the last block of a quota.
+FITS = 6
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -123,9 +125,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ends = shard_ends(used.select("source_no", (F.col("held") * F.col("passes") + F.col("part")).alias("blocks")), levels, seed)
     used = tables.put(used.select("source_no", "held").join(ends, "source_no"))
     rows = rows.join(blocks.select("source_no", "block", "rank", "whole", "left", "passes"), ["source_no", "block"]).join(used, "source_no")
-    # The rows of the blocks where a quota ends, one block a source: taken while they come nearer to it.
-    inner = Window.partitionBy("source_no").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
-    cut = rows.where("left > 0").withColumn("_before", F.sum("size").over(inner) - F.col("size")).withColumn("more", (F.col("_before") + F.col("size") / 2 <= F.col("left")).cast("int")).drop("_before")
+    # The rows of the blocks where a quota ends, one block a source: in hash order, rows that don't fit are left out and smaller ones
+    # go on; what then comes nearer by one more row takes the smallest. A pass takes all that fits up to the first that doesn't.
+    own = Window.partitionBy("source_no")
+    upto = own.orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)
+    cut = rows.where("left > 0").withColumn("more", F.lit(0))
+    for _ in range(FITS):
+        cut = cut.withColumn("_left", F.col("left") - F.sum(F.col("more") * F.col("size")).over(own)).withColumn("_fits", (F.col("more") == 0) & (F.col("size") <= F.col("_left")))
+        cut = cut.withColumn("more", F.greatest("more", (F.col("_fits") & (F.sum(F.when(F.col("_fits"), F.col("size")).otherwise(0)).over(upto) <= F.col("_left"))).cast("int")))
+    last = F.row_number().over(own.orderBy(F.col("more") > 0, F.col("size") == 0, "size", "h"))
+    cut = cut.withColumn("_left", F.col("left") - F.sum(F.col("more") * F.col("size")).over(own)).withColumn("_last", last)
+    cut = cut.withColumn("more", F.when((F.col("_last") == 1) & (F.col("more") == 0) & (F.col("size") < 2 * F.col("_left")), 1).otherwise(F.col("more"))).drop("_left", "_fits", "_last")
     rows = rows.where("left <= 0").withColumn("more", F.col("whole").cast("int")).unionByName(cut)
     shard = "CAST(size(filter(ends, e -> e <= c * held + rank)) AS INT)"
     return rows.select(
