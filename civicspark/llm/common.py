@@ -52,6 +52,13 @@ def text_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def binary_rows(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of a matrix."""
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(width)), pa.py_buffer(rows)])
+
+
 def pieces(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `limit` bytes each (one row at least), so that work arrays stay small."""
     n, lo = len(offsets) - 1, 0

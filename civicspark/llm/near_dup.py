@@ -18,8 +18,8 @@ length. So a class meets about `small` others in a tree, however large its crowd
 (sets that agree in many values and still aren't linked) is compared in cells of a bounded number of classes, so no
 pair is left out.
 
-Candidates are confirmed at the end: first the most alike pair of any two labels, then those pairs that still lie
-between two, so the many links within a group cost nothing.
+Candidates between different labels are confirmed at the end, so the many links within a group cost nothing. In a crowd most pairs
+aren't links though they look alike, so there classes carry 32 bits of each shingle, and pairs are tested on these where they meet.
 
 Components come from rounds of smallest-neighbour messages with pointer jumps. All steps are tables in the
 shared folder; tasks hold a batch or a chunk, never a group. Only counts and smallest keys are taken per node.
@@ -40,18 +40,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TO_LOWER, Tables, mix64, pieces, scan_tasks, span_hashes, table, text_arrays, window_hashes, word_spans
+from .common import TO_LOWER, Tables, binary_rows, mix64, pieces, scan_tasks, span_hashes, table, text_arrays, window_hashes, word_spans
 
 _RNG = np.random.default_rng(11)
 #: Minwise values that paths are chosen from: of all classes (16 bits each), and of those in crowds (8 bits).
-COORDS, WIDE = 32, 2080
+COORDS, WIDE = 32, 1056
 _XOR = _RNG.integers(0, 2**32, WIDE, dtype=np.uint32)
 _MULT = _RNG.integers(0, 2**31, WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 #: Classes of a crowd that meet in one cell.
 CHUNK = 128
+#: Leaders' values that go to all tasks at once, in bytes; more are joined.
+SENT = 16 << 20
 #: Sets of at most so many shingles go along where crowds are compared, so that their pairs are tested at once.
 CARRIED = 4096
-#: The bits of a narrow node that name its tree; more trees than these tell aren't asked for at 0.8 and 20 values.
+#: The bits of a narrow node that name its tree.
 TREES = 1023
 
 
@@ -147,7 +149,7 @@ def widener(batches):
         keys = column.values.to_numpy()[edges[0] : edges[-1]].view(np.uint64)
         edges = edges - edges[0]
         short = [np.unique((keys[i:j] >> np.uint64(16)).astype(np.uint32)).tobytes() if j - i <= CARRIED else None for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("k"), lists(minwise(keys, edges, WIDE, np.int8)), pa.array(short, pa.binary())], ["k", "sig", "s"])
+        yield pa.RecordBatch.from_arrays([batch.column("k"), binary_rows(minwise(keys, edges, WIDE, np.int8)), pa.array(short, pa.binary())], ["k", "sig", "s"])
 
 
 def refuted(n1: np.ndarray, n2: np.ndarray, s1: list, s2: list, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +184,9 @@ def may_link(n1, n2, s1, s2, percent: int):
 
 
 def values(column) -> np.ndarray:
-    """The lists of a column as a matrix."""
+    """The lists of a column, or its bytes, as a matrix."""
+    if pa.types.is_binary(column.type):
+        return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1)
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
 
@@ -339,13 +343,6 @@ def learnt(pairs: DataFrame, sets: DataFrame, tables: Tables, percent: int) -> t
     return links, components(links.select(F.col("la").alias("a"), F.col("lb").alias("b")), tables, 2)
 
 
-def settle(pairs: DataFrame, sets: DataFrame, tables: Tables, percent: int) -> list[DataFrame]:
-    """Links that join all labels that the pairs join: the best pairs first, then what still lies between two labels."""
-    links, comps = learnt(pairs, sets, tables, percent)
-    left = relabel(relabel(pairs, comps, "la"), comps, "lb").where("la <> lb")
-    return [links, tables.put(confirmed(left, sets, percent))]
-
-
 def components(edges: DataFrame, tables: Tables, rounds: int | None = None) -> DataFrame:
     """k and the smallest key of its component, for each k that has an edge.
 
@@ -393,11 +390,15 @@ def several(level: DataFrame) -> DataFrame:
     return held.where(F.col("size") > F.col("top.c")).select("node", "size", F.col("top.label").alias("major"), (F.col("size") - F.col("top.c")).alias("rest"))
 
 
-def led(level: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes with the leader of their node. level: node, k, label, weight; classes: k, n, sig."""
+def led(level: DataFrame, classes: DataFrame, percent: int, tables: Tables | None = None) -> DataFrame:
+    """Pairs of classes with the leader of their node. level: node, k, label, weight; classes: k, n, sig. tables: where the leaders are few."""
     leads = level.groupBy("node").agg(F.max_by(F.struct("k", "label"), F.struct("weight", "k")).alias("l")).select("node", F.col("l.k").alias("lead"), F.col("l.label").alias("lead_label"))
     pairs = level.select("node", "k", "label").join(leads, "node").where((F.col("k") != F.col("lead")) & (F.col("label") != F.col("lead_label"))).select("k", "label", "lead", "lead_label").distinct()
-    pairs = pairs.join(classes.select("k", "n", "sig"), "k").join(classes.select(F.col("k").alias("lead"), F.col("n").alias("lead_n"), F.col("sig").alias("lead_sig")), "lead")
+    own = classes.select(F.col("k").alias("lead"), F.col("n").alias("lead_n"), F.col("sig").alias("lead_sig"))
+    if tables is not None:  # a crowd's leaders are few, and each has many classes
+        own = tables.put(own.join(leads.select("lead").distinct(), "lead", "left_semi"))
+        own = F.broadcast(own) if own.count() * WIDE <= SENT else own
+    pairs = pairs.join(classes.select("k", "n", "sig"), "k").join(own, "lead")
     return pairs.mapInArrow(leader_filter(percent), PAIRS)
 
 
@@ -423,8 +424,8 @@ def crowd_pairs(level: DataFrame, docs: DataFrame, classes: DataFrame, tables: T
     s = percent / 100
     wanted = classes.join(level.select("k").distinct(), "k", "left_semi").select("k", "rep", "h")
     sets = tables.put(fetched(wanted, docs, words))
-    crowd = tables.put(sets.mapInArrow(widener, "k bigint, sig array<tinyint>, s binary").join(classes.select("k", "n"), "k").select("k", "n", "sig", "s"))
-    near = tables.put(led(level.select("node", "k", "label").withColumn("weight", F.xxhash64("k", F.lit(seed))), crowd, percent).distinct())
+    crowd = tables.put(sets.mapInArrow(widener, "k bigint, sig binary, s binary").join(classes.select("k", "n"), "k").select("k", "n", "sig", "s"))
+    near = tables.put(led(level.select("node", "k", "label").withColumn("weight", F.xxhash64("k", F.lit(seed))), crowd, percent, tables))
     links, comps = learnt(near, sets, tables, percent)
     labels = tables.put(relabel(level.select("k", "label").distinct(), comps))
     nodes = tables.put(level.select("node", "k").join(labels, "k"))
@@ -444,7 +445,7 @@ def crowd_pairs(level: DataFrame, docs: DataFrame, classes: DataFrame, tables: T
     tables.drop(grown)
     few = F.col("size") <= CHUNK
     pairs = compared(level.where(few), crowd, percent, paths).union(met(level.where(~few), crowd, percent, small, seed, paths))
-    return links, [near, tables.put(pairs.distinct())], labels
+    return links, [near, tables.put(pairs)], labels
 
 
 def brancher(paths: np.ndarray):
@@ -502,7 +503,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
         else:
             grown = level.join(classes.select("k", "sig"), "k").select("k", "label", F.explode(F.array(*(_child(F.col("node"), j, seed) for j in range(2)))).alias("node"))
         level = tables.put(grown.join(several(grown).select("node", "size"), "node"))
-        pairs.append(tables.put(compared(level.where(F.col("size") <= small), classes, percent).distinct()))
+        pairs.append(tables.put(compared(level.where(F.col("size") <= small), classes, percent)))
         level = level.where(F.col("size") > small)
     labels = rows.select("k", "label")
     if level.limit(1).count():
@@ -516,7 +517,7 @@ def judged(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
     found = found.groupBy("a", "b").agg(F.max("alike").alias("alike"))
     now = labels.select(F.col("k").alias("a"), F.col("label").alias("la")), labels.select(F.col("k").alias("b"), F.col("label").alias("lb"))
     found = tables.put(found.join(now[0], "a").join(now[1], "b").where("la <> lb").select("a", "b", "la", "lb", "alike"))
-    links += settle(found, tables.put(fetched(_named(found, classes), slim, words)), tables, percent)
+    links.append(tables.put(confirmed(found, tables.put(fetched(_named(found, classes), slim, words)), percent)))
 
     edges = links[0].select("a", "b")
     for link in links[1:]:
