@@ -60,7 +60,7 @@ def byte_level(file: bytes):
     table = [b""] * (max(names.values()) + 1)
     for name, i in names.items():
         table[i] = bytes(letters[c] for c in name) if all(c in letters for c in name) else name.encode()
-    return lambda texts: [e.ids for e in own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], table, own.normalizer is None and all(c in names for c in letters)
+    return lambda texts: [e.ids for e in own.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], tuple(table), own.normalizer is None and all(c in names for c in letters)
 
 
 @lru_cache(maxsize=4)
@@ -69,7 +69,7 @@ def pieced(file: bytes):
     from sentencepiece import SentencePieceProcessor
 
     own = SentencePieceProcessor(model_proto=file)
-    table = [bytes([int(own.id_to_piece(i)[1:-1], 16)]) if own.is_byte(i) else own.id_to_piece(i).replace("▁", " ").encode() for i in range(own.get_piece_size())]
+    table = tuple(bytes([int(own.id_to_piece(i)[1:-1], 16)]) if own.is_byte(i) else own.id_to_piece(i).replace("▁", " ").encode() for i in range(own.get_piece_size()))
     return lambda texts: own.encode(texts, num_threads=1), table, False
 
 
@@ -81,9 +81,9 @@ def common_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.
     """From the ascending ends of two rows of tokens: the cuts, each token's group, and the links as places in the rows."""
     cuts = np.intersect1d(once(ends_a), once(ends_b), assume_unique=True)
     group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+    if (ends_a[1:] > ends_a[:-1]).all() and (ends_b[1:] > ends_b[:-1]).all():  # one of each at a cut: the last of its group
+        return cuts, group_a, group_b, *(np.flatnonzero(np.diff(g, append=len(cuts))) for g in (group_a, group_b))
     first_a, first_b = np.searchsorted(ends_a, cuts), np.searchsorted(ends_b, cuts)
-    if (np.diff(ends_a) > 0).all() and (np.diff(ends_b) > 0).all():  # one of each at a cut
-        return cuts, group_a, group_b, first_a, first_b
     at_a, at_b = np.searchsorted(ends_a, cuts, "right") - first_a, np.searchsorted(ends_b, cuts, "right") - first_b
     each = at_a * at_b
     turn = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
@@ -97,25 +97,26 @@ class Aligned:
     def __init__(self, texts: list[str], a, b) -> None:
         (encode_a, bytes_a, whole_a), (encode_b, bytes_b, whole_b) = a, b
         ids_a, ids_b = encode_a(texts), encode_b(texts)
-        for i, text in enumerate(texts):
-            whole = b" " + text.encode()
+        raw = [b" " + t.encode() for t in texts]
+        for i, (text, whole) in enumerate(zip(texts, raw, strict=True)):
             if not text or not (whole_a or b"".join(map(bytes_a.__getitem__, ids_a[i])) == whole) or not (whole_b or b"".join(map(bytes_b.__getitem__, ids_b[i])) == whole):
                 ids_a[i] = ids_b[i] = []
-        lengths = np.fromiter((len(t.encode()) + 2 for t in texts), np.int64, len(texts))  # one place more than bytes: ranges don't touch
+        lengths = np.fromiter((len(t) + 1 for t in raw), np.int64, len(texts))  # one place more than bytes: ranges don't touch
         base = np.cumsum(lengths) - lengths
         self.a, self.bounds_a, ends_a = self._flat(ids_a, bytes_a, base)
         self.b, self.bounds_b, ends_b = self._flat(ids_b, bytes_b, base)
         self.cuts, self.group_a, self.group_b, self.link_a, self.link_b = common_cuts(ends_a, ends_b)
-        self.link_text = np.searchsorted(base, ends_a[self.link_a], "right") - 1
-        self.n_groups = np.bincount(np.searchsorted(base, self.cuts, "right") - 1, minlength=len(texts))
+        text_of = np.repeat(np.arange(len(texts)), np.diff(self.bounds_a))
+        self.link_text = text_of[self.link_a]
         self.n_links = np.bincount(self.link_text, minlength=len(texts))
+        self.n_groups = self.n_links if len(self.cuts) == len(self.link_a) else np.bincount(np.searchsorted(base, self.cuts, "right") - 1, minlength=len(texts))
         self.pairs = (self.a[self.link_a] << 32) | self.b[self.link_b]
 
     @staticmethod
-    def _flat(ids: list[list[int]], names: list[bytes], base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _flat(ids: list[list[int]], names: tuple[bytes, ...], base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.concatenate([np.array(i, np.int64) for i in ids]) if len(ids) else np.zeros(0, np.int64)
-        long = np.cumsum(_lengths(tuple(names))[flat]) if len(flat) else np.zeros(0, np.int64)
+        long = np.cumsum(_lengths(names)[flat]) if len(flat) else np.zeros(0, np.int64)
         bounds = np.concatenate(([0], np.cumsum(counts)))
         before = np.concatenate(([0], long))[bounds[:-1]]
         return flat, bounds, long + np.repeat(base - before, counts)
@@ -131,14 +132,19 @@ class Aligned:
         sign[end_a + end_b - n_b - 1] = 1
         sign[end_a + end_b - 1] = 2
         words = _numbers(max(int(ids.max()) + 1, 1 << 16) if len(ids) else 1)
-        said = [words[c] for c in (ids * 3 + sign).tolist()]
+        said = list(map(words.__getitem__, (ids * 3 + sign).tolist()))
         bounds = (self.bounds_a + self.bounds_b).tolist()
         return [hashlib.sha256(b"".join(said[i:j])[:-1]).hexdigest() if j > i else "" for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-@lru_cache(maxsize=8)
+_LENGTHS: dict[int, tuple[tuple[bytes, ...], np.ndarray]] = {}
+
+
 def _lengths(names: tuple[bytes, ...]) -> np.ndarray:
-    return np.fromiter(map(len, names), np.int64, len(names))
+    """Bytes of each id; kept by the table itself, whose hash would take as long."""
+    if id(names) not in _LENGTHS:
+        _LENGTHS[id(names)] = names, np.fromiter(map(len, names), np.int64, len(names))
+    return _LENGTHS[id(names)][1]
 
 
 @lru_cache(maxsize=4)
