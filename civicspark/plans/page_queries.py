@@ -407,6 +407,15 @@ def csv_round_trip(spark, d):
     return files.read_survey(spark, f"{path}/*.csv")
 
 
+@query("SELECT c_custkey::VARCHAR AS id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN 'a \"b\";' || chr(10) || 'c' ELSE '' END AS note FROM customer")
+def csv_split_round_trip(spark, d):
+    """As csv_round_trip, read by splits of the files."""
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    note = F.when(F.col("c_custkey") % 3 == 0, 'a "b";\nc').otherwise(F.lit(" "))
+    files.export_csv(read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit(" "), "c_name").alias("name"), note.alias("note")), path)
+    return files.read_survey_split(spark, f"{path}/*.csv")
+
+
 @query("SELECT c_custkey AS id, c_name AS name, c_nationkey AS nation FROM customer")
 def json_round_trip(spark, d):
     path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"

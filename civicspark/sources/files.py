@@ -8,9 +8,12 @@ import zipfile
 from collections.abc import Iterable
 from urllib.parse import unquote
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import clean_zipcode, py_strip
 from ..schema import TABLES, required, struct
@@ -24,9 +27,9 @@ def sniff_delimiter(head: str) -> str:
 
 
 def head_of(spark: SparkSession, path: str, chars: int = 8192) -> str:
-    """The first lines of a file, `chars` characters or so; at most that many lines are asked for."""
+    """The first `chars` characters of a file, in whole lines but for the last; lines are fetched until there are so many."""
     out = ""
-    for row in spark.read.text(path).limit(64).collect():
+    for row in spark.read.text(path).limit(chars).toLocalIterator():
         out += row[0] + "\n"
         if len(out) >= chars:
             break
@@ -150,3 +153,78 @@ def sample_rows(df: DataFrame, rows: int = 50, order: list | None = None) -> Dat
         if c in out.columns:
             out = out.withColumn(c, f(F.col(c)))
     return out
+
+
+def _runs(batch: pa.RecordBatch) -> Iterable[tuple[int, int]]:
+    """The stretches of a batch that come from one split."""
+    file, split = batch.column("file").to_pylist(), batch.column("split").to_pylist()
+    lo = 0
+    for i in range(1, batch.num_rows + 1):
+        if i == batch.num_rows or (file[i], split[i]) != (file[lo], split[lo]):
+            yield lo, i
+            lo = i
+
+
+def _split_facts(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Of each split: whether its quotes are odd in number, and how many rows begin in it if it begins outside a cell, and if within."""
+    held: dict[tuple, list[int]] = {}
+    for batch in batches:
+        for lo, hi in _runs(batch):
+            facts = held.setdefault((batch.column("file")[lo].as_py(), batch.column("split")[lo].as_py()), [0, 0, 0])
+            quotes = np.cumsum(batch.column("quotes").to_numpy()[lo:hi]) + facts[0]
+            before = np.concatenate(([facts[0]], quotes[:-1])) % 2
+            facts[:] = [int(quotes[-1] % 2), facts[1] + int((before == 0).sum()), facts[2] + int((before == 1).sum())]
+    if held:
+        names, splits = zip(*held, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(splits, pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*held.values(), strict=True))], ["file", "split", "odd", "outside", "inside"])
+
+
+def _owned(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+    """Lines with their place, the row that each belongs to, and whether it is a row by itself."""
+    held: dict[tuple, list[int]] = {}
+    for batch in batches:
+        for lo, hi in _runs(batch):
+            b = batch.slice(lo, hi - lo)
+            state = held.setdefault((b.column("file")[0].as_py(), b.column("split")[0].as_py()), [b.column("before")[0].as_py(), 0, 0])
+            after = (np.cumsum(b.column("quotes").to_numpy()) + state[0]) % 2
+            before = np.concatenate(([state[0]], after[:-1]))
+            number = np.cumsum(before == 0) + state[1]  # rows that began in this split so far; 0: the line goes on with an earlier split's row
+            line = np.arange(state[2], state[2] + len(after))
+            own = number > 0
+            split = np.where(own, b.column("split").to_numpy(), b.column("owner_split").fill_null(-1).to_numpy())
+            row = np.where(own, number, b.column("owner_row").fill_null(-1).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("split"), pa.array(line), pa.array(split), pa.array(row), pa.array((before == 0) & (after == 0)), b.column("value")], ["file", "split", "line", "in_split", "in_row", "single", "value"])
+            state[:] = [int(after[-1]), int(number[-1]), state[2] + len(after)]
+
+
+def read_survey_split(spark: SparkSession, paths: str | list[str], delimiter: str | None = None, order: str | None = None) -> DataFrame:
+    """As `read_survey` with cells that hold line ends, but large files are read by many tasks.
+
+    A first pass counts quotes by split; their parity, summed over the splits before, tells whether a split begins within a cell. A second pass
+    then knows where rows begin. A row of one line goes on at once; the lines of others, which may lie in several splits, are brought together by
+    row. All files have the first one's header. A quote belongs around cells, doubled within them; one that stands
+    alone in a bare cell would shift what follows in its file. There is a line of facts for each split, no more.
+    """
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    head = head_of(spark, paths[0])
+    sep = delimiter if delimiter in (",", ";", "\t") else sniff_delimiter(head)
+    header = [c.lstrip(BOM).strip() for c in next(csv.reader(io.StringIO(head), delimiter=sep), [])]
+    lines = spark.read.text(paths, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value")
+    lines = lines.withColumn("quotes", (F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))).cast("long"))
+    facts = lines.select("file", "split", "quotes").mapInArrow(_split_facts, "file string, split bigint, odd bigint, outside bigint, inside bigint")
+    facts = facts.groupBy("file", "split").agg(*(F.sum(c).alias(c) for c in ("odd", "outside", "inside")))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    facts = facts.withColumn("before", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2)
+    rows_in = F.when(F.col("before") == 0, F.col("outside")).otherwise(F.col("inside"))
+    last = F.last(F.when(rows_in > 0, F.struct(F.col("split").alias("s"), rows_in.alias("r"))), True).over(earlier)
+    facts = facts.select("file", "split", "before", last["s"].alias("owner_split"), last["r"].alias("owner_row"))
+    known = lines.join(F.broadcast(facts), ["file", "split"]).select("file", "split", "value", "quotes", "before", "owner_split", "owner_row")  # a row a split
+    owned = known.mapInArrow(_owned, "file string, split bigint, line bigint, in_split bigint, in_row bigint, single boolean, value string")
+    single = owned.where("single").select("file", "in_split", "in_row", "value")
+    several = owned.where("NOT single").groupBy("file", "in_split", "in_row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "line", "value"))), lambda x: x["value"]), "\n").alias("value"))
+    rows = single.unionByName(several).where(~((F.col("in_split") == 0) & (F.col("in_row") == 1)) & (F.regexp_replace("value", "\r$", "") != ""))
+    schema = ", ".join(f"c{i} string" for i in range(len(header)))
+    cells = F.from_csv(F.regexp_replace("value", "\r$", ""), F.lit(schema), {"sep": sep, "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"})
+    place = [F.struct(F.col("file"), F.col("in_split").alias("split"), F.col("in_row").alias("row")).alias(order)] if order else []
+    out = rows.withColumn("_c", cells)
+    return out.select(*(F.coalesce(py_strip(F.col(f"_c.c{i}")), F.lit("")).alias(c) for i, c in enumerate(header)), *place)
