@@ -98,3 +98,32 @@ def test_crowds_of_unlinked_copies_match_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(df, words=2, small=6).collect()}
     assert got == {i: root for i, (_, root) in enumerate(brute(texts, 2, 80))}
+
+
+def test_pairs_of_crowds_are_told_by_bits_of_their_shingles():
+    import numpy as np
+
+    from civicspark.llm import near_dup
+
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((base[: rng.integers(250, 400)], rng.integers(0, 2**63, 40, dtype=np.uint64)))) for _ in range(30)]
+    bits = [np.unique((s >> np.uint64(16)).astype(np.uint32)).tobytes() for s in sets]
+    a, b = np.triu_indices(30, 1)
+    sizes = np.array([len(s) for s in sets])
+    no, yes = near_dup.refuted(sizes[a], sizes[b], [bits[i] for i in a], [bits[i] for i in b], 80)
+    common = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b, strict=True)])
+    assert (yes == (common * 100 >= 80 * (sizes[a] + sizes[b] - common))).all() and (no == ~yes).all() and yes.any() and no.any()
+    no, yes = near_dup.refuted(sizes[a], sizes[b], [None] * len(a), [bits[i] for i in b], 80)
+    assert not no.any() and not yes.any()  # told later, on full sets
+    no, _ = near_dup.refuted(np.array([5]), np.array([5]), [np.zeros(1, np.uint32).tobytes()], [np.zeros(1, np.uint32).tobytes()], 80)
+    assert not no[0]  # five shingles whose bits are equal refute nothing
+
+
+def test_too_low_a_threshold_is_an_error_not_a_loss(spark):
+    import pytest
+
+    from civicspark.llm import near_dup
+
+    with pytest.raises(ValueError, match="out of reach"):
+        near_dup.near_duplicates(spark.createDataFrame([(1, "a b c")], "doc_id int, text string"), percent=5)
