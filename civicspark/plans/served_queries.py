@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import caches, choices, logs, paging, served, stored, themes
+from ..operators import caches, choices, density, logs, paging, served, stored, themes
 from ..storage import shared_dir
 from ..streaming import counters
 from .catalog import ANSWERS, PAGE, PICKS, SHOWN, TOKENS, indexed, options, pct, picks, query, read, survey
@@ -148,3 +148,13 @@ def deep_page(spark, d):
 def deep_kth(spark, d):
     rows = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_shipdate").alias("shipped"), "l_orderkey", "l_linenumber", F.col("l_partkey").alias("p"), "l_suppkey")
     return paging.kth_deep(rows, "g", [(c, "asc") for c in ("shipped", "l_orderkey", "l_linenumber", "p", "l_suppkey")], 9000).select("g", "p", "shipped", "k", "total")
+
+
+# ---- themes by density
+
+
+@query()
+def density_themes_of_texts(spark, d):
+    """Documents by their words: clusters of five rows or more that last longest; null is noise."""
+    vectors = density.word_vectors(read(spark, d, "documents"), "doc_id")
+    return density.density_themes(vectors, "doc_id", "vector", least=5, k=10, levels=8)
