@@ -18,12 +18,9 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..storage import shared_dir
+from ..storage import remove, shared_dir
 from .themes import words
 
-#: Levels of a tree that split by directions; vectors still together after them are split by their keys.
-DIRECTIONS = 48
-
 
 class Store:
     """Tables of one run, in a folder of their own under the shared one."""
@@ -37,6 +34,16 @@ class Store:
         rows.write.parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def instead(self, old: str, rows: DataFrame) -> DataFrame:
+        """The table in place of an older one, which goes once this one is written."""
+        out = self.put(rows)
+        remove(self.spark, old)
+        return out
+
+    @property
+    def last(self) -> str:
+        return f"{self.folder}/{self.n}"
+
     def put_seen(self, rows: DataFrame, fact: Column):
         """The table, and an aggregate of it that is taken while it is written."""
         seen = Observation()
@@ -64,29 +71,34 @@ def word_vectors(df: DataFrame, key: str, text: str = "text", width: int = 64) -
 
     rows = df.select(F.col(key), words(F.coalesce(F.col(text), F.lit(""))).alias("_words"))
     counted = Normalizer(inputCol="_counts", outputCol="_unit").transform(HashingTF(inputCol="_words", outputCol="_counts", numFeatures=width).transform(rows))
-    return counted.select(key, F.when(F.size("_words") > 0, vector_to_array("_unit")).alias("vector"))
+    return counted.select(key, F.when(F.size("_words") > 0, vector_to_array("_unit", "float32")).alias("vector"))
 
 
 def _leaves(store: Store, points: DataFrame, width: int, trees: int, leaf: int, seed: int) -> DataFrame:
     """v, x, tree, node: each vector's leaf in every tree. Nodes are split at the median along random directions."""
-    axes = np.random.default_rng(seed).standard_normal((width, trees * DIRECTIONS))
+    n = points.count()
+    directions = max(1, math.ceil(math.log2(max(1, n / leaf))) + 4)  # levels beyond them split by keys
+    axes = np.random.default_rng(seed).standard_normal((width, trees * directions))
 
     def projected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-            p = np.round(flat @ axes, 6).astype(np.float32).reshape(-1, DIRECTIONS)
-            where = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, DIRECTIONS), pa.int32()), pa.array(p.ravel()))
+            flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
+            p = np.round(flat @ axes, 6).astype(np.float32).reshape(-1, directions)
+            where = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, directions), pa.int32()), pa.array(p.ravel()))
             n = batch.num_rows
             yield pa.record_batch([batch.column("v").take(pa.array(np.repeat(np.arange(n), trees))), pa.array(np.tile(np.arange(trees), n), pa.int32()), where], names=["v", "tree", "p"])
 
-    at = store.put(points.mapInArrow(projected, "v string, tree int, p array<float>").withColumn("node", F.lit("1")))
+    at = store.put(points.mapInArrow(projected, "v binary, tree int, p array<float>").withColumn("node", F.lit("1")))
     for depth in range(1 << 20):
-        side = F.get("p", F.lit(depth)).cast("double") if depth < DIRECTIONS else F.xxhash64("v", F.lit(depth)).cast("double")
+        side = F.get("p", F.lit(0)).cast("double") if depth < directions else F.xxhash64("v", F.lit(depth)).cast("double")
         middle = at.groupBy("tree", "node").agg(F.count("*").alias("n"), F.percentile_approx(side, 0.5, 1000).alias("mid")).where(F.col("n") > leaf).drop("n")
+        old, middle = store.last, store.put(middle)
         if middle.isEmpty():
             break
+        ends = F.col("mid").isNull()
         deeper = F.concat("node", F.when(side > F.col("mid"), "1").otherwise("0"))
-        at = store.put(at.join(middle, ["tree", "node"], "left").withColumn("node", F.when(F.col("mid").isNull(), F.col("node")).otherwise(deeper)).drop("mid"))
+        rest = F.slice("p", 2, directions)  # what is used goes, and all of it in leaves
+        at = store.instead(old, at.join(middle, ["tree", "node"], "left").select("v", "tree", F.when(~ends, rest).alias("p"), F.when(ends, F.col("node")).otherwise(deeper).alias("node")))
     return at.drop("p").join(points.select("v", "x"), "v")
 
 
@@ -94,7 +106,7 @@ def _nearest_of_leaf(k: int):
     def nearest(leaf: pa.Table) -> pa.Table:
         leaf = leaf.sort_by("v")
         n, keys = len(leaf), leaf.column("v").combine_chunks()
-        x = leaf.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        x = leaf.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
         a, b, d = [], [], []
         for i in range(n):
             away = ((x - x[i]) ** 2).sum(axis=1)
@@ -111,7 +123,7 @@ def _nearest_of_leaf(k: int):
 
 def neighbours(store: Store, points: DataFrame, width: int, k: int, trees: int, leaf: int, seed: int) -> DataFrame:
     """a, b, d: for each vector (v, x) the k nearest that share a leaf with it in some tree; exact where one leaf holds all."""
-    met = _leaves(store, points, width, trees, leaf, seed).groupBy("tree", "node").applyInArrow(_nearest_of_leaf(k), "a string, b string, d double")
+    met = _leaves(store, points, width, trees, leaf, seed).groupBy("tree", "node").applyInArrow(_nearest_of_leaf(k), "a binary, b binary, d double").repartition("a")  # one exchange for all that follows
     rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
     return store.put(met.groupBy("a", "b").agg(F.min("d").alias("d")).withColumn("_r", rank).where(F.col("_r") <= k).drop("_r"))
 
@@ -155,6 +167,7 @@ def spanning_levels(store: Store, edges: DataFrame, sizes: DataFrame, distances:
     Rounds take only edges up to the level's distance; edges within a component go, parallel ones shrink to the smallest.
     """
     left, low = store.put_seen(edges.select(F.col("u").alias("a"), F.col("x").alias("b"), "w", "u", "x"), F.min("w"))
+    held = store.last
     nodes, chosen, levels = sizes.select(F.col("v").alias("label"), "size"), [], []
     for distance in distances:
         under = nodes.select(F.col("label").alias("child"), "label", "size")
@@ -167,7 +180,9 @@ def spanning_levels(store: Store, edges: DataFrame, sizes: DataFrame, distances:
                 left = left.join(to.select(F.col("label").alias(end), F.col("to").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
             smallest = F.min(F.struct("w", "u", "x")).alias("e")
             left = left.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(smallest)
-            left, low = store.put_seen(left.select("a", "b", "e.w", "e.u", "e.x"), F.min("w"))
+            old, (left, low) = held, store.put_seen(left.select("a", "b", "e.w", "e.u", "e.x"), F.min("w"))
+            held = store.last
+            remove(store.spark, old)
             under = under.join(to, "label", "left").select("child", F.coalesce("to", "label").alias("label"), "size")
         if grown:
             under = store.put(under)
@@ -224,12 +239,14 @@ def density_themes(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     """
     spark = df.sparkSession
     store = Store(spark)
-    given = df.select(F.col(key).alias("_key"), F.col(vector).cast("array<double>").alias("x"))
+    kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
+    given = store.put(df.select(F.col(key).alias("_key"), F.col(vector).cast(kind).alias("x")))  # whatever made the vectors runs once
+    read = store.last
     fine = given.where(sound(F.col("x")))
     most = fine.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     width = most["n"] if most else 0
-    same = F.when(sound(F.col("x")) & (F.size("x") == width), F.sha2(F.concat_ws(",", F.transform("x", lambda c: (c + 0.0).cast("string"))), 256).substr(1, 32))
-    rows = store.put(given.withColumn("v", same))
+    same = F.when(sound(F.col("x")) & (F.size("x") == width), F.unhex(F.sha2(F.concat_ws(",", F.transform("x", lambda c: (c + F.lit(0.0)).cast("string"))), 256).substr(1, 32)))
+    rows = store.instead(read, given.withColumn("v", same))
     points = store.put(rows.where("v IS NOT NULL").groupBy("v").agg(F.first("x").alias("x"), F.count("*").alias("size")))
     sizes = points.select("v", "size")
     clusters = sizes.select("v", F.col("v").alias("cluster")).limit(0)

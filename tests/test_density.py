@@ -105,7 +105,7 @@ def test_small_leaves_find_the_same_neighbours_and_forest(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 4))
     store = density.Store(spark)
-    points = store.put(spark.createDataFrame([(f"{i:03}", [float(c) for c in v], 1) for i, v in enumerate(x)], "v string, x array<double>, size long"))
+    points = store.put(spark.createDataFrame([(f"{i:03}".encode(), [float(c) for c in v], 1) for i, v in enumerate(x)], "v binary, x array<double>, size long"))
     near = density.neighbours(store, points, 4, 5, 8, 32, 1)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
@@ -114,9 +114,9 @@ def test_small_leaves_find_the_same_neighbours_and_forest(spark):
     assert len(true & met.keys()) >= 0.9 * len(true)
     assert all(abs(d[i, j] - far) < 1e-12 for (i, j), far in met.items())
     edges = store.put(density.reach_edges(near, points.select("v", "size"), 3))
-    listed = sorted((r.w, r.u, r.x) for r in edges.collect())
+    listed = sorted((r.w, bytes(r.u), bytes(r.x)) for r in edges.collect())
     forest, levels = density.spanning_levels(store, edges, points.select("v", "size"), [listed[len(listed) // 2][0], listed[-1][0]])
-    up = {f"{i:03}": f"{i:03}" for i in range(300)}
+    up = {f"{i:03}".encode(): f"{i:03}".encode() for i in range(300)}
 
     def root(p):
         while up[p] != p:
@@ -128,7 +128,7 @@ def test_small_leaves_find_the_same_neighbours_and_forest(spark):
         if root(a) != root(b):
             up[root(a)] = root(b)
             kept.append((a, b, w))
-    assert sorted((r.u, r.x, r.w) for r in forest.collect()) == sorted(kept)
+    assert sorted((bytes(r.u), bytes(r.x), r.w) for r in forest.collect()) == sorted((bytes(a), bytes(b), w) for a, b, w in kept)
     assert levels[-1].tree.select("label").distinct().count() == len({root(p) for p in up})
 
 
@@ -160,4 +160,4 @@ def test_word_vectors(spark):
     df = spark.createDataFrame([(1, "maison verte maison"), (2, ""), (3, None), (4, "maison maison verte verte maison maison")], "id long, text string")
     got = {r.id: r.vector for r in density.word_vectors(df, "id", width=32).collect()}
     assert got[2] is None and got[3] is None
-    assert abs(sum(c * c for c in got[1]) - 1) < 1e-12 and max(abs(a - b) for a, b in zip(got[1], got[4], strict=True)) < 1e-12
+    assert abs(sum(c * c for c in got[1]) - 1) < 1e-6 and max(abs(a - b) for a, b in zip(got[1], got[4], strict=True)) < 1e-12
