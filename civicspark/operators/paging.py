@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import base64
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..schema import PER_PAGE
+from ..storage import shared_dir
 
 
 def encode_cursor(values: dict) -> str:
@@ -68,6 +70,8 @@ def total_pages(total, size: int = PER_PAGE) -> Column:
 
 #: Ranges of a key that are counted at once.
 RANGES = 1024
+#: Shares that the rows of a group are dealt to.
+SALTS = 64
 
 
 def _code(df: DataFrame, name: str) -> Column:
@@ -119,23 +123,56 @@ def deep_page(df: DataFrame, keys: list[tuple[str, str]], offset: int, size: int
     return rows.orderBy(*ordered(keys)).offset(max(0, offset - before)).limit(size)
 
 
-def kth_deep(df: DataFrame, group: str, keys: list[tuple[str, str]], k: int, passes: int = 2) -> DataFrame:
+def kth_deep(df: DataFrame, group: str, keys: list[tuple[str, str]], k: int, passes: int = 2, most: int = 100_000) -> DataFrame:
     """The k-th row of each group (k from 1; of smaller groups the last) with k and total, for a k of any size.
 
-    As `deep_page`, for all groups at once: each pass counts the parts of every group's range by its first key and keeps the rows of the part
-    that holds the place, so after some passes few rows a group are numbered. Groups are rows of a table, none comes to the driver.
+    As `deep_page`, for all groups at once: each pass counts the parts of every group's range by a key and keeps the rows of the part
+    that holds the place; the next key goes on where a part of one value has more than `most` rows. So few rows a group are numbered in the end. Groups
+    are rows of a stored table, none comes to the driver; each is there for every one of SALTS shares of the rows, so that no task gets all rows of one.
     """
-    name, way = keys[0]
-    code = _code(df, name) if way == "asc" else -_code(df, name)
-    spans = df.groupBy(F.col(group).alias("_g")).agg(F.min(code).alias("_lo"), F.max(code).alias("_hi"), F.count("*").alias("total"))
-    spans = spans.withColumn("k", F.least(F.lit(max(1, k)).cast("long"), "total")).withColumn("_before", F.lit(0).cast("long"))
-    for _ in range(passes):
-        held = df.join(spans, F.col(group).eqNullSafe(F.col("_g"))).where((code >= F.col("_lo")) & (code <= F.col("_hi")))
-        step = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) / RANGES)).cast("long")
-        parts = held.groupBy("_g", "k", "total", "_before", _whole(code - F.col("_lo"), step).alias("_part")).agg(F.count("*").alias("_n"), F.min(code).alias("_lo"), F.max(code).alias("_hi"))
-        upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_part"))  # RANGES rows a group at most
-        parts = parts.withColumn("_upto", F.col("_before") + upto).where((F.col("_upto") >= F.col("k")) & (F.col("_upto") - F.col("_n") < F.col("k")))
-        spans = parts.select("_g", "_lo", "_hi", "total", "k", (F.col("_upto") - F.col("_n")).alias("_before"))
-    held = df.join(spans, F.col(group).eqNullSafe(F.col("_g"))).where((code >= F.col("_lo")) & (code <= F.col("_hi")))
+    spark, folder = df.sparkSession, f"{shared_dir(df.sparkSession)}/kth-{uuid.uuid4().hex}"
+    codes = [_code(df, name) if way == "asc" else -_code(df, name) for name, way in keys]
+    rows = df.withColumn("_salt", F.pmod(F.hash(*(name for name, _ in keys)), F.lit(SALTS)))
+    written: list[DataFrame] = []
+
+    def put(spans: DataFrame) -> DataFrame:
+        path = f"{folder}/{len(written)}"
+        spans.write.parquet(path)
+        written.append(spark.read.parquet(path))
+        return written[-1]
+
+    def held(spans: DataFrame, upto: int) -> DataFrame:
+        """Rows within their group's ranges of the first keys."""
+        dealt = spans.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.join(dealt, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_salt") == F.col("_share"))).drop("_salt", "_share")
+        for i in range(upto):
+            out = out.where((code(i) >= F.col(f"_lo{i}")) & (code(i) <= F.col(f"_hi{i}")))
+        return out
+
+    def code(i: int) -> Column:
+        """A key counts where all keys before it have one value."""
+        one = F.lit(True)
+        for j in range(i):
+            one = one & (F.col(f"_lo{j}") == F.col(f"_hi{j}"))
+        return F.when(one, codes[i]).otherwise(F.lit(0).cast("long")) if i else codes[0]
+
+    spans = df.groupBy(F.col(group).alias("_g")).agg(F.min(codes[0]).alias("_lo0"), F.max(codes[0]).alias("_hi0"), F.count("*").alias("total"))
+    spans = put(spans.withColumn("k", F.least(F.lit(max(1, k)).cast("long"), "total")).withColumn("_before", F.lit(0).cast("long")).withColumn("_n", F.col("total")))
+    used = 0
+    for i in range(len(keys)):
+        lo, hi, fixed = f"_lo{i}", f"_hi{i}", ["_g", "k", "total", "_before", *(f"_{x}{j}" for j in range(i) for x in ("lo", "hi"))]
+        if i:
+            if spans.where(F.col("_n") > most).isEmpty():
+                break
+            spans = put(held(spans, i).groupBy(*fixed).agg(F.min(code(i)).alias(lo), F.max(code(i)).alias(hi), F.count("*").alias("_n")))
+        used, done = i + 1, 0
+        while done < passes or not spans.where((F.col("_n") > most) & (F.col(lo) < F.col(hi))).isEmpty():
+            step = F.greatest(F.lit(1), F.ceil((F.col(hi) - F.col(lo) + 1) / RANGES)).cast("long")
+            parts = held(spans, used).groupBy(*fixed, _whole(code(i) - F.col(lo), step).alias("_part")).agg(F.count("*").alias("_n"), F.min(code(i)).alias(lo), F.max(code(i)).alias(hi))
+            upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_part"))  # RANGES rows a group at most
+            parts = parts.withColumn("_upto", F.col("_before") + upto).where((F.col("_upto") >= F.col("k")) & (F.col("_upto") - F.col("_n") < F.col("k")))
+            spans = put(parts.select(*(c for c in fixed if c != "_before"), lo, hi, (F.col("_upto") - F.col("_n")).alias("_before"), "_n"))
+            done += 1
+    last = held(spans, used)
     place = F.col("_before") + F.row_number().over(Window.partitionBy(group).orderBy(*ordered(keys)))
-    return held.withColumn("_place", place).where(F.col("_place") == F.col("k")).drop("_g", "_lo", "_hi", "_before", "_place")
+    return last.withColumn("_place", place).where(F.col("_place") == F.col("k")).select(*df.columns, "k", "total")
