@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer
@@ -13,6 +16,8 @@ from pyspark.sql.window import Window
 
 from ..storage import shared_dir
 
+#: Words that a task counts at once.
+AT_ONCE = 1 << 21
 #: Phrases that a snippet must hold.
 KEYWORDS = [
     r"\bpass[-\s]?culture\b",
@@ -62,16 +67,48 @@ def lexicon_mood(text: Column, good: list[str], bad: list[str]) -> Column:
     return F.when(score > 0, "positive").when(score < 0, "negative").otherwise("neutral")
 
 
+def _counted(batches):
+    """term, rows, occurrences of one- and two-word terms, from rows of words: a row for each term of a batch."""
+    for whole in batches:
+        sizes = whole.column("_words").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lo = 0
+        while lo < whole.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), AT_ONCE, "right")) + lo)
+            flat = whole.slice(lo, hi - lo).column("_words").flatten().dictionary_encode()
+            row, names = np.repeat(np.arange(hi - lo), sizes[lo:hi]), flat.dictionary
+            lo = hi
+            code, n = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(names))
+            same = row[1:] == row[:-1]
+            pairs, pair = np.unique((code[:-1] * n + code[1:])[same], return_inverse=True)
+            both = pc.binary_join_element_wise(names.take(pa.array(pairs // n)), names.take(pa.array(pairs % n)), pa.scalar(" ", names.type))
+            for terms, at, own in ((names, code, row), (both, pair, row[1:][same])):
+                m = max(1, len(terms))
+                rows = np.bincount(np.unique(own * m + at) % m, minlength=len(terms))
+                yield pa.RecordBatch.from_arrays([terms.cast(pa.string()), pa.array(rows[: len(terms)], pa.int64()), pa.array(np.bincount(at, minlength=len(terms))[: len(terms)], pa.int64())], ["term", "rows", "occurrences"])
+
+
 def term_counts(df: DataFrame, key: str, text: str = "text", least: int = 2) -> DataFrame:
-    """One- and two-word terms with their rows (by key) and occurrences; those in fewer than `least` rows go."""
+    """One- and two-word terms with their rows (by key) and occurrences; those in fewer than `least` rows go.
+
+    Terms are counted where their rows are read, so a term is shuffled once a batch. Only the terms of keys that have several rows meet by key.
+    """
 
     def terms(w):
         pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(w[i], F.lit(" "), w[i + 1]))
         return F.concat(w, F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>")))
 
-    rows = df.select(F.col(key).alias("_key"), F.transform(F.array(words(text)), terms)[0].alias("_terms"))  # the words are made once
-    own = rows.select("_key", F.explode("_terms").alias("term")).groupBy("_key", "term").agg(F.count("*").alias("n"))
-    return own.groupBy("term").agg(F.count("*").alias("rows"), F.sum("n").alias("occurrences")).where(F.col("rows") >= least)
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    repeated = rows.groupBy("_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("_key").alias("_many"))
+    once, more = rows, None
+    if not repeated.isEmpty():
+        same = F.col("_key").eqNullSafe(F.col("_many"))
+        once, more = rows.join(repeated, same, "left_anti"), rows.join(repeated, same, "left_semi")
+    counts = once.select(words("_text").alias("_words")).mapInArrow(_counted, "term string, rows long, occurrences long")
+    if more is not None:
+        made = more.select("_key", F.transform(F.array(words("_text")), terms)[0].alias("_terms"))  # the words are made once
+        own = made.select("_key", F.explode("_terms").alias("term")).groupBy("_key", "term").agg(F.count("*").alias("n"))
+        counts = counts.unionByName(own.select("term", F.lit(1).cast("long").alias("rows"), F.col("n").alias("occurrences")))
+    return counts.groupBy("term").agg(F.sum("rows").alias("rows"), F.sum("occurrences").alias("occurrences")).where(F.col("rows") >= least)
 
 
 def learnt_mood(df: DataFrame, labelled: DataFrame, label: str, text: str = "text", features: int = 1 << 14) -> DataFrame:
@@ -110,11 +147,11 @@ def themes(df: DataFrame, text: str = "text", k: int = 6, max_terms: int = 5000,
 
 def theme_terms(rows: DataFrame, vocabulary: list[str], n: int = 12) -> DataFrame:
     """Per theme: its n terms of the highest mean weight."""
-    from pyspark.ml.functions import vector_to_array
-
     sizes = rows.groupBy("theme").agg(F.count("*").alias("rows"))
     terms = rows.sparkSession.createDataFrame(list(enumerate(vocabulary)), "i int, term string")
-    cells = rows.select("theme", F.posexplode(vector_to_array("features")).alias("i", "w")).where("w > 0").groupBy("theme", "i").agg(F.sum("w").alias("w"))
+    held = rows.select("theme", F.unwrap_udt("features").alias("v"))  # type 0 is sparse: its places and values, not the whole vocabulary a row
+    pairs = F.when(F.col("v.type") == 0, F.arrays_zip(F.col("v.indices").alias("i"), F.col("v.values").alias("w"))).otherwise(F.transform("v.values", lambda x, i: F.struct(i.alias("i"), x.alias("w"))))
+    cells = held.select("theme", F.explode(pairs).alias("c")).select("theme", "c.i", "c.w").where("w > 0").groupBy("theme", "i").agg(F.sum("w").alias("w"))
     means = cells.join(sizes, "theme").withColumn("weight", F.col("w") / F.col("rows")).join(terms, "i")
     rank = F.row_number().over(Window.partitionBy("theme").orderBy(F.desc("weight"), "term"))
     return means.withColumn("rank", rank).where(F.col("rank") <= n).select("theme", "rank", "term", "weight")
