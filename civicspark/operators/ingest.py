@@ -70,11 +70,13 @@ def unpivot(rows: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
     return rows.select(F.col(key), F.posexplode(filled).alias("_i", "_c")).select(key, "_c.question", "_c.answer", (F.col("_i") + 1).alias("position"))
 
 
-def ingest(rows: DataFrame, mapping: dict, max_dynamic: int = 500, order: str | None = None, merge: bool = False) -> Survey:
+def ingest(rows: DataFrame, mapping: dict, max_dynamic: int = 500, order: str | None = None, merge: bool = False, keep: str | None = None) -> Survey:
     """rows: text columns of the file. max_dynamic: options that values may add to a question; more is an error.
 
     order: a column with the rows' order in the files, which is no part of the survey. merge: a contribution that
     occurs in several rows keeps the texts of all, joined in order, where else its last row replaces the others.
+    keep: a new folder that driver and executors share; the distinct rows and the last ones of the contributions are written there at once,
+    so tables of the survey that are read one by one don't make them again. The caller removes it.
     """
     errors, _ = check_mapping(mapping)
     if errors:
@@ -85,9 +87,17 @@ def ingest(rows: DataFrame, mapping: dict, max_dynamic: int = 500, order: str |
     have = set(rows.columns) - {order}
     field = lambda spec: F.nullif(F.trim(F.col(f"`{spec}`")), F.lit("")) if spec in have else F.lit(None).cast("string")
     original = sorted(have)
+
+    def once(name: str, made: DataFrame) -> DataFrame:
+        if keep is None:
+            return made
+        made.write.parquet(f"{keep}/{name}")
+        return spark.read.schema(made.schema).parquet(f"{keep}/{name}")
+
     rows = kept_rows(rows).withColumn("_hash", row_hash(original)).withColumn("_order", F.col(order) if order else F.col("_hash"))
     # of equal rows the first
     rows = rows.groupBy("_hash").agg(F.min("_order").alias("_order"), *(F.first(F.col(f"`{c}`")).alias(c) for c in original))
+    rows = once("rows", rows)
     rows = rows.withColumn("_json", F.to_json(F.struct(*(F.col(f"`{c}`") for c in original))))
 
     one = spark.range(1)
@@ -109,7 +119,7 @@ def ingest(rows: DataFrame, mapping: dict, max_dynamic: int = 500, order: str |
     source_contribution = field(contribution_of.get("source_contribution_id"))
     rows = rows.withColumn("_contribution", key(F.lit(form.get("source") or ""), F.coalesce(source_contribution, F.col("_hash"))))
     every = rows
-    rows = latest_wins(rows, ["_contribution"], [F.desc("_order"), F.desc("_hash")])
+    rows = once("last", latest_wins(rows, ["_contribution"], [F.desc("_order"), F.desc("_hash")]))
     contributions = rows.select(
         F.col("_contribution").alias("id"), source_contribution.alias("source_contribution_id"), F.col("_author").alias("author_id"), form_id.alias("form_id"), F.lit(contribution_of.get("source") or form.get("source")).alias("source"),
         parse_datetime(field(contribution_of.get("submitted_at"))).alias("submitted_at"), field(contribution_of.get("title")).alias("title"), F.col("_hash").alias("raw_hash"), F.col("_json").alias("raw_json"),

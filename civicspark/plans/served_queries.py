@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import caches, choices, density, logs, paging, served, stored, themes
-from ..storage import shared_dir
+from ..storage import remove, shared_dir
 from ..streaming import counters
 from .catalog import ANSWERS, PAGE, PICKS, SHOWN, TOKENS, indexed, options, pct, picks, query, read, survey
 from .index_queries import fragment_sql
@@ -117,8 +117,9 @@ def stored_merge(spark, d):
 def stored_survey(spark, d):
     """An ingest merged into stored tables twice."""
     folder = f"{shared_dir(spark)}/survey-{uuid.uuid4().hex}"
-    stored.store_survey(_ingested(spark, d), folder, 4)
-    stored.store_survey(_ingested(spark, d), folder, 4)
+    for turn in range(2):
+        stored.store_survey(_ingested(spark, d, keep=f"{folder}/file{turn}"), folder, 4)
+        remove(spark, f"{folder}/file{turn}")
     return stored.read_stored(spark, f"{folder}/contributions").select(F.col("source_contribution_id").alias("reference"), "title")
 
 

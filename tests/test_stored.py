@@ -118,3 +118,24 @@ def test_deep_kth_of_each_group(spark, k):
         whole = df.orderBy(*paging.ordered(keys)).collect()
         groups = {g: [r["id"] for r in whole if r["g"] == g] for g in ("a", "b", None)}
         assert got == {g: (own[min(k, len(own)) - 1], min(k, len(own)), len(own)) for g, own in groups.items()}
+
+
+def test_rows_of_a_file_are_made_once_for_all_tables(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        calls.add(1)
+        return text
+
+    given = [(1, "a", "x", "red"), (2, "a", "x", "blue"), (2, "a", "x", "blue"), (3, "b", "y, z", None)]
+    rows = spark.createDataFrame(given, "line int, `id; no` string, who string, c string").coalesce(1).withColumn("c", seen("c"))
+    mapping = {"form": {"name": "f"}, "defaults": {"author": {"source_author_id": "who"}, "contribution": {"source_contribution_id": "id; no"}}, "questions": [{"code": "c", "type": "single_choice", "source_column": "c", "options_from_values": True}]}
+    found, made = [], []
+    for keep in (None, str(tmp_path / "file")):
+        calls.value, folder = 0, str(tmp_path / f"survey{keep is None}")
+        stored.store_survey(ingest.ingest(rows, mapping, order="line", keep=keep), folder, 2)
+        made.append(calls.value)
+        found.append({name: sorted(map(str, stored.read_stored(spark, f"{folder}/{name}").collect())) for name in stored.SURVEY})
+    assert found[0] == found[1] and len(found[0]["answers"]) == 1
+    assert made[1] <= 2 * len(given) < made[0]
