@@ -74,75 +74,126 @@ def word_vectors(df: DataFrame, key: str, text: str = "text", width: int = 64) -
     return counted.select(key, F.when(F.size("_words") > 0, vector_to_array("_unit", "float32")).alias("vector"))
 
 
-def _leaves(store: Store, points: DataFrame, width: int, trees: int, leaf: int, seed: int) -> DataFrame:
-    """v, x, tree, node: each vector's leaf in every tree. Nodes are split at the median along random directions."""
-    n = points.count()
-    directions = max(1, math.ceil(math.log2(max(1, n / leaf))) + 4)  # levels beyond them split by keys
-    axes = np.random.default_rng(seed).standard_normal((width, trees * directions))
+def _nodes(store: Store, points: DataFrame, width: int, axes: np.ndarray, directions: int, most: int) -> DataFrame:
+    """v, tree, node: each vector's node of `most` vectors or fewer in every tree. Nodes are split at the median along random directions."""
+    trees, n = axes.shape[1] // directions, points.count()
+    shallow = min(directions, max(1, math.ceil(math.log2(max(1, n / most))) + 2))  # levels beyond them split by keys
 
     def projected(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = axes.reshape(width, trees, directions)[:, :, :shallow].reshape(width, -1)
         for batch in batches:
             flat = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width).astype(np.float64)
-            p = np.round(flat @ axes, 6).astype(np.float32).reshape(-1, directions)
-            where = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, directions), pa.int32()), pa.array(p.ravel()))
+            p = np.round(flat @ used, 6).astype(np.float32).reshape(-1, shallow)
+            where = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, shallow), pa.int32()), pa.array(p.ravel()))
             n = batch.num_rows
             yield pa.record_batch([batch.column("v").take(pa.array(np.repeat(np.arange(n), trees))), pa.array(np.tile(np.arange(trees), n), pa.int32()), where], names=["v", "tree", "p"])
 
-    at = store.put(points.mapInArrow(projected, "v binary, tree int, p array<float>").withColumn("node", F.lit("1")))
-    for depth in range(1 << 20):
-        side = F.get("p", F.lit(0)).cast("double") if depth < directions else F.xxhash64("v", F.lit(depth)).cast("double")
-        middle = at.groupBy("tree", "node").agg(F.count("*").alias("n"), F.percentile_approx(side, 0.5, 1000).alias("mid")).where(F.col("n") > leaf).drop("n")
+    at = store.put(points.select("v", "x").mapInArrow(projected, f"v {dict(points.dtypes)['v']}, tree int, p array<float>").withColumn("node", F.lit("1")))
+    for depth in range(1 << 20 if n > most else 0):
+        side = F.get("p", F.lit(0)).cast("double") if depth < shallow else F.xxhash64("v", F.lit(depth)).cast("double")
+        middle = at.groupBy("tree", "node").agg(F.count("*").alias("n"), F.percentile_approx(side, 0.5, 1000).alias("mid")).where(F.col("n") > most).drop("n")
         old, middle = store.last, store.put(middle)
         if middle.isEmpty():
             break
         ends = F.col("mid").isNull()
         deeper = F.concat("node", F.when(side > F.col("mid"), "1").otherwise("0"))
-        rest = F.slice("p", 2, directions)  # what is used goes, and all of it in leaves
+        rest = F.slice("p", 2, shallow)  # what is used goes, and all of it in nodes that stay
         at = store.instead(old, at.join(middle, ["tree", "node"], "left").select("v", "tree", F.when(~ends, rest).alias("p"), F.when(ends, F.col("node")).otherwise(deeper).alias("node")))
-    return at.drop("p").join(points.select("v", "x"), "v")
-
-
-def _nearest_of_leaf(k: int):
-    def nearest(leaf: pa.Table) -> pa.Table:
-        leaf = leaf.sort_by("v")
-        n, keys = len(leaf), leaf.column("v").combine_chunks()
-        x = leaf.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1).astype(np.float64)
-        a, b, d = [], [], []
-        for i in range(n):
-            away = ((x - x[i]) ** 2).sum(axis=1)
-            away[i] = np.inf
-            near = np.argsort(away, kind="stable")[: min(k, n - 1)]  # ties go to the smaller key
-            a.append(np.full(len(near), i))
-            b.append(near)
-            d.append(away[near])
-        cat = lambda parts: np.concatenate(parts) if parts else np.empty(0)
-        return pa.table([keys.take(pa.array(cat(a).astype(np.int64))), keys.take(pa.array(cat(b).astype(np.int64))), pa.array(np.sqrt(cat(d)))], names=["a", "b", "d"])
-
-    return nearest
-
-
-def neighbours(store: Store, points: DataFrame, width: int, k: int, trees: int, leaf: int, seed: int) -> DataFrame:
-    """a, b, d: for each vector (v, x) the k nearest that share a leaf with it in some tree; exact where one leaf holds all."""
-    met = _leaves(store, points, width, trees, leaf, seed).groupBy("tree", "node").applyInArrow(_nearest_of_leaf(k), "a binary, b binary, d double").repartition("a")  # one exchange for all that follows
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    return store.put(met.groupBy("a", "b").agg(F.min("d").alias("d")).withColumn("_r", rank).where(F.col("_r") <= k).drop("_r"))
+    return at.drop("p")
+
+
+def _leaves_of_node(p: np.ndarray, leaf: int) -> Iterator[np.ndarray]:
+    """Places of a node's vectors by leaf: split at the median of each column of p in turn, beyond them by keys, in whose order they are."""
+    todo = [(np.arange(len(p)), 0)]
+    while todo:
+        at, depth = todo.pop()
+        if len(at) <= leaf:
+            yield at
+            continue
+        side = p[at, depth] if depth < p.shape[1] else np.arange(len(at))
+        half = (len(at) + 1) // 2 - 1
+        above = side > np.partition(side, half)[half]
+        todo += [(part, depth + 1) for part in (at[above], at[~above]) if len(part)]
+
+
+def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the places of its k nearest others and their squared distances; ties go to the smaller place."""
+    n, k = len(x), min(k, len(x) - 1)
+    exact = lambda rows, near: ((x[near] - x[rows][:, None]) ** 2).sum(axis=2)
+    with np.errstate(all="ignore"):
+        square = (x * x).sum(axis=1)
+        rough = square[:, None] + square - 2 * (x @ x.T)
+        np.fill_diagonal(rough, np.inf)
+        some = min(k + 8, n - 1)
+        near = np.sort(np.argpartition(rough, some - 1, axis=1)[:, :some], axis=1)
+        away = exact(np.arange(n), near)
+        order = np.argsort(away, axis=1, kind="stable")[:, :k]
+        near, cut = np.take_along_axis(near, order, 1), np.take_along_axis(rough, near, 1).max(axis=1)
+        away = np.take_along_axis(away, order, 1)
+        sure = ((away[:, -1] + 1e-12 * x.shape[1] * square.max() < cut) | (some == n - 1)) & np.isfinite(4 * square.max())
+        for i in np.flatnonzero(~sure):  # others may be as near as the last, as far as rough distances tell
+            whole = exact(np.array([i]), np.arange(n)[None])[0]
+            whole[i] = np.inf
+            near[i] = np.argsort(whole, kind="stable")[:k]
+            away[i] = whole[near[i]]
+    return near, away
+
+
+def _near_of_node(k: int, leaf: int, axes: np.ndarray, directions: int):
+    """a, near (its k nearest in its leaf: d, b and b's rows n) for each vector of a node."""
+
+    def near_of(key: tuple, node: pa.Table) -> pa.Table:
+        tree, depth = key[0].as_py(), len(key[1].as_py()) - 1
+        node = node.sort_by("v")
+        x = node.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(node), -1).astype(np.float64)
+        p = np.round(x @ axes[:, tree * directions + min(depth, directions) : (tree + 1) * directions], 6).astype(np.float32)
+        a, b, d, count = [], [], [], []
+        for at in _leaves_of_node(p, leaf):
+            if len(at) > 1:
+                near, away = _nearest(x[at], k)
+                a.append(at)
+                b.append(at[near].ravel())
+                d.append(np.sqrt(away).ravel())
+                count.append(np.full(len(at), near.shape[1]))
+        cat = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+        keys, b = node.column("v").combine_chunks(), pa.array(cat(b, np.int64))
+        ends = np.concatenate([[0], np.cumsum(cat(count, np.int64))])
+        found = pa.StructArray.from_arrays([pa.array(cat(d, np.float64)), keys.take(b), node.column("size").combine_chunks().take(b)], names=["d", "b", "n"])
+        return pa.table([keys.take(pa.array(cat(a, np.int64))), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], names=["a", "near"])
+
+    return near_of
+
+
+def neighbours(store: Store, points: DataFrame, width: int, k: int, trees: int, leaf: int, seed: int, most: int | None = None) -> DataFrame:
+    """a, b, d, n (b's rows): for each vector (v, x, size) the k nearest that share a leaf with it in some tree; exact where one leaf holds all.
+
+    Nodes of `most` vectors (16 leaves, fewer where vectors are long) are split further by the task that has them.
+    """
+    directions = max(1, math.ceil(math.log2(max(1, points.count() / leaf))) + 4)
+    axes = np.random.default_rng(seed).standard_normal((width, trees * directions))
+    most = max(leaf, most or min(16 * leaf, (1 << 20) // width))
+    kind = dict(points.dtypes)["v"]
+    held = _nodes(store, points, width, axes, directions, most).join(points.select("v", "x", "size"), "v")
+    met = held.groupBy("tree", "node").applyInArrow(_near_of_node(k, leaf, axes, directions), f"a {kind}, near array<struct<d double, b {kind}, n bigint>>")
+    best = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k)
+    return store.put(met.groupBy("a").agg(best.alias("near")).select("a", F.explode("near").alias("e")).select("a", "e.b", "e.d", "e.n"))
 
 
-def reach_edges(near: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
+def reach_edges(near: DataFrame, sizes: DataFrame, least: int, store: Store | None = None) -> DataFrame:
     """u, x, w: edges of the neighbour graph by mutual reachability.
 
     A vector's core distance is the one within which `least` rows lie, its own copies included (the farthest
     neighbour's where there are too few); an edge weighs the largest of its length and both core distances.
     """
-    of = lambda name: sizes.select(F.col("v").alias(name), F.col("size").alias(f"n_{name}"))
-    held = near.join(of("b"), "b").withColumn("_n", F.sum("n_b").over(Window.partitionBy("a").orderBy("d", "b").rowsBetween(Window.unboundedPreceding, 0)))
-    core = held.join(of("a"), "a").groupBy("a", "n_a").agg(F.min(F.when(F.col("_n") + F.col("n_a") >= least, F.col("d"))).alias("c"), F.max("d").alias("far"))
-    core = core.select(F.col("a").alias("v"), F.when(F.col("n_a") >= least, 0.0).otherwise(F.coalesce("c", "far")).alias("core"))
-    cored = near
-    for end in ("a", "b"):
-        cored = cored.join(core.select(F.col("v").alias(end), F.col("core").alias(f"core_{end}")), end)
+    of = Window.partitionBy("a")
+    held = near.join(sizes.select(F.col("v").alias("a"), F.col("size").alias("n_a")), "a")
+    held = held.withColumn("_n", F.col("n_a") + F.sum("n").over(of.orderBy("d", "b").rowsBetween(Window.unboundedPreceding, 0)))
+    core = F.when(F.col("n_a") >= least, 0.0).otherwise(F.coalesce(F.min(F.when(F.col("_n") >= least, F.col("d"))).over(of), F.max("d").over(of)))
+    cored = held.select("a", "b", "d", core.alias("core_a"))
+    cored = store.put(cored) if store else cored
+    other = cored.groupBy("a").agg(F.first("core_a").alias("core_b")).withColumnRenamed("a", "b")
     weight = F.greatest("d", "core_a", "core_b")
-    return cored.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("x"), weight.alias("w")).groupBy("u", "x").agg(F.min("w").alias("w"))
+    return cored.join(other, "b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("x"), weight.alias("w")).groupBy("u", "x").agg(F.min("w").alias("w"))
 
 
 def _hooked(store: Store, active: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -153,9 +204,10 @@ def _hooked(store: Store, active: DataFrame) -> tuple[DataFrame, DataFrame]:
     back = best.select(F.col("a").alias("b"), F.col("b").alias("_back"))
     to = store.put(best.join(back, "b").select(F.col("a").alias("label"), F.when((F.col("_back") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("to")))
     while True:
-        twice = to.join(to.select(F.col("label").alias("to"), F.col("to").alias("_far")), "to").select("label", F.col("_far").alias("to"), (F.col("_far") != F.col("to")).alias("moved"))
-        further = twice.select(F.col("label").alias("to"), F.col("to").alias("_far"))
-        to, moved = store.put_seen(twice.join(further, "to").select("label", F.col("_far").alias("to"), "moved"), F.count_if("moved"))
+        twice = to.join(to.select(F.col("label").alias("to"), F.col("to").alias("_far")), "to").select("label", F.col("_far").alias("to"), F.col("to").alias("_mid"))
+        further = twice.select(F.col("label").alias("to"), F.col("to").alias("_far"), F.col("_mid").alias("_third"))
+        # four steps from each label; where the third does not move on, a chain has ended
+        to, moved = store.put_seen(twice.join(further, "to").select("label", F.col("_far").alias("to"), (F.col("_far") != F.col("_third")).alias("moved")), F.count_if("moved"))
         to = to.drop("moved")
         if not moved:
             return best.select("u", "x", "w").distinct(), to
@@ -164,30 +216,35 @@ def _hooked(store: Store, active: DataFrame) -> tuple[DataFrame, DataFrame]:
 def spanning_levels(store: Store, edges: DataFrame, sizes: DataFrame, distances: list[float]) -> tuple[DataFrame, list[Level]]:
     """The smallest spanning forest (u, x, w) up to the last distance, and the components at each distance where any join.
 
-    Rounds take only edges up to the level's distance; edges within a component go, parallel ones shrink to the smallest.
+    A level takes the edges that are longer than the last level's distance, with the components of their ends at that
+    level, once; its rounds rewrite only these. Edges within a component go, parallel ones shrink to the smallest.
     """
-    left, low = store.put_seen(edges.select(F.col("u").alias("a"), F.col("x").alias("b"), "w", "u", "x"), F.min("w"))
-    held = store.last
-    nodes, chosen, levels = sizes.select(F.col("v").alias("label"), "size"), [], []
-    for distance in distances:
+    smallest = F.min(F.struct("w", "u", "x")).alias("e")
+
+    def moved(rows: DataFrame, to: DataFrame, how: str) -> DataFrame:
+        for end in ("a", "b"):
+            rows = rows.join(to.select(F.col("label").alias(end), F.col("to").alias("_to")), end, how).withColumn(end, F.coalesce("_to", end)).drop("_to")
+        rows = rows.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(smallest)
+        return rows.select("a", "b", "e.w", "e.u", "e.x")
+
+    nodes, place, chosen, levels = sizes.select(F.col("v").alias("label"), "size"), None, [], []
+    for i, distance in enumerate(distances):
+        longer = F.col("w") > distances[i - 1] if i else F.lit(True)
+        active = edges.where(longer & (F.col("w") <= distance)).select(F.col("u").alias("a"), F.col("x").alias("b"), "w", "u", "x")
+        active, n = store.put_seen(moved(active, place, "left") if place else active, F.count("*"))
+        if not n:
+            continue
         under = nodes.select(F.col("label").alias("child"), "label", "size")
-        grown = False
-        while low is not None and low <= distance:
-            grown = True
-            tree, to = _hooked(store, left.where(F.col("w") <= distance))
+        while n:
+            tree, to = _hooked(store, active)
             chosen.append(tree)
-            for end in ("a", "b"):
-                left = left.join(to.select(F.col("label").alias(end), F.col("to").alias("_to")), end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
-            smallest = F.min(F.struct("w", "u", "x")).alias("e")
-            left = left.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(smallest)
-            old, (left, low) = held, store.put_seen(left.select("a", "b", "e.w", "e.u", "e.x"), F.min("w"))
-            held = store.last
-            remove(store.spark, old)
+            active, n = store.put_seen(moved(active, to, "inner"), F.count("*"))
             under = under.join(to, "label", "left").select("child", F.coalesce("to", "label").alias("label"), "size")
-        if grown:
-            under = store.put(under)
-            levels.append(Level(distance, under))
-            nodes = under.groupBy("label").agg(F.sum("size").alias("size"))
+        under = store.put(under)
+        levels.append(Level(distance, under))
+        nodes = under.groupBy("label").agg(F.sum("size").alias("size"))
+        goes = under.select(F.col("child").alias("to"), F.col("label").alias("_far"))
+        place = store.put(place.join(goes, "to").select("label", F.col("_far").alias("to"))) if place else goes.toDF("label", "to")
     forest = edges.limit(0).select("u", "x", "w")
     for tree in chosen:
         forest = forest.unionByName(tree)
@@ -240,18 +297,18 @@ def density_themes(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
     spark = df.sparkSession
     store = Store(spark)
     kind = "array<float>" if dict(df.dtypes)[vector] == "array<float>" else "array<double>"
-    given = store.put(df.select(F.col(key).alias("_key"), F.col(vector).cast(kind).alias("x")))  # whatever made the vectors runs once
-    read = store.last
-    fine = given.where(sound(F.col("x")))
-    most = fine.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    x = F.col("x")
+    same = F.when(sound(x), F.unhex(F.sha2(F.concat_ws(",", F.transform(x, lambda c: (c + F.lit(0.0)).cast("string"))), 256).substr(1, 32)))
+    given = store.put(df.select(F.col(key).alias("_key"), F.col(vector).cast(kind).alias("x")).select("_key", "x", same.alias("hash")))  # whatever made the vectors runs once
+    most = given.where("hash IS NOT NULL").groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     width = most["n"] if most else 0
-    same = F.when(sound(F.col("x")) & (F.size("x") == width), F.unhex(F.sha2(F.concat_ws(",", F.transform("x", lambda c: (c + F.lit(0.0)).cast("string"))), 256).substr(1, 32)))
-    rows = store.instead(read, given.withColumn("v", same))
-    points = store.put(rows.where("v IS NOT NULL").groupBy("v").agg(F.first("x").alias("x"), F.count("*").alias("size")))
+    rows = given.select("_key", "x", F.when(F.size("x") == width, F.col("hash")).alias("hash"))
+    equal = rows.where("hash IS NOT NULL").groupBy("hash").agg(F.first("x").alias("x"), F.count("*").alias("size"))
+    points = store.put(equal.orderBy("hash").withColumn("v", F.monotonically_increasing_id()))  # short keys in the order of the hashes
     sizes = points.select("v", "size")
     clusters = sizes.select("v", F.col("v").alias("cluster")).limit(0)
     if width:
-        edges = store.put(reach_edges(neighbours(store, points, width, k, trees, leaf, seed), sizes, least))
+        edges = store.put(reach_edges(neighbours(store, points, width, k, trees, leaf, seed), sizes, least, store))
         low, high = edges.where("w > 0").agg(F.min("w"), F.max("w")).first()
         if low is None:
             distances: Iterable[float] = []
@@ -261,6 +318,6 @@ def density_themes(df: DataFrame, key: str = "vec_id", vector: str = "embedding"
             distances = sorted(levels)
         _, found = spanning_levels(store, edges, sizes, list(distances))
         clusters = stable_cut(store, sizes, found, least, single)
-    placed = store.put(rows.select("_key", "v").join(clusters, "v", "left"))
+    placed = store.put(rows.select("_key", "hash").join(points.select("hash", "v").join(clusters, "v").select("hash", "cluster"), "hash", "left"))
     themes = placed.where("cluster IS NOT NULL").groupBy("cluster").agg(F.min("_key").alias("theme"), F.count("*").alias("theme_rows"))
     return placed.join(themes, "cluster", "left").select(F.col("_key").alias(key), "theme", "theme_rows")

@@ -46,8 +46,8 @@ def snippets(rows: DataFrame, key: str, patterns: list[str] = KEYWORDS) -> DataF
 def words(text: str | Column, stops: list[str] = ()) -> Column:
     """Lower-case words of three letters or more: links and other signs are dropped first."""
     c = F.col(text) if isinstance(text, str) else text
-    plain = F.regexp_replace(F.regexp_replace(F.lower(c), r"http\S+", " "), r"[^a-zàâçéèêëîïôûùüÿñæœ\s-]", " ")
-    out = F.filter(F.split(F.trim(F.regexp_replace(plain, r"\s+", " ")), " "), lambda w: F.char_length(w) > 2)
+    plain = F.regexp_replace(F.lower(c), r"http\S+", " ")
+    out = F.regexp_extract_all(plain, F.lit("[a-zàâçéèêëîïôûùüÿñæœ-]{3,}+"), F.lit(0))  # one pass; what is between words is not written anew
     return F.filter(out, lambda w: ~w.isin(list(stops))) if stops else out
 
 

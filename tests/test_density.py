@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from civicspark.operators import density
+from civicspark.operators import density, themes
 
 LEVELS = [0.15, 0.3, 0.45, 0.7, 1.0, 1.6, 2.5, 4.0]
 
@@ -161,3 +161,58 @@ def test_word_vectors(spark):
     got = {r.id: r.vector for r in density.word_vectors(df, "id", width=32).collect()}
     assert got[2] is None and got[3] is None
     assert abs(sum(c * c for c in got[1]) - 1) < 1e-6 and max(abs(a - b) for a, b in zip(got[1], got[4], strict=True)) < 1e-12
+
+
+def test_levels_rewrite_only_their_own_edges(spark, monkeypatch):
+    """Edges of later levels wait in the table: with many levels, what is written stays within a few times the edges."""
+    n = 400
+    edges = [(i, i + 1, 1.0 + i % 20) for i in range(n - 1)]  # a path whose edges belong to twenty levels
+    store = density.Store(spark)
+    table = store.put(spark.createDataFrame(edges, "u long, x long, w double"))
+    sizes = store.put(spark.range(n).select(F.col("id").alias("v"), F.lit(1).cast("long").alias("size")))
+    written, put = [], density.Store.put
+
+    def counted(self, rows):
+        out = put(self, rows)
+        written.append(out.count() if {"a", "b", "w", "u", "x"} == set(out.columns) else 0)
+        return out
+
+    monkeypatch.setattr(density.Store, "put", counted)
+    forest, levels = density.spanning_levels(store, table, sizes, [1.0 + i for i in range(0, 20, 4)])
+    assert sorted(map(tuple, forest.collect())) == sorted(e for e in edges if e[2] <= 17.0)
+    assert len(levels) == 5 and levels[-1].tree.select("label").distinct().count() == n - sum(e[2] <= 17.0 for e in edges)
+    assert sum(written) <= 3 * len(edges)
+
+
+def test_nodes_split_by_a_task_or_by_tables_are_the_same(spark):
+    """Neighbours do not depend on where a tree's nodes are split, and equal distances go to the smaller key."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=(300, 4)), rng.integers(0, 3, (40, 4)).astype(float)])
+    store = density.Store(spark)
+    points = store.put(spark.createDataFrame([(i, [float(c) for c in v], 1 + i % 3) for i, v in enumerate(x)], "v long, x array<double>, size long"))
+    by_task, by_tables = (sorted(map(tuple, density.neighbours(store, points, 4, 5, 3, 32, 1, most).collect())) for most in (512, 32))
+    assert by_task == by_tables and all(n == 1 + b % 3 for _, b, _, n in by_task)
+
+
+@pytest.mark.parametrize("kind", ["normal", "ties", "copies", "huge"])
+def test_nearest_equals_the_plain_order(kind):
+    rng = np.random.default_rng(3)
+    x = {"normal": rng.normal(size=(90, 6)), "ties": rng.integers(0, 2, (90, 6)).astype(float), "copies": np.ones((40, 3)), "huge": rng.normal(size=(30, 3)) * 1e160}[kind]
+    near, away = density._nearest(x, 7)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i in range(len(x)):
+            far = ((x - x[i]) ** 2).sum(axis=1)
+            far[i] = np.inf
+            want = np.argsort(far, kind="stable")[:7]
+            assert near[i].tolist() == want.tolist() and away[i].tolist() == far[want].tolist()
+
+
+def test_words_in_one_pass(spark):
+    """The words of the former form, which wrote each text anew three times."""
+    texts = ["Maison-verte à l'œuvre http://x.fr/abc?d fin", "  aa bbb\tcccc\n--- d eee\u0085fff ÉTÉ https", "", None, "http", "été1234abc—ça va ÇA Straße ñandú"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    plain = F.regexp_replace(F.regexp_replace(F.lower("text"), r"http\S+", " "), r"[^a-zàâçéèêëîïôûùüÿñæœ\s-]", " ")
+    former = F.filter(F.split(F.trim(F.regexp_replace(plain, r"\s+", " ")), " "), lambda w: F.char_length(w) > 2)
+    rows = df.select(themes.words("text").alias("new"), former.alias("old"), themes.words("text", ["fin"]).alias("some")).collect()
+    assert [r.new for r in rows] == [r.old for r in rows] and rows[0].some == ["maison-verte", "œuvre"] and rows[3].new is None
+    assert themes.words("text")._jc.toString().count("regexp_replace") == 1
